@@ -105,7 +105,7 @@ class BPE:
         if (ids := self.words.get(word)) is None:
             data = data or word.encode()
             ids = self.merge([*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]])
-            if len(self.words) >= 200_000:
+            if len(self.words) >= 150_000:
                 self.words.clear()
             self.words[word] = ids
         return ids
@@ -163,14 +163,27 @@ def _digest_memo(path: str) -> common.SplitMemo:
     if path not in _DIGESTS:
         bpe = load(path)
 
+        runs: dict[bytes, tuple[int, bytes, bytes]] = {}
+
+        def of(run: bytes) -> tuple[int, bytes, bytes]:
+            if (x := runs.get(run)) is None:
+                ids = bpe.encode(run.decode("utf-8", "replace"))
+                x = runs[run] = len(ids), " ".join(map(str, ids)).encode(), bpe.decode(ids).encode()
+            return x
+
         def encode(new: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+            if len(runs) > 150_000:
+                runs.clear()
             out = []
-            for x in new:
-                ids = bpe.encode(x.decode("utf-8", "replace"))
-                out.append((len(ids), " ".join(map(str, ids)).encode(), bpe.decode(ids).encode()))
+            for base, tail in map(common.base_and_tail, new):
+                x = of(base)
+                if tail:
+                    y = of(tail)
+                    x = x[0] + y[0], x[1] + b" " + y[1], x[2] + b" " + y[2]
+                out.append(x)
             return out
 
-        _DIGESTS[path] = common.SplitMemo(bytes.split, encode, limit=250_000)
+        _DIGESTS[path] = common.SplitMemo(common.split_folding_case, encode, limit=150_000)
     return _DIGESTS[path]
 
 

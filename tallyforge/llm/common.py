@@ -7,8 +7,11 @@ Storage rules: whatever must outlive a stage is written below the folder that
 from __future__ import annotations
 
 import itertools
+import os
+import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a task: Spark deals out the cores
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI below ``spark.checkpoint.dir`` (set here only where the session has none)."""
@@ -113,25 +118,90 @@ class SplitMemo:
             yield map(get, cut)
 
 
+def split_folding_case(text: bytes) -> list[bytes]:
+    """Runs between ASCII white space, A-Z lowered, for tokenizers that lower case.  Special strings keep their case."""
+    return text.split() if b"<|" in text else text.lower().split()
+
+
+def base_and_tail(run: bytes) -> tuple[bytes, bytes]:
+    """Cuts plain punctuation off a run that has a Latin letter before it; letters and punctuation never share a token there."""
+    base = run.rstrip(b".,;:!?*#$%&")
+    if len(base) == len(run) or not base:
+        return run, b""
+    last = base[-1]
+    if 97 <= last <= 122 or 65 <= last <= 90 or (len(base) > 1 and base[-2] == 0xC3 and last not in (0x97, 0xB7)):
+        return base, run[len(base) :]
+    return run, b""
+
+
+_WORDS_ONLY = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+class WordIds:
+    """Runs of text -> their ids as little-endian unsigned 32-bit integers, by the tokenizers library.
+
+    Plain words are encoded many at a time as one text and cut after each id whose
+    token ends a word; all other runs are encoded singly.
+    """
+
+    def __init__(self, path: str, limit: int = 400_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for x in (self.tokenizer, self.plain):
+            x.no_truncation()
+            x.no_padding()
+        # Lower-case Latin words are what the normaliser and the split would leave as they are.
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.suffix_ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        for token, i in vocab.items():
+            self.suffix_ends[i] = token.endswith("</w>")
+        self.limit = limit
+        self.known: dict[bytes, bytes] = {}
+
+    def _single(self, runs: list[bytes]) -> None:
+        for at in range(0, len(runs), 1024):
+            some = runs[at : at + 1024]
+            for run, x in zip(some, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in some], add_special_tokens=False), strict=True):
+                self.known[run] = array("I", x.ids).tobytes()
+
+    def _joined(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 1024):
+            some = words[at : at + 1024]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.suffix_ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):
+                self._single(some)
+                continue
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(some, cuts, strict=True):
+                self.known[word] = data[begin:end]
+                begin = end
+
+    def __call__(self, new: list[bytes]) -> list[bytes]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        cut = [base_and_tail(x) for x in new]
+        words, others = [], []
+        for x in {x for pair in cut for x in pair}.difference(self.known, (b"",)):
+            (words if _WORDS_ONLY(x.decode("utf-8", "replace")) else others).append(x)
+        self._joined(words)
+        self._single(others)
+        known = self.known
+        return [known[base] + known[tail] if tail else known[base] for base, tail in cut]
+
+
 _MEMOS: dict = {}
 
 
 def word_ids(tokenizer_path: str) -> SplitMemo:
     """Per worker: UTF-8 text -> little-endian unsigned 32-bit ids, by the tokenizers library.
 
-    For tokenizers that drop white space: ASCII white space always separates
-    tokens there, so the library encodes each distinct run between it once.
+    For tokenizers that lower case and drop white space: ASCII white space always
+    separates tokens there, so the library encodes each distinct run between it once.
     """
     if tokenizer_path not in _MEMOS:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-
-        def encode(new: list[bytes]) -> list[bytes]:
-            done = tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
-            return [np.array(x.ids, dtype="<u4").tobytes() for x in done]
-
-        _MEMOS[tokenizer_path] = SplitMemo(bytes.split, encode)
+        _MEMOS[tokenizer_path] = SplitMemo(split_folding_case, WordIds(tokenizer_path), limit=600_000)
     return _MEMOS[tokenizer_path]

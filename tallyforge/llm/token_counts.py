@@ -51,7 +51,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
             tokenizer.no_padding()
 
             def encode(new: list[str]) -> list[int]:
-                return [len(x) for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+                return [len(x) for at in range(0, len(new), 1024) for x in tokenizer.encode_batch_fast(new[at : at + 1024], add_special_tokens=False)]
 
             plain = isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and not tokenizer.pre_tokenizer.add_prefix_space and tokenizer.normalizer is None
             memo = common.SplitMemo(_BETWEEN.split if plain else lambda x: [x], encode)

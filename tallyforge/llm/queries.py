@@ -6,22 +6,41 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, packing, token_counts, token_files
+from . import bpe, common, gif, language, packing, pivots, quality, sharding, simhash, token_counts, token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return quality.classify(docs, quality.fit(docs))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_tokens(common.documents(spark, sf_dir), common.shared_dir(spark, "tokens"), WORD_BPE, end_id=2)
     return token_files.token_positions(manifest)
 
 
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digest_stored(common.materialise(gif.store_texts(common.documents(spark, sf_dir)), "gif-media"))
+
+
+def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.documents(spark, sf_dir), BYTE_BPE)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.assign(common.documents(spark, sf_dir))
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.documents(spark, sf_dir), WORD_BPE)
 
@@ -30,12 +49,21 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(common.documents(spark, sf_dir), WORD_BPE)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(common.documents(spark, sf_dir))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_token_files": op2_token_files,
-    "op5_token_counts": op5_token_counts,
-    "op7_best_fit_packing": op7_best_fit_packing,
-    "op8_bpe": op8_bpe,
-}
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_token_files, op3_gif, op4_pivot_index, op5_token_counts,
+        op6_sharding, op7_best_fit_packing, op8_bpe, op9_language_id, op10_simhash,
+    )
+}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}

@@ -22,6 +22,8 @@ BUNDLES = 1 << 14
 HEAVY = 64
 #: Bytes count most, as the law of the result is that bytes come out nearly equal.
 WEIGHTS = (4.0, 1.0, 1.0)
+#: Finishing moves from the fullest to the emptiest shard by bytes.
+MOVES = 4096
 
 
 def place(loads: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
@@ -38,6 +40,23 @@ def place(loads: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS)
         best = int(np.lexsort((-score, misfit > 0))[0]) if (misfit == 0).any() else int(np.argmax(score))
         out[i] = best
         residual[best] -= item
+    return level(loads[:, 0], out, shards)
+
+
+def level(sizes: np.ndarray, placed: np.ndarray, shards: int) -> np.ndarray:
+    """Evens out the first dimension: moves the item nearest to half the gap from the fullest shard to the emptiest while that narrows the gap."""
+    out = placed.copy()
+    filled = np.bincount(out, weights=sizes, minlength=shards)
+    for _ in range(MOVES):
+        high, low = int(filled.argmax()), int(filled.argmin())
+        gap = filled[high] - filled[low]
+        mine = np.flatnonzero((out == high) & (sizes > 0) & (sizes < gap))
+        if not len(mine):
+            break
+        i = mine[np.abs(sizes[mine] - gap / 2).argmin()]
+        out[i] = low
+        filled[high] -= sizes[i]
+        filled[low] += sizes[i]
     return out
 
 

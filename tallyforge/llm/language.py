@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from . import common
@@ -124,16 +125,15 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
     Null text and text without a letter give ``und`` and 0, as does having learned
     nothing; repeated rows and null ids are kept; whole texts are read.
     """
-    rows = docs.select(F.col(id_col).alias(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
-    fields = [f for f in rows.schema.fields if f.name != "_text"]
+    out = list(dict.fromkeys((id_col, *keep)))
+    rows = docs.select(*out) if text_col in out else docs.select(*out, text_col)
+    fields, n, at = docs.select(*out).schema.fields, len(out), rows.columns.index(text_col)
 
     def classify(batches):
         classifier = Classifier(profiles, size)
         for b in common.rows_of(batches):
-            found = [classifier(x) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+            found = [classifier(x) for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*b.schema.names[:n], "lang_pred", "score"])
 
     return rows.mapInArrow(classify, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 

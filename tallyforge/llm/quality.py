@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from . import common
 
@@ -224,17 +225,16 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
     Null text is empty; its vote pattern and n-grams are those of no words.  Repeated
     rows and null ids are kept; an empty table gives no rows.
     """
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
-
-    rows = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
-    fields = [f for f in rows.schema.fields if f.name != "_text"]
+    out = list(dict.fromkeys((id_col, *keep)))
+    rows = docs.select(*out) if text_col in out else docs.select(*out, text_col)
+    fields, n, at = docs.select(*out).schema.fields, len(out), rows.columns.index(text_col)
 
     def score(batches):
         for b in common.rows_of(batches):
-            texts = common.texts_as_bytes(b.column(b.num_columns - 1))
+            texts = common.texts_as_bytes(b.column(at))
             pages = [Page.of(x) for x in texts]
             posterior = model.labels.posterior([pattern(x, p) for x, p in zip(texts, pages, strict=True)])
             scores = np.array([model.scorer(x, p) for x, p in zip(texts, pages, strict=True)])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(posterior), pa.array(scores), pa.array(scores >= threshold)], names=[*b.schema.names[:-1], "posterior", "score", "keep"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(posterior), pa.array(scores), pa.array(scores >= threshold)], names=[*b.schema.names[:n], "posterior", "score", "keep"])
 
     return rows.mapInArrow(score, StructType([*fields, StructField("posterior", DoubleType()), StructField("score", DoubleType()), StructField("keep", BooleanType())]))

@@ -171,3 +171,22 @@ def group(marked: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     marked = common.materialise(fingerprints(docs, words, id_col, text_col), "simhash-fingerprints")
     return group(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near-duplicates keeps its smallest id.
+
+    Of rows that repeat this id one stays, whichever; a group without any id keeps
+    one row.  Rows get a number of their own first, which breaks such ties.
+    """
+    numbered = common.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-input")
+    ordered = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("_row").alias("row"))
+    marked = common.materialise(fingerprints(numbered, words, "_row", text_col).withColumnRenamed("doc_id", "_row"), "simhash-fingerprints")
+    keyed = numbered.select("_row", ordered.alias("order")).join(marked, "_row").select("fp", "order")
+    keyed = common.materialise(keyed.groupBy("fp").agg(F.min("order").alias("first")), "simhash-classes")
+    roots = components.components(links(keyed.select("fp")), "a", "b")
+    stay = (
+        keyed.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root"))
+        .agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    )
+    return numbered.join(stay, "_row", "left_semi").drop("_row")

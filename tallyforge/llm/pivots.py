@@ -28,6 +28,8 @@ SAMPLE = 2048
 #: Lists of more vectors are compared in tiles of about this many.
 TILE = 256
 NARROW = 1e-9
+#: Pivots with a larger cosine would tell near copies apart that belong together.
+APART = 0.8
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -35,13 +37,13 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(vectors: np.ndarray, n: int = PIVOTS) -> np.ndarray:
-    """Farthest-first choice, so that groups of near copies in the sample give one pivot each."""
+    """Farthest-first choice of pivots with cosines below ``APART``, so that a group of near copies in the sample gives one."""
     if not len(vectors):
         return vectors
     units = unit_rows(vectors)
     chosen = [0]
     nearest = units @ units[0]
-    while len(chosen) < min(n, len(units)) and nearest.min() < 1 - NARROW:
+    while len(chosen) < min(n, len(units)) and nearest.min() < APART:
         chosen.append(int(nearest.argmin()))
         np.maximum(nearest, units @ units[chosen[-1]], out=nearest)
     return units[chosen]

@@ -145,8 +145,9 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
         large = shared.where(F.col("n") > bucket)
         if large.isEmpty():
             break
-        chain, level = cut_further(chain), level + 1
-        cuts = spark.createDataFrame([(c // 4, c, _signed(mask)) for c, (_, mask) in enumerate(chain)], "chain int, next int, mask long")  # 24 * 4 ** level rows
+        held = sorted(r["chain"] for r in large.select("chain").distinct().collect())  # at most 24 * 4 ** level
+        chain, level = cut_further([chain[c] for c in held]), level + 1
+        cuts = spark.createDataFrame([(held[c // 4], c, _signed(mask)) for c, (_, mask) in enumerate(chain)], "chain int, next int, mask long")
         keyed = large.select("fp", "chain").join(F.broadcast(cuts), "chain").select("fp", F.col("next").alias("chain"), F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
     out = found[0]
     for x in found[1:]:

@@ -1,0 +1 @@
+"""Change-log and state-manifest analytics on Spark DataFrames."""

@@ -238,7 +238,7 @@ def lag_metrics(spark, sf_dir):
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event type and hour: counts that stand for backlog and rates."""
-    e = tables.table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    e = tables.table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return e.groupBy("event_type", "hour").agg(F.count("*").alias("backlog"), F.count_if(F.col("event_id") % 3 == 0).cast("double").alias("write_rate"), F.count_if(F.col("event_id") % 2 == 0).cast("double").alias("replication_rate"))
 
 

@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -155,35 +156,38 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     return rows.mapInArrow(encode, "doc_id long, ids array<int>, decoded string")
 
 
+class RunDigests:
+    """Runs between ASCII white space -> (count, decimal ids, decoded tokens); no token crosses that white space."""
+
+    def __init__(self, path: str, limit: int = 400_000):
+        self.bpe, self.limit = load(path), limit
+        self.known: dict[bytes, tuple[int, bytes, bytes]] = {b"": (0, b"", b"")}
+
+    def _of(self, run: bytes) -> tuple[int, bytes, bytes]:
+        if (x := self.known.get(run)) is None:
+            ids = self.bpe.encode(run.decode("utf-8", "replace"))
+            x = self.known[run] = len(ids), " ".join(map(str, ids)).encode(), self.bpe.decode(ids).encode()
+        return x
+
+    def __call__(self, runs: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        if len(self.known) > self.limit:
+            self.known = {b"": (0, b"", b"")}
+        out = []
+        for base, tail in map(common.base_and_tail, runs):
+            x = self._of(base)
+            if tail:
+                y = self._of(tail)
+                x = x[0] + y[0], x[1] + b" " + y[1], x[2] + b" " + y[2]
+            out.append(x)
+        return out
+
+
 _DIGESTS: dict = {}
 
 
-def _digest_memo(path: str) -> common.SplitMemo:
-    """Text between ASCII white space -> (count, decimal ids, decoded tokens); no token crosses that white space."""
+def run_digests(path: str) -> RunDigests:
     if path not in _DIGESTS:
-        bpe = load(path)
-
-        runs: dict[bytes, tuple[int, bytes, bytes]] = {}
-
-        def of(run: bytes) -> tuple[int, bytes, bytes]:
-            if (x := runs.get(run)) is None:
-                ids = bpe.encode(run.decode("utf-8", "replace"))
-                x = runs[run] = len(ids), " ".join(map(str, ids)).encode(), bpe.decode(ids).encode()
-            return x
-
-        def encode(new: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-            if len(runs) > 150_000:
-                runs.clear()
-            out = []
-            for base, tail in map(common.base_and_tail, new):
-                x = of(base)
-                if tail:
-                    y = of(tail)
-                    x = x[0] + y[0], x[1] + b" " + y[1], x[2] + b" " + y[2]
-                out.append(x)
-            return out
-
-        _DIGESTS[path] = common.SplitMemo(common.split_folding_case, encode, limit=150_000)
+        _DIGESTS[path] = RunDigests(path)
     return _DIGESTS[path]
 
 
@@ -192,14 +196,21 @@ def digest_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
 
     def encode(batches):
-        memo = _digest_memo(tokenizer_path)
-        for b in common.rows_of(batches):
-            counts, ids, decoded = [], [], []
-            for parts in memo(common.texts_as_bytes(b.column(1))):
-                parts = [p for p in parts if p[0]]
-                counts.append(sum(p[0] for p in parts))
-                ids.append(hashlib.sha256(b" ".join([p[1] for p in parts])).hexdigest())
-                decoded.append(hashlib.sha256(b" ".join([p[2] for p in parts])).hexdigest())
+        digests = run_digests(tokenizer_path)
+        for b in common.rows_of(batches, 1024):
+            runs, numbers, begins = common.runs_of(b.column(1))
+            of = digests(runs)
+            n = np.array([x[0] for x in of], dtype=np.int64)
+            id_part, decoded_part = [x[1] for x in of], [x[2] for x in of]
+            numbers, begins = numbers[n[numbers] > 0], np.concatenate(([0], np.cumsum(n[numbers] > 0)))[begins]
+            totals = np.concatenate(([0], np.cumsum(n[numbers])))
+            counts = totals[begins[1:]] - totals[begins[:-1]]
+            ids, decoded = [], []
+            at = begins.tolist()
+            for first, end in zip(at, at[1:]):
+                own = numbers[first:end].tolist()
+                ids.append(hashlib.sha256(b" ".join(map(id_part.__getitem__, own))).hexdigest())
+                decoded.append(hashlib.sha256(b" ".join(map(decoded_part.__getitem__, own))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,7 +104,7 @@ class SplitMemo:
 
     def pieces(self, texts: list) -> list[list]:
         cut = [self.split(x) for x in texts]
-        new = set(itertools.chain.from_iterable(cut)).difference(self.known)
+        new = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(cut)))
         if new:
             if len(self.known) + len(new) > self.limit:
                 self.known.clear()
@@ -118,13 +119,26 @@ class SplitMemo:
             yield map(get, cut)
 
 
-def split_folding_case(text: bytes) -> list[bytes]:
-    """Runs between ASCII white space, A-Z lowered, for tokenizers that lower case.  Special strings keep their case."""
-    return text.split() if b"<|" in text else text.lower().split()
+def runs_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Runs between ASCII white space of some texts (null: none): the distinct runs, each run's number, and where each text's runs begin.
+
+    A-Z are lowered first, for tokenizers that lower case; not where a special
+    string might stand, as those are told by case.
+    """
+    texts = texts.take(pa.array(np.arange(len(texts))))  # Arrow's string kernels misread slices of larger arrays
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    offsets = lists.offsets.to_numpy()
+    return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), (offsets - offsets[0]).astype(np.int64)
 
 
 def base_and_tail(run: bytes) -> tuple[bytes, bytes]:
     """Cuts plain punctuation off a run that has a Latin letter before it; letters and punctuation never share a token there."""
+    if not run or run[-1] >= 97:  # most runs end in a letter or a byte of one
+        return run, b""
     base = run.rstrip(b".,;:!?*#$%&")
     if len(base) == len(run) or not base:
         return run, b""
@@ -141,10 +155,11 @@ class WordIds:
     """Runs of text -> their ids as little-endian unsigned 32-bit integers, by the tokenizers library.
 
     Plain words are encoded many at a time as one text and cut after each id whose
-    token ends a word; all other runs are encoded singly.
+    token ends a word; all other runs are encoded singly.  At most ``limit`` runs
+    and those of one call are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -159,7 +174,7 @@ class WordIds:
         for token, i in vocab.items():
             self.suffix_ends[i] = token.endswith("</w>")
         self.limit = limit
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
 
     def _single(self, runs: list[bytes]) -> None:
         for at in range(0, len(runs), 1024):
@@ -180,28 +195,43 @@ class WordIds:
                 self.known[word] = data[begin:end]
                 begin = end
 
-    def __call__(self, new: list[bytes]) -> list[bytes]:
+    def of_runs(self, runs: list[bytes]) -> list[bytes]:
         if len(self.known) > self.limit:
-            self.known.clear()
-        cut = [base_and_tail(x) for x in new]
+            self.known = {b"": b""}
+        cut = [base_and_tail(x) for x in runs]
         words, others = [], []
-        for x in {x for pair in cut for x in pair}.difference(self.known, (b"",)):
-            (words if _WORDS_ONLY(x.decode("utf-8", "replace")) else others).append(x)
+        for x in {x for pair in cut for x in pair}.difference(self.known):
+            plain = x.islower() if x.isalpha() else x[0] >= 97 and _WORDS_ONLY(x.decode("utf-8", "replace"))
+            (words if plain else others).append(x)
         self._joined(words)
         self._single(others)
         known = self.known
         return [known[base] + known[tail] if tail else known[base] for base, tail in cut]
 
 
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        runs, numbers, begins = runs_of(texts)
+        of = self.of_runs(runs)
+        flat = np.frombuffer(b"".join(of), dtype="<u4")
+        sizes = np.fromiter(map(len, of), np.int64, len(of)) // 4
+        first = np.cumsum(sizes) - sizes
+        n = sizes[numbers]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat(first[numbers] - ends[:-1], n) + np.arange(ends[-1])]
+        at = ends[begins].tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
+
+
 _MEMOS: dict = {}
 
 
-def word_ids(tokenizer_path: str) -> SplitMemo:
-    """Per worker: UTF-8 text -> little-endian unsigned 32-bit ids, by the tokenizers library.
+def word_ids(tokenizer_path: str) -> WordIds:
+    """Per worker: texts -> ids, for tokenizers that lower case and drop white space.
 
-    For tokenizers that lower case and drop white space: ASCII white space always
-    separates tokens there, so the library encodes each distinct run between it once.
+    ASCII white space always separates tokens there, so the library encodes each
+    distinct run between it once.
     """
     if tokenizer_path not in _MEMOS:
-        _MEMOS[tokenizer_path] = SplitMemo(split_folding_case, WordIds(tokenizer_path), limit=600_000)
+        _MEMOS[tokenizer_path] = WordIds(tokenizer_path)
     return _MEMOS[tokenizer_path]

@@ -88,10 +88,10 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
     def encode(batches):
         ids_of = common.word_ids(tokenizer_path)
         end, step = struct.pack("<I", end_id), 4 * capacity
-        for b in common.rows_of(batches):
+        for b in common.rows_of(batches, 1024):
             out = []
-            for key, ids in zip(b.column(0).to_pylist(), ids_of(common.texts_as_bytes(b.column(1))), strict=True):
-                data = b"".join(ids) + end
+            for key, ids in zip(b.column(0).to_pylist(), ids_of(b.column(1)), strict=True):
+                data = ids.tobytes() + end
                 for i, at in enumerate(range(0, len(data), step)):
                     cut = data[at : at + step]
                     out.append((key, i, at // 4, len(cut) // 4, zlib.crc32(cut)))

@@ -29,7 +29,6 @@ DISTANCE = 3
 SEGMENTS = 8
 BUDGETS = tuple(n * DISTANCE // SEGMENTS for n in range(1, SEGMENTS + 1))
 BUCKET = 1024
-ALL = (1 << 64) - 1
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:

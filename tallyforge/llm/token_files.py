@@ -177,9 +177,9 @@ def write_tokens(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int
         temporary = f"{folder}/_{uuid.uuid4().hex}"
         with fs.open_output_stream(temporary) as sink:
             writer = Writer(sink, frame_tokens)
-            for b in common.rows_of(batches):
-                for key, ids in zip(b.column(0).to_pylist(), encode(common.texts_as_bytes(b.column(1))), strict=True):
-                    writer.add(key, b"".join(ids) + end)
+            for b in common.rows_of(batches, 1024):
+                for key, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
+                    writer.add(key, ids.tobytes() + end)
             writer.close()
         fs.move(temporary, path)
         name = f"{out_uri.rstrip('/')}/part-{part:06d}.tok.zst"

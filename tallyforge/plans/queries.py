@@ -431,6 +431,108 @@ def predicates(spark, sf_dir):
     return tables.table(spark, sf_dir, "orders").select("o_orderkey", rules.integrity_label(outcome).alias("integrity"), rules.is_verified(outcome).alias("verified"), rules.compare_epochs(e, F.lit(2)).alias("epoch_order"), rules.is_stale_fence(e, t, F.lit(2).cast("long"), F.lit(3).cast("long")).alias("stale"), text.short_id(F.col("o_orderpriority")).alias("short_id"))
 
 
+@query(f"""WITH {_OBJECTS}, {_BLOCKS}, o AS (SELECT path, CAST(sum(octet_length(data)) AS BIGINT) AS size, string_agg(sha256(data), '' ORDER BY "offset") AS ids FROM blocks GROUP BY path)
+SELECT sha256(string_agg(objects.path || ':' || sha256(coalesce(ids, '')) || ':' || coalesce(size, 0) || chr(10), '' ORDER BY objects.path)) AS root FROM objects LEFT JOIN o ON objects.path = o.path""")
+def archive_root(spark, sf_dir):
+    objs = _docs(spark, sf_dir)
+    return digests.archive_root(objects.object_index(objs, objects.blocks(objs, SMALL_BLOCK)))
+
+
+@query()
+def sanitised_clone(spark, sf_dir):
+    archive = objects.export(_docs(spark, sf_dir), tables.shared_dir(spark, "archive"), "a-1", 1, SMALL_BLOCK)
+    made = objects.sanitised_clone(archive, tables.shared_dir(spark, "archive"), "a-2", [text.redact_emails, text.tokenize_secrets], SMALL_BLOCK)
+    return made["summary"].select("archive_id", "changed_objects", "blocks", "chunks")
+
+
+@query("SELECT event_id AS seq, event_type AS kind, CAST(user_id AS VARCHAR) AS path, props AS payload FROM events WHERE event_id BETWEEN 100 AND 400")
+def log_range_scan(spark, sf_dir):
+    path = tables.shared_dir(spark, "log")
+    e = tables.table(spark, sf_dir, "events")
+    log.write(e.select(F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("epoch"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("path"), F.col("props").alias("payload")), path)
+    return log.scan(spark, path, 100, 400).select("seq", "kind", "path", "payload")
+
+
+@query("""SELECT CAST(user_id % 10 AS VARCHAR) AS resource, CAST(user_id AS VARCHAR) AS path, props AS content_hash, event_id AS size, applied FROM (
+SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(props, event_id) AS props FROM events GROUP BY user_id)
+JOIN (SELECT user_id % 10 AS r, count(*) AS applied FROM events GROUP BY 1) ON r = user_id % 10 WHERE event_type <> 'error'""")
+def log_replay(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), (F.col("user_id") % 10).cast("string").alias("resource"), F.when(F.col("event_type") == "error", "delete").otherwise("write").alias("kind"),
+        F.col("user_id").cast("string").alias("path"), F.lit("").alias("dest_path"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("mode"), F.col("event_id").alias("size"), F.col("props").alias("content_hash"),
+    )
+    return log_ops.replay(e).where("path is not null").select("resource", "path", "content_hash", "size", "applied")
+
+
+@query("""WITH e AS (SELECT event_id, user_id || '/' || event_type || '/' || props AS op, CAST(floor(value) AS BIGINT) AS token FROM events),
+first AS (SELECT op, min(event_id) AS event_id FROM e WHERE event_id >= 500 GROUP BY op), fresh AS (SELECT e.* FROM e JOIN first USING (op, event_id) WHERE (token = 0 OR token >= 2) AND op NOT IN (SELECT op FROM e WHERE event_id < 500))
+SELECT op AS client_op_id, token AS fence_token, 499 + row_number() OVER (ORDER BY event_id) AS seq FROM fresh""")
+def log_append(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat_ws("/", "user_id", "event_type", "props").alias("client_op_id"), F.floor("value").alias("fence_token"), F.lit(1).cast("long").alias("epoch"))
+    incoming = e.where("seq >= 500").withColumnRenamed("seq", "arrival").drop("epoch")
+    return log_ops.append(e.where("seq < 500"), incoming, fence=2).select("client_op_id", "fence_token", "seq")
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, CASE WHEN event_type = 'error' THEN 'rollback' ELSE 'commit' END AS action, event_id % 7 AS pin FROM events),
+g AS (SELECT *, count(*) FILTER (action = 'rollback') OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e)
+SELECT user_id, event_id, action, CAST(coalesce(max(pin) FILTER (action = 'rollback') OVER w, 0) + count(*) FILTER (action = 'commit') OVER w AS BIGINT) AS assigned, false AS refused FROM g
+WINDOW w AS (PARTITION BY user_id, run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def epoch_assignment(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "rollback").otherwise("commit").alias("action"), (F.col("event_id") % 7).alias("pin"))
+    return log_ops.epochs(e, "user_id", "event_id", "action", "pin")
+
+
+@query("""SELECT o_orderkey AS scenario, o_orderkey % 2 = 0 AS expect_detection, coalesce(o_orderkey % 3 <> 0 AND (o_orderkey % 2 = 0) = (o_orderkey % 4 = 0) AND o_orderkey % 5 <> 0, false) AS passed FROM orders""")
+def chaos_matrix(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = tables.table(spark, sf_dir, "orders").select(k)
+    expected = o.select(k.alias("scenario"), (k % 2 == 0).alias("expect_detection"), F.lit("RETRY").alias("expect_action"))
+    actual = o.where(k % 3 != 0).select(k.alias("scenario"), (k % 4 == 0).alias("detected"), (k % 5 != 0).alias("recovered"), F.lit("RETRY").alias("action_taken"))
+    return catalog.chaos_matrix(expected, actual).select("scenario", "expect_detection", "passed")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN '[x] ' WHEN 'signup' THEN '[!] ' WHEN 'purchase' THEN '[+] ' ELSE '[.] ' END || props AS line, 1 AS schema_version FROM events")
+def event_lines(spark, sf_dir):
+    level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "warn").when(F.col("event_type") == "purchase", "success").otherwise("info")
+    e = tables.table(spark, sf_dir, "events")
+    return e.select("event_id", text.event_line(level, F.col("props")).alias("line"), text.envelope(F.struct("props"))["schema_version"].alias("schema_version"))
+
+
+@query("SELECT o_orderkey, 'write_pause' AS name, o_totalprice AS value, 'ms' AS unit FROM orders UNION ALL SELECT o_orderkey, 'barrier_pause', o_totalprice / 2, 'ms' FROM orders")
+def pause_metrics(spark, sf_dir):
+    o = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("write_pause"), (F.col("o_totalprice") / 2).alias("barrier_pause"))
+    return text.pause_metrics(o, "write_pause", "barrier_pause")
+
+
+@query("SELECT event_type AS name, arg_min(value, (ts, event_id)) AS value FROM events WHERE event_type = 'view' GROUP BY 1")
+def first_metric(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "value", F.struct("ts", "event_id").alias("ts"))
+    return catalog.first_metric(e, "view")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'active' WHEN c_custkey % 3 = 0 THEN 'standby' ELSE 'shadow' END AS role FROM customer")
+def slot_roles(spark, sf_dir):
+    c = tables.table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "active").otherwise("shadow").alias("role"))
+    return log_ops.promoted(c, "c_custkey", "role", 7)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey <> 5")
+def prune_entry(spark, sf_dir):
+    return catalog.prune(tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 5)
+
+
+@query(f"{_BOTH} SELECT (SELECT count(*) FROM a) AS active_files, (SELECT count(*) FROM c) AS candidate_files, false AS equal")
+def manifest_equal(spark, sf_dir):
+    objs = _docs(spark, sf_dir)
+    return mf.equal(mf.manifest(objs), mf.manifest(_edited(objs))).select("active_files", "candidate_files", "equal")
+
+
+@query(f"WITH {_OBJECTS}, {_BLOCKS} SELECT sha256(data) AS hash, 'missing' AS fault FROM blocks GROUP BY 1 HAVING substr(sha256(data), 1, 1) = '0'")
+def chunk_faults(spark, sf_dir):
+    cut = objects.blocks(_docs(spark, sf_dir), SMALL_BLOCK, keep_data=True)
+    return dedup.chunk_faults(cut, dedup.first_chunks(cut).where(~F.col("hash").startswith("0")))
+
+
 @query(ORACLE_SQL["lww_state"])
 def stream_lww(spark, sf_dir):
     return stream.run_to_table(stream.latest(stream.read(spark, f"{sf_dir}/events.parquet"), "user_id", "event_id", ["event_type", "value"]), "complete").where("event_type <> 'error'")

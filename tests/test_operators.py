@@ -279,3 +279,19 @@ def test_entry_works_without_the_training_data_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'lww_state' in q and not [n for n in q if n.startswith('op1') or n == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_engine(spark, tmp_path):
+    from tallyforge.engine import Engine
+
+    for side in ("a", "b"):
+        os.makedirs(tmp_path / side / "d")
+        (tmp_path / side / "d" / "x").write_bytes(b"1" * 70_000)
+        (tmp_path / side / "y").write_bytes(side.encode())
+    e = Engine(spark)
+    assert e.verify(str(tmp_path / "a"), str(tmp_path / "a")).first().outcome == "VERIFIED"
+    assert e.verify(str(tmp_path / "a"), str(tmp_path / "b")).first().outcome == "PARTIAL"
+    assert e.checkpoint(str(tmp_path / "a")).first().files == 2
+    e.export(str(tmp_path / "a"), str(tmp_path / "archive"), "id", 1)
+    assert {r.path: bytes(r.content) for r in e.restore(str(tmp_path / "archive")).collect()} == {"d/x": b"1" * 70_000, "y": b"a"}
+    assert e.drill(str(tmp_path / "archive")).first().digest_ok

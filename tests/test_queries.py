@@ -44,3 +44,17 @@ def test_query_equals_sql(spark, sf_dir, name):
 def test_queries_without_sql(spark, sf_dir):
     for name in sorted(core.QUERIES.keys() - core.ORACLE_SQL.keys()):
         assert core.QUERIES[name](spark, sf_dir).count() >= 1
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    df = __spark_entry__.entry(spark)
+    assert df.columns == ["user_id", "event_id", "event_type", "value"] and df.count() > 0
+
+
+def test_plans_push_down_and_prune(spark, sf_dir):
+    plan = core.QUERIES["lww_state"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan and "CartesianProduct" not in plan
+    plan = core.QUERIES["verify_metadata"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan

@@ -159,7 +159,7 @@ class WordIds:
     and those of one call are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 350_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)

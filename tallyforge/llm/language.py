@@ -76,7 +76,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(counts)], names=["l", "g", "n"])
             held.clear()
 
-        for b in common.rows_of(batches):
+        for b in common.rows_of(batches, 96):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(ngrams(text))
@@ -119,8 +119,8 @@ class Classifier:
         return self.languages[best], 1.0 - float(distance[best]) / (self.size * len(top))
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Adds lang_pred and score to the id column (and ``keep`` columns) by the text alone.
+def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds lang_pred and score (``names``) to the id column (and ``keep`` columns) by the text alone.
 
     Null text and text without a letter give ``und`` and 0, as does having learned
     nothing; repeated rows and null ids are kept; whole texts are read.
@@ -133,9 +133,9 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
         classifier = Classifier(profiles, size)
         for b in common.rows_of(batches):
             found = [classifier(x) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*b.schema.names[:n], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*b.schema.names[:n], *names])
 
-    return rows.mapInArrow(classify, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return rows.mapInArrow(classify, StructType([*fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

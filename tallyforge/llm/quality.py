@@ -219,8 +219,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     return QualityModel(labels, fit_scorer(x, labels.posterior([r["code"] for r in rows]) if rows else np.empty(0)))
 
 
-def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = KEEP_FROM) -> DataFrame:
-    """id, ``keep`` columns, posterior (weak label), score (linear scorer) and keep = score >= threshold, for every row.
+def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = KEEP_FROM, names: tuple[str, str, str] = ("posterior", "score", "keep")) -> DataFrame:
+    """id, ``keep`` columns, posterior (weak label), score (linear scorer) and keep = score >= threshold (``names``), for every row.
 
     Null text is empty; its vote pattern and n-grams are those of no words.  Repeated
     rows and null ids are kept; an empty table gives no rows.
@@ -235,6 +235,6 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
             pages = [Page.of(x) for x in texts]
             posterior = model.labels.posterior([pattern(x, p) for x, p in zip(texts, pages, strict=True)])
             scores = np.array([model.scorer(x, p) for x, p in zip(texts, pages, strict=True)])
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(posterior), pa.array(scores), pa.array(scores >= threshold)], names=[*b.schema.names[:n], "posterior", "score", "keep"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(posterior), pa.array(scores), pa.array(scores >= threshold)], names=[*b.schema.names[:n], *names])
 
-    return rows.mapInArrow(score, StructType([*fields, StructField("posterior", DoubleType()), StructField("score", DoubleType()), StructField("keep", BooleanType())]))
+    return rows.mapInArrow(score, StructType([*fields, StructField(names[0], DoubleType()), StructField(names[1], DoubleType()), StructField(names[2], BooleanType())]))

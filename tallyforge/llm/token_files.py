@@ -36,7 +36,7 @@ HAS_CHECKSUMS = 0x80
 
 NO_ID = -(2**63)
 MANIFEST = "part long, path string, n_docs long, n_tokens long"
-READ = "part long, doc_id long, in_file long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class Frame(NamedTuple):
@@ -189,25 +189,23 @@ def write_tokens(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int
     return common.materialise(written, "token-manifest")
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """Reads every file of the manifest: per document its id, place in the file, count and CRC-32 of its ids."""
+def token_positions(manifest: DataFrame) -> DataFrame:
+    """Reads every file back: per document its id, place in the whole sequence, count and CRC-32 of its ids.
+
+    The manifest has one row a file, so the running sum of its counts is small; it
+    goes into the readers with each file's name, and documents are not joined.
+    """
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = manifest.select("part", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
 
     def read(batches):
         for b in batches:
-            for part, uri in zip(b.column("part").to_pylist(), b.column("path").to_pylist(), strict=True):
-                out, begin = [], 0
+            for uri, begin in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
+                out = []
                 for d in open_reader(uri):
-                    out.append((part, d.doc_id, begin, len(d.ids), zlib.crc32(d.ids.tobytes())))
+                    out.append((d.doc_id, begin, len(d.ids), zlib.crc32(d.ids.tobytes())))
                     begin += len(d.ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["part", "doc_id", "in_file", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = common.shuffle_partitions(manifest.sparkSession)
-    return manifest.select("part", "path").repartition(n, "part").mapInArrow(read, READ)
-
-
-def token_positions(manifest: DataFrame) -> DataFrame:
-    """Per document its place in the whole sequence.  The manifest has one row a file, so its running sum is small."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select(F.col("part").alias("_p"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_s"))
-    read = read_tokens(manifest)
-    return read.join(starts, F.col("part") == F.col("_p")).select("doc_id", (F.col("_s") + F.col("in_file")).alias("start"), "n_tokens", "ids_crc32")
+    return starts.repartition(n, "part").select("path", "start").mapInArrow(read, READ)

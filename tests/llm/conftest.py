@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, k long, length long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, k long, length long, score double, keep boolean, fp long, shard int"
 
 ODD = [
     "", None, " ", "a", "The cat's sat\n\non  the mat, didn't it?", "x <|endoftext|> y<|startoftext|>z  <|endoftext|>", "ÀÉÎ straße İstanbul ΣΑΣ ΟΔΟΣ", "é café ́x",
@@ -11,8 +11,8 @@ ODD = [
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):
-    rows = [(i, t, None if i % 5 == 0 else ("en", "de")[i % 2], None, None, "clash", i, 7) for i, t in enumerate(ODD)]
-    rows += [(None, "row without id", "en", None, None, None, None, None), (3, "a", "en", None, None, None, None, None)]
+    rows = [(i, t, None if i % 5 == 0 else ("en", "de")[i % 2], None, None, "clash", i, 7, 0.5, False, 3, 4) for i, t in enumerate(ODD)]
+    rows += [(None, "row without id", "en", *[None] * 9), (3, "a", "en", *[None] * 9)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
 

@@ -362,7 +362,7 @@ def gate_decisions(spark, sf_dir):
 @query("""WITH i AS (SELECT o_orderkey, o_totalprice * 1000 AS bytes, o_orderkey % 40 AS files, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE 1000000.0 END AS bandwidth, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE 400.0 END AS history,
 CAST(o_orderkey % 450 AS DOUBLE) AS write_rate, CASE WHEN o_orderkey % 9 = 0 THEN 100000000.0 ELSE 0.0 END AS capacity, o_orderkey % 14 <> 0 AS can_verify FROM orders),
 j AS (SELECT *, CASE WHEN bandwidth > 0 THEN bandwidth ELSE 33554432.0 END AS bw, CASE WHEN history > 0 THEN history ELSE 5000.0 END AS h FROM i)
-SELECT o_orderkey, round(CASE WHEN h > write_rate AND files > 0 THEN bytes / bw * write_rate / h * 1000 + bytes / bw * 1000 WHEN h <= write_rate AND write_rate > 0 THEN -1 ELSE 0 END, 3) AS catchup_ms,
+SELECT o_orderkey, round(CASE WHEN h > write_rate AND files > 0 THEN bytes / bw * write_rate / h * 1000 + bytes / bw * 1000 WHEN h <= write_rate AND write_rate > 0 THEN -1 ELSE 0 END, 6) AS catchup_ms,
 round(5 + write_rate / h * 40, 6) AS pause_ms, CASE WHEN (capacity > 0 AND bytes > capacity) OR NOT can_verify THEN 'BLOCKED' WHEN write_rate > 0 AND write_rate >= h THEN 'LIKELY_NON_CONVERGENT' WHEN write_rate > h * 0.7 THEN 'READY_WITH_RISK'
 WHEN 5 + write_rate / h * 40 > 250 THEN 'READY_WITH_RISK' ELSE 'READY' END AS conclusion,
 CAST(CASE WHEN capacity > 0 AND bytes > capacity THEN 0.95 WHEN NOT can_verify THEN 0.7 WHEN write_rate > 0 AND write_rate >= h THEN 0.8 WHEN write_rate > h * 0.7 THEN 0.6 WHEN files = 0 AND bytes = 0 AND write_rate = 0 THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence FROM j""")
@@ -373,7 +373,7 @@ def migration_plan(spark, sf_dir):
         "bytes": F.col("o_totalprice") * 1000, "files": k % 40, "bandwidth": F.when(k % 4 == 0, 0.0).otherwise(1e6), "history": F.when(k % 5 == 0, 0.0).otherwise(400.0),
         "write_rate": (k % 450).cast("double"), "capacity": F.when(k % 9 == 0, 1e8).otherwise(0.0), "can_verify": k % 14 != 0,
     })
-    return o.select("o_orderkey", F.round(out["catchup_ms"], 3).alias("catchup_ms"), F.round(out["pause_ms"], 6).alias("pause_ms"), out["conclusion"].alias("conclusion"), out["confidence"].alias("confidence"))
+    return o.select("o_orderkey", F.round(out["catchup_ms"], 6).alias("catchup_ms"), F.round(out["pause_ms"], 6).alias("pause_ms"), out["conclusion"].alias("conclusion"), out["confidence"].alias("confidence"))
 
 
 _PHASES = (*rules.PHASES, *rules.UNSAFE_PHASES, "OTHER")

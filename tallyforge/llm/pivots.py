@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from . import common, components
 
 PIVOTS = 128
-NEAREST = 6
+NEAREST = 7
 SHARED = 3
 #: The pivots are chosen among about this many vectors, taken by hash; every vector is indexed.
 SAMPLE = 2048

@@ -97,7 +97,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: DigestCache | None
     content = normalise(text) if normalise else text
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(content, "utf-8"), 256).alias("digest"), text.alias("t"))
 
-    chosen = rows.groupBy("digest").agg(F.min("k").alias("k"))
+    chosen = common.materialise(rows.groupBy("digest").agg(F.min("k").alias("k")), "token-digests")
     missing = chosen.join(cache.read(version), "digest", "left_anti")
     to_encode = rows.select("digest", "k", "t").join(missing.hint("shuffle_hash"), ["digest", "k"], "left_semi").select("digest", "t")
 
@@ -107,7 +107,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: DigestCache | None
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
     cache.append(to_encode.mapInArrow(encode, "digest string, n_tokens long").select(F.lit(version).alias("version"), "digest", "n_tokens"))
-    return (
-        rows.drop("t", "k").join(cache.read(version), "digest")
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    # A table of its own, so that AQE can split a digest that very many documents have.
+    counts = common.materialise(chosen.select("digest").join(cache.read(version), "digest"), "token-counts-found")
+    return rows.drop("t", "k").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -26,7 +26,7 @@ SHARED = 3
 #: The pivots are chosen among about this many vectors, taken by hash; every vector is indexed.
 SAMPLE = 2048
 #: Lists of more vectors are compared in tiles of about this many.
-TILE = 256
+TILE = 512
 NARROW = 1e-9
 #: Pivots with a larger cosine would tell near copies apart that belong together.
 APART = 0.8

@@ -6,9 +6,11 @@ Storage rules: whatever must outlive a stage is written below the folder that
 
 from __future__ import annotations
 
+import atexit
 import itertools
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from array import array
@@ -25,20 +27,60 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a task: S
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI below ``spark.checkpoint.dir`` (set here only where the session has none)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder URI below ``spark.checkpoint.dir``, removed when the session's JVM ends.
+
+    Where the session names none, a local session gets a folder of its own; on a
+    cluster this is an error, as executors would write where the driver cannot read.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tallyforge-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``materialise`` wrote and that nothing reads any more."""
+    for t in tables:
+        fs, at = _hadoop(t.sparkSession, t._written)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
+
+
+def written_bytes(table: DataFrame) -> int:
+    """Bytes of a table that ``materialise`` wrote."""
+    fs, at = _hadoop(table.sparkSession, table._written)
+    return fs.getContentSummary(at).getLength()
+
+
+#: Compressed bytes of a written table that one task of Python work takes at most.
+TASK_BYTES = 32 << 20
+
+
+def partitions_of(table: DataFrame) -> int:
+    """Partitions to deal a written table to: as the session says, and more where it is large."""
+    return max(shuffle_partitions(table.sparkSession), -(-written_bytes(table) // TASK_BYTES))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -71,7 +113,7 @@ def rank_within(df: DataFrame, key: str, order: list[str], out: str) -> DataFram
     A key's c rows are dealt by hash to sqrt(c) buckets, ranked inside a bucket,
     and shifted by the sizes of the buckets before it, so no task sorts more than
     about sqrt(c) rows of one key.  ``key`` must have a bounded number of values
-    (its callers: at most 2,048 lengths or 16 shards), as the per-key counts are
+    (its callers: at most 2,048 lengths, 16 shards or 3,072 heavy groups), as the per-key counts are
     broadcast.  ``df`` must be cheap and stable to read twice (a written table).
     """
     sizes = df.groupBy(key).agg(F.count("*").alias("_c")).select(F.col(key).alias("_k"), F.ceil(F.sqrt("_c")).cast("long").alias("_nb"))
@@ -208,7 +250,6 @@ class WordIds:
         known = self.known
         return [known[base] + known[tail] if tail else known[base] for base, tail in cut]
 
-
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
         runs, numbers, begins = runs_of(texts)

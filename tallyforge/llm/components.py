@@ -35,11 +35,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # A table of its own, so that AQE can split a node with very many neighbours.
-        low = common.materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"stars-low-{k}")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low_table = common.materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"stars-low-{k}")
+        large = both.where("v > u").join(low_table, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.materialise(small, f"stars-{k}")
+        was, edges = edges, common.materialise(small, f"stars-{k}")
+        common.discard(was, low_table)
         after = _signature(edges)
         if after == before:
             break
@@ -49,13 +50,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def by_group(df: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]], schema: str, partitions: int | None = None) -> DataFrame:
     """``work`` on each group of rows with equal integer ``keys``; only for groups of bounded size.
 
     Rows are dealt by key and sorted, so a task holds one group at a time.
     ``work`` gets Arrow columns by name.
     """
-    n = common.shuffle_partitions(df.sparkSession)
+    n = partitions or common.shuffle_partitions(df.sparkSession)
 
     def run(batches):
         held: list[pa.RecordBatch] = []

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyforge.llm import common, gif, language, quality, queries, sharding, simhash
@@ -178,11 +179,39 @@ def test_shards(request, docs):
         assert max(filled) - min(filled) <= 0.02 * sum(filled) / 4
 
 
-def test_a_group_above_a_fair_share_is_cut(spark):
-    df = spark.createDataFrame([(i, "same text" if i % 3 == 0 else f"text number {i:05d}") for i in range(3000)], "doc_id long, text string")
-    got = sharding.assign(df, 16).collect()
-    filled = np.bincount([r.shard for r in got], weights=[r.size for r in got], minlength=16)
-    assert filled.max() <= 1.1 * filled.mean()
+def filled_shards(got, shards=16):
+    return np.bincount([r.shard for r in got], weights=[r.size for r in got], minlength=shards)
+
+
+@pytest.mark.parametrize("rows, apart", [
+    ([(i, "same text" if i % 3 == 0 else f"text number {i:05d}") for i in range(3000)], 25),
+    ([(i % 8, "x" * 50_000) for i in range(8)] + [(100 + i, f"{i:04d}" + "y" * 996) for i in range(800)], 1002),
+    ([(7, "repeated " * 555)] * 400 + [(i, f"small {i}") for i in range(2000)], 5002),
+    ([(None, "no id at all")] * 500 + [(i, f"text {i}") for i in range(300)], 20),
+    ([(k * 100 + i, f"group {k:02d} of seventeen") for k in range(17) for i in range(40)], 30),
+    ([(1, "one row only")], 13),
+])
+def test_bytes_come_out_nearly_equal(spark, rows, apart):
+    """Within two hundredths of the mean, or a row's size where that is more; slots are gapless and equal texts together unless a group was cut."""
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 16).collect()
+    filled = filled_shards(got)
+    assert filled.max() - filled.min() <= max(0.02 * filled.mean(), apart)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(t) + 1, zlib.crc32(t.encode())) for i, t in rows)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    homes = {}
+    for r in got:
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+    sizes = Counter(r.text_crc32 for r in got)
+    assert all(len(h) == 1 for t, h in homes.items() if sizes[t] == 1)
+
+
+def test_tokens_of_groups(spark):
+    texts = ["", None, " ", " lead", "tail ", "a  b\tc\n", "\u00a0x", "one"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    text = common.text_of("text")
+    n = [r[0] for r in df.orderBy("doc_id").select(F.size(F.array_remove(F.split(text, r"\s+"), ""))).collect()]
+    assert n == [0, 0, 0, 1, 1, 3, 1, 1]
 
 
 def test_placing_follows_residual_capacity():

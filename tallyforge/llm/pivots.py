@@ -1,15 +1,19 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Every vector is described by its nearest reference points (pivots).  An inverted
-list holds the vectors that have a given set of ``SHARED`` pivots among their
-``NEAREST``; two vectors meet in some list exactly if they share at least that
-many pivots, and the pair is verified by its cosine in the list of their first
-shared set only, so each link counts once.
+Every vector is described by the order of its ``PREFIX`` nearest reference points
+(pivots).  It lies in the inverted lists of its first ``LISTS`` pivots: at home in
+the list of the nearest, a guest in the others.  A list compares its homes with all
+its members by the number of pivots that two prefixes share; members with a partner
+of at least ``SHARED`` are shortlisted, and only their vectors are fetched and
+compared by cosine.  A pair that meets in two lists is verified in one of them.
+
+Lists move ids and prefixes, never pairs: a long list is compared in tiles, spread
+over tasks.  Homes within half the linking angle of their pivot all link with each
+other by the triangle inequality, so such a core takes one count, not its square.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -20,23 +24,24 @@ from pyspark.sql import types as T
 
 from . import common, components
 
-PIVOTS = 128
-NEAREST = 7
-SHARED = 3
-#: The pivots are chosen among about this many vectors, taken by hash; every vector is indexed.
-SAMPLE = 2048
-#: Lists of more vectors are compared in tiles of about this many.
-TILE = 512
+#: Pivots: the square root of the number of distinct vectors, within these bounds.
+PIVOTS = (256, 2048)
+PREFIX, LISTS, SHARED = 12, 7, 6
+#: The pivots are chosen among about this many vectors a pivot, taken by hash; every vector is indexed.
+SAMPLE = 8
+#: Lists of more members are compared in tiles of about this many.
+TILE = 2048
 NARROW = 1e-9
 #: Pivots with a larger cosine would tell near copies apart that belong together.
 APART = 0.8
+HOME, CORE, GUEST = 0, 1, 2
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def choose_pivots(vectors: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+def choose_pivots(vectors: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first choice of pivots with cosines below ``APART``, so that a group of near copies in the sample gives one."""
     if not len(vectors):
         return vectors
@@ -49,28 +54,43 @@ def choose_pivots(vectors: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     return units[chosen]
 
 
-def nearest_pivots(units: np.ndarray, pivots: np.ndarray, k: int = NEAREST) -> np.ndarray:
-    """Each vector's ``k`` nearest pivots in ascending number; missing ones are -1, -2, ..."""
+def prefixes(units: np.ndarray, pivots: np.ndarray, k: int = PREFIX) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's ``k`` nearest pivots, nearest first (-1 where there are fewer), and its cosine with the first."""
+    out = np.full((len(units), k), -1, np.int16)
+    if not len(pivots):
+        return out, np.full(len(units), -1.0)
+    near = units @ pivots.T
     have = min(k, len(pivots))
-    out = np.tile(-np.arange(k, 0, -1, dtype=np.int64), (len(units), 1))
-    if have:
-        order = np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :have]
-        out[:, k - have :] = np.sort(order, axis=1)
-    return out
+    order = np.argsort(-near, axis=1, kind="stable")[:, :have]
+    out[:, :have] = order
+    return out, near[np.arange(len(units)), order[:, 0]]
+
 
+def shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix of how many pivots the prefixes in ``a`` and ``b`` share."""
+    used, where = np.unique(np.concatenate((a.ravel(), b.ravel())), return_inverse=True)
+    marks = np.zeros((len(a) + len(b), len(used)), np.float32)
+    marks[np.repeat(np.arange(len(marks)), a.shape[1]), where] = 1
+    marks[:, used < 0] = 0
+    return marks[: len(a)] @ marks[len(a) :].T
 
-def _packed(sets: np.ndarray) -> np.ndarray:
-    out = np.zeros(sets.shape[:-1], np.int64)
-    for i in range(sets.shape[-1]):
-        out = out * 4096 + sets[..., i] + 16
+
+def _holds(prefix: np.ndarray, homes: np.ndarray, lists: int) -> np.ndarray:
+    """[i, j]: whether homes[j] is among the first ``lists`` pivots of prefix i."""
+    out = np.zeros((len(prefix), len(homes)), bool)
+    for k in range(lists):
+        out |= prefix[:, k, None] == homes[None, :]
     return out
 
 
-def first_shared(a: np.ndarray, b: np.ndarray, shared: int = SHARED) -> np.ndarray:
-    """Packed first ``shared`` pivots (in ascending number) that rows of ``a`` and ``b`` have in common."""
-    both = (a[:, :, None] == b[:, None, :]).any(2)
-    order = np.argsort(~both, axis=1, kind="stable")[:, :shared]
-    return _packed(np.take_along_axis(a, order, 1))
+def once(a: np.ndarray, b: np.ndarray, cell: int, lists: int = LISTS) -> np.ndarray:
+    """Which pairs are this list's to verify: of the lists of both nearest pivots, the first in number that holds both vectors."""
+    home_a, home_b = a[:, 0], b[:, 0]
+    if (home_a == cell).all() and (home_b == cell).all():
+        return np.ones((len(a), len(b)), bool)
+    at_a, at_b = _holds(b, home_a, lists).T, _holds(a, home_b, lists)
+    none = np.iinfo(np.int16).max
+    return np.minimum(np.where(at_a, home_a[:, None], none), np.where(at_b, home_b[None, :], none)) == cell
 
 
 def cosine_at_least(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -88,78 +108,130 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _prefix_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(len(column), -1)
+
+
 def _usable(embedding: str, label: str):
     e = F.col(embedding)
     finite = F.forall(e, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     return F.coalesce(F.col(label).isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
+LIST = ["place", "size", "cell"]
+
+
+def tiled(members: DataFrame) -> DataFrame:
+    """Adds ``own``, ``one`` and ``two``: a row for each pair of tiles (one <= two) that the member takes part in.
+
+    A list of up to ``TILE`` members is one tile.  In longer ones homes, cores and
+    guests have tiles of their own; cores do not meet cores, nor guests guests.
+    """
+    n = members.groupBy(*LIST).agg(*[F.count_if(F.col("role") == r).alias(f"_{k}") for k, r in (("h", HOME), ("c", CORE), ("g", GUEST))])
+    n = n.where((F.col("_h") + F.col("_c") + F.col("_g") > 1) & (F.col("_h") + F.col("_c") > 0))
+    short = F.col("_h") + F.col("_c") + F.col("_g") <= TILE
+    h, c, g = (F.ceil(F.col(x) / TILE).cast("int") for x in ("_h", "_c", "_g"))
+    first = F.when(F.col("role") == HOME, 0).when(F.col("role") == CORE, F.col("_th")).otherwise(F.col("_th") + F.col("_tc"))
+    of_role = F.when(F.col("role") == HOME, F.col("_th")).when(F.col("role") == CORE, F.col("_tc")).otherwise(F.col("_t") - F.col("_th") - F.col("_tc"))
+    role_of = lambda t: F.when(t < F.col("_th"), HOME).when(t < F.col("_th") + F.col("_tc"), CORE).otherwise(GUEST)
+    meets = lambda t: F.col("_short") | (F.col("role") == HOME) | (role_of(t) == HOME) | (role_of(t) != F.col("role"))
+    sizes = n.select(*LIST, short.alias("_short"), F.when(short, 1).otherwise(h).alias("_th"), F.when(short, 0).otherwise(c).alias("_tc"), F.when(short, 1).otherwise(h + c + g).alias("_t"))
+    own = F.when(F.col("_short"), 0).otherwise((first + F.pmod(F.xxhash64("class"), of_role)).cast("int"))
+    out = members.join(sizes, LIST).withColumn("own", own)
+    out = out.withColumn("_other", F.explode(F.filter(F.sequence(F.lit(0), F.col("_t") - 1), meets)))
+    return out.withColumn("one", F.least("own", "_other")).withColumn("two", F.greatest("own", "_other")).drop("_other", "_short", "_th", "_tc", "_t")
+
+
+def _sides(rows: dict[str, pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Row numbers of both tiles, roles, and whether both are one tile."""
+    own, role = rows["own"].to_numpy(), rows["role"].to_numpy()
+    low, high = rows["one"][0].as_py(), rows["two"][0].as_py()
+    return np.flatnonzero(own == low), np.flatnonzero(own == high), role, low == high
+
+
+def _comparable(a: np.ndarray, b: np.ndarray, same: bool) -> np.ndarray:
+    """Pairs of roles with a home or core in them that are not both cores; each pair of one tile once."""
+    ok = ((a != GUEST)[:, None] | (b != GUEST)[None, :]) & ~((a == CORE)[:, None] & (b == CORE)[None, :])
+    return np.triu(ok, 1) if same else ok
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Rows link if their labels are equal and not null, their vectors have the same
     length, and their cosine reaches ``threshold``.  Vectors that are null, empty,
-    zero or hold null or non-finite components link with nothing.  Exact copies are one class
-    until the end; rows with equal ids are rows of their own; a null id never
-    names a component that has another id; an empty table gives no rows.
+    zero or hold null or non-finite components link with nothing.  Exact copies are
+    one class until the end, told apart by 128 bits of hash; labels that are no
+    integers have lists by their 64-bit hash.  Rows with equal ids are rows of their
+    own; a null id never names a component that has another id; an empty table gives
+    no rows.  The index may miss links: see the README for the recall measured.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     rows = rows.withColumn("usable", _usable("v", "label"))
     integral = isinstance(rows.schema["label"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     place = F.col("label").cast("long") if integral else F.xxhash64("label")
+    rows = rows.withColumn("place", place).withColumn("h1", F.xxhash64(F.lit(1), "v")).withColumn("h2", F.xxhash64(F.lit(2), "v"))
+    key = ["label", "h1", "h2"]
     classes = common.materialise(
-        rows.where("usable").groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"))
-        .withColumn("place", place).withColumn("size", F.size("v")).withColumn("class", F.monotonically_increasing_id()),
+        rows.where("usable").groupBy(*key).agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"), F.first("place").alias("place"), F.first("v").alias("v"))
+        .withColumn("size", F.size("v")).withColumn("class", F.monotonically_increasing_id()),
         "vector-classes",
     )
     total = classes.count()
-    rate = min(1.0, SAMPLE / max(1, total))
-    sample = classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).select("v", "size").limit(4 * SAMPLE).collect()
-    pivots = {n: choose_pivots(np.array([r["v"] for r in sample if r["size"] == n], dtype=np.float64)) for n in {r["size"] for r in sample}}
-    combos = [list(c) for c in itertools.combinations(range(NEAREST), SHARED)]
+    n_pivots = min(max(PIVOTS[0], math.isqrt(total)), PIVOTS[1])
+    rate = min(1.0, SAMPLE * n_pivots / max(1, total))
+    sample = sorted(tuple(r["v"]) for r in classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).select("v").collect())
+    pivots = {n: choose_pivots(np.array([v for v in sample if len(v) == n], dtype=np.float64), n_pivots) for n in {len(v) for v in sample}}
+    core_from = math.sqrt((1 + threshold) / 2) + 1e-9 if threshold > 0 else 2.0
 
     def describe(batches):
         for b in common.rows_of(batches, 4096):
-            for n in set(sizes := b.column("size").to_pylist()):
+            sizes = b.column("size").to_pylist()
+            for n in set(sizes):
                 part = b.filter(pa.array([s == n for s in sizes])) if len(set(sizes)) > 1 else b
-                near = nearest_pivots(unit_rows(_matrix(part.column("v"))), pivots.get(n, np.empty((0, n))))
-                keys = np.stack([_packed(near[:, c]) for c in combos], 1)
-                m = len(combos)
+                own = pivots.get(n, np.empty((0, n)))
+                prefix, nearest = prefixes(unit_rows(_matrix(part.column("v"))), own)
+                m = max(1, min(LISTS, len(own)))
+                cell = prefix[:, :m].astype(np.int32)
+                role = np.full(cell.shape, GUEST, np.int32)
+                role[:, 0] = np.where(nearest >= core_from, CORE, HOME)
+                packed = [p.tobytes() for p in prefix]
+                wide = lambda c: np.repeat(part.column(c).to_numpy(zero_copy_only=False), m)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), m)) for c in ("class", "place")), pa.array(np.repeat(np.int32(n), m * len(part)).astype(np.int32)), pa.array(keys.reshape(-1))],
-                    names=["class", "place", "size", "pivots"],
+                    [pa.array(wide("class")), pa.array(wide("place")), pa.array(np.full(cell.size, n, np.int32)), pa.array(cell.ravel()), pa.array(role.ravel()), pa.array([p for p in packed for _ in range(m)], pa.binary())],
+                    names=["class", *LIST, "role", "prefix"],
                 )
 
-    lists = ["place", "size", "pivots"]
-    listed = common.materialise(classes.select("class", "place", "size", "v").mapInArrow(describe, "class long, place long, size int, pivots long"), "pivot-lists")
-    lengths = listed.groupBy(*lists).agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    tiled = (
-        listed.join(lengths, lists).withColumn("own", F.pmod(F.xxhash64("class"), tiles).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
-        .select("class", *lists, "own", "one", "two")
-    )
-    with_vectors = tiled.join(classes.select("class", "copies", "v"), "class")
+    members = common.materialise(classes.select("class", "place", "size", "v").mapInArrow(describe, "class long, place long, size int, cell int, role int, prefix binary"), "pivot-lists")
+
+    def shortlist(rows):
+        left, right, role, same = _sides(rows)
+        if not len(left) or not len(right):
+            return
+        prefix, classes_ = _prefix_matrix(rows["prefix"]), rows["class"].to_numpy()
+        known = len(pivots.get(rows["size"][0].as_py(), ()))
+        ok = (shared_counts(prefix[left], prefix[right]) >= min(SHARED, known)) & _comparable(role[left], role[right], same)
+        hit = np.union1d(left[ok.any(1)], right[ok.any(0)])
+        if len(hit):
+            yield pa.RecordBatch.from_arrays([pa.array(classes_[hit]), *(pa.array(rows[c].to_numpy()[hit]) for c in (*LIST, "role")), rows["prefix"].take(pa.array(hit))], names=["class", *LIST, "role", "prefix"])
+
+    pairs = [*LIST, "one", "two"]
+    listed = components.by_group(tiled(members), pairs, shortlist, "class long, place long, size int, cell int, role int, prefix binary", common.partitions_of(members))
+    visits = common.materialise(listed.groupBy("class", *LIST).agg(F.first("role").alias("role"), F.first("prefix").alias("prefix")), "pivot-shortlist")
+    with_vectors = tiled(visits).join(classes.select("class", "copies", "v"), "class")
 
     def verify(rows):
-        x = _matrix(rows["v"])
-        n = x.shape[1]
-        ids, copies, own = (rows[c].to_numpy() for c in ("class", "copies", "own"))
-        low, high = rows["one"][0].as_py(), rows["two"][0].as_py()
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        left, right, role, same = _sides(rows)
         if not len(left) or not len(right):
             return
-        hit = cosine_at_least(x[left], x[right], threshold)
-        if low == high:
-            hit = np.triu(hit, 1)
+        x, prefix = _matrix(rows["v"]), _prefix_matrix(rows["prefix"])
+        ids, copies = rows["class"].to_numpy(), rows["copies"].to_numpy()
+        hit = cosine_at_least(x[left], x[right], threshold) & _comparable(role[left], role[right], same)
+        hit &= once(prefix[left], prefix[right], rows["cell"][0].as_py())
         i, j = np.nonzero(hit)
-        i, j = left[i], right[j]
-        near = nearest_pivots(unit_rows(x), pivots.get(n, np.empty((0, n))))
-        once = first_shared(near[i], near[j]) == rows["pivots"][0].as_py()
-        i, j = i[once], j[once]
         if not len(i):
             return
+        i, j = left[i], right[j]
         count = np.bincount(i, weights=copies[j], minlength=len(x)) + np.bincount(j, weights=copies[i], minlength=len(x))
         root = np.arange(len(x))
         while True:  # smallest row number over links, halving paths
@@ -175,16 +247,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         seen = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(ids[root[seen]]), pa.array(count[seen].astype(np.int64))], names=["class", "root", "links"])
 
-    found = common.materialise(components.by_group(with_vectors, [*lists, "one", "two"], verify, "class long, root long, links long"), "vector-links")
+    compared = components.by_group(with_vectors, pairs, verify, "class long, root long, links long", common.partitions_of(classes))
+    cores = members.where(F.col("role") == CORE).select("class", *LIST).join(classes.select("class", "copies"), "class")
+    together = cores.groupBy(*LIST).agg(F.sum("copies").alias("_all"), F.min("class").alias("root"))
+    in_cores = cores.join(together, LIST).select("class", "root", (F.col("_all") - F.col("copies")).alias("links"))
+    found = common.materialise(compared.unionByName(in_cores), "vector-links")
+    common.discard(members, visits)
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     roots = components.components(found.where(F.col("class") != F.col("root")).select("class", "root"), "class", "root")
     rooted = (
-        classes.select("class", "label", "v", "copies", "low")
+        classes.select("class", *key, "copies", "low")
         .join(links, "class", "left").join(roots, F.col("class") == F.col("node"), "left")
-        .select("label", "v", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
+        .select(*key, "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
     )
+    rooted = common.materialise(rooted, "vector-roots")
+    common.discard(classes, found)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_class = rooted.join(lowest, "root").select("label", "v", "n_links", "component_id")
-    linked = rows.where("usable").join(of_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    of_class = rooted.join(lowest, "root").select(*key, "n_links", "component_id")
+    linked = rows.where("usable").select("vec_id", *key).join(of_class, key).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -129,10 +129,84 @@ def check_vectors(got, rows, least=1.0):
     assert sum(v[0] for v in found.values()) >= least * sum(v[0] for v in expected.values())
 
 
-def test_pivot_index_against_all_pairs(spark, sf_dir):
-    for path in (f"{sf_dir}/embeddings.parquet", "/root/testdata/sf0.01/embeddings.parquet"):
-        df = spark.read.parquet(path)
-        check_vectors(pivots.near_duplicates(df).collect(), [(r.vec_id, r.label, list(r.embedding)) for r in df.collect()], 0.9)
+def planted_vectors(dimensions, pairs, cosine=0.981, alone=1500, seed=1):
+    """(vec_id, label, vector): pairs at just this cosine, and vectors without a partner."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(pairs, dimensions)))
+    u = rng.normal(size=x.shape)
+    y = cosine * x + np.sqrt(1 - cosine**2) * unit(u - (u * x).sum(1, keepdims=True) * x)
+    rest = unit(rng.normal(size=(alone, dimensions)))
+    labels = np.concatenate((np.arange(pairs) % 4, np.arange(pairs) % 4, rng.integers(0, 4, alone)))
+    v = np.concatenate((x, y, rest)).astype(np.float32)
+    order = rng.permutation(len(v))
+    return [(int(i), int(labels[k]), v[k].tolist()) for i, k in enumerate(order)]
+
+
+def linked_by_matrix(rows, threshold=0.98):
+    """n_links and component_id of every row, by label from the whole matrix of cosines."""
+    out, links = {}, 0
+    for label in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == label]
+        v = np.array([r[2] for r in own], dtype=np.float64)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        hit = np.triu(v @ v.T >= threshold, 1)
+        i, j = np.nonzero(hit)
+        links += len(i)
+        root = classes(len(own), list(zip(i.tolist(), j.tolist(), strict=True)))
+        low = {}
+        for r, c in zip(own, root, strict=True):
+            low[c] = min(r[0], low.get(c, r[0]))
+        n = hit.sum(1) + hit.sum(0)
+        out |= {r[0]: (int(k), low[c]) for r, k, c in zip(own, n, root, strict=True)}
+    return out, links
+
+
+@pytest.mark.parametrize("dimensions", [64, 384])
+def test_recall_on_planted_near_copies(spark, dimensions):
+    rows = planted_vectors(dimensions, 3000)
+    want, links = linked_by_matrix(rows)
+    assert links >= 3000
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    found = [{r.vec_id: (r.n_links, r.component_id) for r in pivots.near_duplicates(d).collect()} for d in (df.repartition(3), df.repartition(7))]
+    assert found[0] == found[1]  # whatever the partitions
+    got = found[0]
+    assert got.keys() == want.keys() and all(got[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in got.values()) >= 0.99 * 2 * links
+    assert np.mean([got[i][1] == want[i][1] for i in want]) >= 0.99
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.09])
+def test_a_dense_cluster(spark, monkeypatch, spread):
+    """Tight: a core counts itself.  Loose: tiles find what brute force finds, if pairs of the cluster link in part."""
+    monkeypatch.setattr(pivots, "TILE", 300)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64)
+    base /= np.linalg.norm(base)
+    v = (base + rng.normal(size=(1200, 64)) * spread / 8).astype(np.float32)
+    rows = [(i, 1, x.tolist()) for i, x in enumerate(v)] + [(5000 + i, 1, rng.normal(size=64).astype(np.float32).tolist()) for i in range(50)]
+    want, links = linked_by_matrix([(i, label, np.float64(np.float32(x)).tolist()) for i, label, x in rows])
+    assert links > 100_000
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()}
+    assert got == want
+
+
+def test_shared_counts_and_lists():
+    a = np.array([[1, 2, 3], [4, 5, 6], [7, -1, -1]], np.int16)
+    b = np.array([[3, 1, 9], [7, -1, -1]], np.int16)
+    assert pivots.shared_counts(a, b).tolist() == [[2, 0], [0, 0], [0, 1]]
+    assert pivots.once(a, b, 1, 2).tolist() == [[True, False], [False, False], [False, False]]
+    assert pivots.once(a, b, 3, 2).tolist() == [[False, False], [False, False], [False, False]]  # 1 holds both and comes first
+    units = pivots.unit_rows(np.array([[1.0, 0.1], [-0.2, 1.0]]))
+    order, nearest = pivots.prefixes(units, np.array([[0.0, 1.0], [1.0, 0.0]]), 3)
+    assert order.tolist() == [[1, 0, -1], [0, 1, -1]] and nearest[0] > 0.99
+
+
+def test_pivot_index_on_tables(spark, sf_dir):
+    """These tables hold no links at this threshold, so none must be found; recall is measured on planted vectors above."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = [(r.vec_id, r.label, list(r.embedding)) for r in df.collect()]
+    check_vectors(pivots.near_duplicates(df).collect(), rows)
 
 
 def test_odd_vectors(spark, monkeypatch):

@@ -1,16 +1,21 @@
 """GIF media columns: LZW code streams, palettes, disposal and transparency, timed frames.
 
 ``parse`` and ``compose`` read any GIF (87a and 89a): global and local palettes,
-interlaced rows, transparent colours, the disposal rules and delays.  ``encode_samples``
-stores bytes losslessly as 8-bit samples: an identity grey palette, frames of
-``WIDTH`` columns and at most ``ROWS`` rows.
+interlaced rows, transparent colours, the disposal rules and delays.  Images are
+decoded one at a time, and a canvas or image of more than ``MAX_PIXELS`` is refused,
+so memory is bounded whatever a header claims.  ``encode_samples`` stores bytes
+losslessly as 8-bit samples: an identity grey palette, frames of ``WIDTH`` columns
+and at most ``ROWS`` rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 #: First row and step of each interlace pass.
 INTERLACE = ((0, 8), (4, 8), (2, 4), (1, 2))
 BINS = 16
+#: Largest canvas and image, in pixels (64 MB as RGBA).
+MAX_PIXELS = 1 << 24
 
 
 def _widths(first_free: int, n: int, least: int) -> np.ndarray:
@@ -144,16 +151,26 @@ def lzw_decode(data: bytes, code_size: int, n: int) -> bytes:
 
 @dataclass
 class Image:
+    """``codes`` is the image's code stream; ``indices`` decodes it."""
+
     left: int
     top: int
     width: int
     height: int
-    indices: np.ndarray
     palette: np.ndarray
+    code_size: int
+    codes: bytes
+    interlaced: bool = False
     delay_ms: int = 0
     disposal: int = 0
     transparent: int | None = None
 
+    def indices(self) -> np.ndarray:
+        rows = np.frombuffer(lzw_decode(self.codes, self.code_size, self.width * self.height), np.uint8).reshape(self.height, self.width)
+        if not self.interlaced:
+            return rows
+        return rows[np.argsort(np.concatenate([np.arange(first, self.height, step) for first, step in INTERLACE]))]
+
 
 @dataclass
 class Gif:
@@ -179,7 +196,7 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
 
 
 def parse(data: bytes) -> Gif:
-    """Raises ValueError if the file is damaged."""
+    """The file's structure, code streams not decoded yet; raises ValueError if it is damaged or claims too many pixels."""
     try:
         return _parse(data)
     except (IndexError, struct.error) as e:
@@ -210,17 +227,22 @@ def _parse(data: bytes) -> Gif:
             if palette is None or not 2 <= code_size <= 8:
                 raise ValueError("no palette" if palette is None else "bad code size")
             body, at = _blocks(data, at + 1)
-            rows = np.frombuffer(lzw_decode(body, code_size, w * h), np.uint8).reshape(h, w)
-            if flags & 0x40:
-                order = np.concatenate([np.arange(a, h, s) for a, s in INTERLACE])
-                rows = rows[np.argsort(order)]
-            gif.images.append(Image(left, top, w, h, rows, palette, *control))
+            gif.images.append(Image(left, top, w, h, palette, code_size, body, bool(flags & 0x40), *control))
             control = (0, 0, None)
         else:
             raise ValueError("an unknown block")
     return gif
 
 
+def canvas_size(gif: Gif) -> tuple[int, int]:
+    """Height and width that hold the screen and every image; ValueError beyond ``MAX_PIXELS``."""
+    height = max([gif.height, *(i.top + i.height for i in gif.images)])
+    width = max([gif.width, *(i.left + i.width for i in gif.images)])
+    if height * width > MAX_PIXELS:
+        raise ValueError(f"a canvas of {width} x {height} pixels")
+    return height, width
+
+
 def compose(gif: Gif) -> Iterator[tuple[Image, np.ndarray]]:
     """Each image with the RGBA canvas as shown while it lasts; the array is reused.
 
@@ -228,9 +250,7 @@ def compose(gif: Gif) -> Iterator[tuple[Image, np.ndarray]]:
     or what was there before comes back (3).  Indices beyond the palette and the
     transparent index draw nothing.
     """
-    height = max([gif.height, *(i.top + i.height for i in gif.images)])
-    width = max([gif.width, *(i.left + i.width for i in gif.images)])
-    canvas = np.zeros((height, width, 4), np.uint8)
+    canvas = np.zeros((*canvas_size(gif), 4), np.uint8)
     for image in gif.images:
         area = canvas[image.top : image.top + image.height, image.left : image.left + image.width]
         before = area.copy() if image.disposal == 3 else None
@@ -239,7 +259,7 @@ def compose(gif: Gif) -> Iterator[tuple[Image, np.ndarray]]:
         colours[: len(image.palette), 3] = 255
         if image.transparent is not None:
             colours[image.transparent, 3] = 0
-        drawn = colours[image.indices]
+        drawn = colours[image.indices()]
         if colours[:, 3].all():
             area[:] = drawn
         else:
@@ -278,48 +298,61 @@ def encode_samples(payload: bytes) -> bytes:
     return b"".join(out) + b"\x3b"
 
 
-def decode_samples(data: bytes) -> tuple[bytes, np.ndarray, int]:
-    """The payload read from the composed frames, the sum of their histograms, and the time shown in ms."""
-    payload, total, shown = [], np.zeros(3 * BINS, np.int64), 0
-    for image, canvas in compose(parse(data)):
-        area = canvas[image.top : image.top + image.height, image.left : image.left + image.width]
-        payload.append(area[..., 0].tobytes())
-        total += histogram(area)
-        shown += image.delay_ms
-    return b"".join(payload), total, shown
+class Frame(NamedTuple):
+    """One shown frame: its number, when and how long it shows, its image's area, and counts of the canvas's visible pixels by colour."""
 
+    frame: int
+    start_ms: int
+    delay_ms: int
+    left: int
+    top: int
+    width: int
+    height: int
+    disposal: int
+    hist_r: list[int]
+    hist_g: list[int]
+    hist_b: list[int]
+
+
+_INT = ("left", "top", "width", "height", "disposal")
+FRAME = "frame: int, start_ms: bigint, delay_ms: int, " + ", ".join(f"{n}: int" for n in _INT) + ", hist_r: array<bigint>, hist_g: array<bigint>, hist_b: array<bigint>"
+_FRAME = pa.struct([("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), *((n, pa.int32()) for n in _INT), *((f"hist_{c}", pa.list_(pa.int64())) for c in "rgb")])
 
-def feature(total: np.ndarray, shown: int) -> str:
-    return f"ms={shown};r=" + ".".join(map(str, total[:BINS].tolist()))
 
+def frames(data: bytes) -> Iterator[tuple[Frame, Image, np.ndarray]]:
+    """The timed frames of a file, one decoded at a time, with image and canvas."""
+    at = 0
+    for k, (image, canvas) in enumerate(compose(parse(data))):
+        h = histogram(canvas)
+        yield Frame(k, at, image.delay_ms, image.left, image.top, image.width, image.height, image.disposal, *(h[c * BINS : (c + 1) * BINS].tolist() for c in range(3))), image, canvas
+        at += image.delay_ms
 
-TIMED_FRAMES = "media_id long, frame int, start_ms long, delay_ms int, left int, top int, width int, height int, disposal int, rgba binary, hist_r array<long>, hist_g array<long>, hist_b array<long>, error string"
+
+TIMED_FRAMES = "media_id long, " + FRAME.replace(": bigint", " long").replace(": ", " ") + ", canvas_width int, canvas_height int, rgba binary, error string"
 
 
 def timed_frames(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per frame of each GIF: when it is shown, its area, the composed RGBA canvas and colour histograms.
+    """One row per frame of each GIF: when it is shown, its area, colour histograms and the composed RGBA canvas.
 
-    Null media gives no row; a damaged file gives one row with ``error`` set and no
-    frame; repeated rows give repeated frames; extra columns are not read.
+    Null media gives no row.  A damaged file, or one that claims more than
+    ``MAX_PIXELS`` or memory cannot hold, gives the frames before the fault and one
+    row with ``error`` set and no frame.  Repeated rows give repeated frames; extra
+    columns are not read.
     """
     rows = media.select(F.col(id_col).cast("long").alias("k"), F.col(media_col).cast("binary").alias("m"))
-    schema = pa.schema([("media_id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), *((n, pa.int32()) for n in ("delay_ms", "left", "top", "width", "height", "disposal")), ("rgba", pa.binary()), *((f"hist_{c}", pa.list_(pa.int64())) for c in "rgb"), ("error", pa.string())])
+    schema = pa.schema([("media_id", pa.int64()), *_FRAME, ("canvas_width", pa.int32()), ("canvas_height", pa.int32()), ("rgba", pa.binary()), ("error", pa.string())])
+    row = lambda *values: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     def decode(batches):
         for b in common.rows_of(batches, 1):
             key, data = b.column(0)[0].as_py(), b.column(1)[0].as_py()
             if data is None:
                 continue
-            at = 0
             try:
-                for k, (image, canvas) in enumerate(compose(parse(data))):
-                    h = histogram(canvas)
-                    row = (key, k, at, image.delay_ms, image.left, image.top, canvas.shape[1], canvas.shape[0], image.disposal, canvas.tobytes(), *(h[i * BINS : (i + 1) * BINS].tolist() for i in range(3)), None)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-                    at += image.delay_ms
-            except ValueError as e:
-                row = (key, *[None] * (len(schema) - 2), str(e))
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+                for frame, _, canvas in frames(data):
+                    yield row(key, *frame, canvas.shape[1], canvas.shape[0], canvas.tobytes(), None)
+            except (ValueError, MemoryError) as e:
+                yield row(key, *[None] * (len(schema) - 2), str(e) or "out of memory")
 
     return rows.mapInArrow(decode, TIMED_FRAMES)
 
@@ -337,21 +370,40 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(encode, "doc_id long, n_bytes long, media binary")
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGESTS = (("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()))
+DECODED = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<struct<{FRAME}>>"
+
 
+def decode_stored(stored: DataFrame) -> DataFrame:
+    """Decodes stored media (as ``store_texts`` gives it): digests of payload and media, and ``frames``, its timed frames with colour histograms.
 
-def digest_stored(stored: DataFrame) -> DataFrame:
-    """Decodes stored media (as ``store_texts`` gives it) and returns digests of payload and media, and the colour feature."""
-    import hashlib
-    import zlib
+    The payload is read from the composed frames.  ``explode`` of ``frames`` gives a row a frame.
+    """
 
     def decode(batches):
         for b in common.rows_of(batches, 64):
-            out = []
+            out, of = [], []
             for media in b.column("media").to_pylist():
-                payload, total, shown = decode_samples(media)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(total, shown)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=[x.split(" ")[0] for x in DIGESTS.split(", ")])
-
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(decode, DIGESTS)
+                digest, n, tail, own = hashlib.sha256(), 0, b"", []
+                for frame, image, canvas in frames(media):
+                    part = canvas[image.top : image.top + image.height, image.left : image.left + image.width, 0].tobytes()
+                    digest.update(part)
+                    n, tail = n + len(part), (tail + part[-16:])[-16:]
+                    own.append(frame._asdict())
+                of.append(own)
+                out.append((n, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest()))
+            columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), _DIGESTS, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *columns, pa.array(of, pa.list_(_FRAME))], names=["doc_id", "n_bytes", *(n for n, _ in _DIGESTS), "frames"])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(decode, DECODED)
+
+
+def features(decoded: DataFrame) -> DataFrame:
+    """Per document its digests and ``feature``: frames, time shown, and the frames' histograms summed by colour."""
+    add = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
+    none = F.array_repeat(F.lit(0).cast("long"), BINS)
+    total = lambda c: F.aggregate(F.col(f"frames.hist_{c}"), none, add)
+    shown = F.aggregate(F.col("frames.delay_ms"), F.lit(0).cast("long"), lambda a, b: a + b)
+    text = [F.concat(F.lit(f";{c}="), F.array_join(total(c).cast("array<string>"), ".")) for c in "rgb"]
+    feature = F.concat(F.lit("frames="), F.size("frames").cast("string"), F.lit(";ms="), shown.cast("string"), *text)
+    return decoded.select("doc_id", "n_bytes", *(n for n, _ in _DIGESTS), feature.alias("feature"))

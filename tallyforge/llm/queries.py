@@ -25,15 +25,25 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.digest_stored(common.materialise(gif.store_texts(common.documents(spark, sf_dir)), "gif-media"))
+    """Stores the texts as GIF files, decodes the files into a stored table of timed frames, and reads the results from that table."""
+    media = common.materialise(gif.store_texts(common.documents(spark, sf_dir)), "gif-media")
+    frames = common.materialise(gif.decode_stored(media), "gif-frames")
+    common.discard(media)
+    return gif.features(frames)
 
 
 def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(common.documents(spark, sf_dir), BYTE_BPE)
+#: Session setting: the folder of a digest cache that outlives the run.  Unset: a cache of this run's own.
+TOKEN_CACHE = "spark.tallyforge.tokenCache"
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str, cache_uri: str | None = None) -> DataFrame:
+    """With ``cache_uri`` (or ``TOKEN_CACHE``) counts that earlier runs stored are joined, and only new texts are encoded."""
+    cache = token_counts.DigestCache(spark, cache_uri or spark.conf.get(TOKEN_CACHE, None))
+    return token_counts.count_tokens(common.documents(spark, sf_dir), BYTE_BPE, cache)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

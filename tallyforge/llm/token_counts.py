@@ -1,8 +1,8 @@
 """Token counts behind a digest cache.
 
 A cache row maps (tokenizer version, content digest) to a count.  A run joins the
-digests of its documents to the cache, encodes one document of each digest that
-is missing, appends those counts, and joins the counts back to all documents.
+digests of its documents to the cache, encodes one text of each digest that is
+missing, appends those counts, and joins the counts back to all documents.
 """
 
 from __future__ import annotations
@@ -86,27 +86,30 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: DigestCache | None
 
     ``normalise`` may only change texts in ways that leave the count as it is (the
     default changes nothing, as byte-level tokenizers tell all texts apart).  Null
-    text counts as empty, with 0 bytes and tokens; rows with equal or null ids are
-    kept; extra columns are not read; an empty table gives no rows.  Texts move
-    through one shuffle on (digest, id), so thousands of copies spread, and only
-    the chosen copy of a missing digest is encoded.
+    text counts as empty, with 0 bytes and tokens; rows with equal or null ids and
+    equal rows are kept; extra columns are not read; an empty table gives no rows.
+    Each task sends one text a digest at most, however often it holds it, and each
+    digest that the cache lacks is encoded once.
     """
     cache = cache or DigestCache(docs.sparkSession)
     version = tokenizer_version(tokenizer_path)
     text = common.text_of(text_col)
     content = normalise(text) if normalise else text
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(content, "utf-8"), 256).alias("digest"), text.alias("t"))
-
-    chosen = common.materialise(rows.groupBy("digest").agg(F.min("k").alias("k")), "token-digests")
-    missing = chosen.join(cache.read(version), "digest", "left_anti")
-    to_encode = rows.select("digest", "k", "t").join(missing.hint("shuffle_hash"), ["digest", "k"], "left_semi").select("digest", "t")
+    digest = F.sha2(F.encode(content, "utf-8"), 256)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
+    rows = common.materialise(rows, "token-digests")
+    digests = rows.groupBy("digest").count().select("digest")
+    missing = common.materialise(digests.join(cache.read(version), "digest", "left_anti"), "token-missing")
+    # Copies fall together in each task before the shuffle; a small ``missing`` is broadcast and filters before that.
+    texts = docs.select(digest.alias("digest"), text.alias("t")).groupBy("digest").agg(F.min("t").alias("t")).join(missing, "digest", "left_semi")
 
     def encode(batches):
         count = counter(tokenizer_path)
         for b in common.rows_of(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
-    cache.append(to_encode.mapInArrow(encode, "digest string, n_tokens long").select(F.lit(version).alias("version"), "digest", "n_tokens"))
+    cache.append(texts.select("digest", "t").mapInArrow(encode, "digest string, n_tokens long").select(F.lit(version).alias("version"), "digest", "n_tokens"))
     # A table of its own, so that AQE can split a digest that very many documents have.
-    counts = common.materialise(chosen.select("digest").join(cache.read(version), "digest"), "token-counts-found")
-    return rows.drop("t", "k").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = common.materialise(digests.join(cache.read(version), "digest"), "token-counts-found")
+    common.discard(missing)
+    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

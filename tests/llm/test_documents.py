@@ -18,7 +18,9 @@ from tallyforge.llm import common, gif, language, quality, queries, sharding, si
 def test_rank_order_by_hand():
     assert sorted(chr(g) for g in language.ngrams("Ab, a") if g < 1 << 21) == ["a", "a", "b"]
     assert len(language.ngrams("ab a")) == 3 + 5 + 3  # letters, pairs with blanks, and _ab ab_ _a_
-    assert len(language.ngrams("12 ?!")) == 0
+    assert len(language.ngrams("12 ?!")) == 0 and len(language.ngrams("\u0301 \u0301")) == 0
+    hindi = "\u0939\u093f\u0928\u094d\u0926\u0940"  # one word of three letters and three marks
+    assert len(language.ngrams(hindi)) == 6 + 7 + 6 and len(language.ngrams(f"\u093f {hindi}")) == 6 + 7 + 6
     profiles = {"xx": language.top_ngrams("aa ab ab ba").tolist(), "yy": language.top_ngrams("zz zy yz").tolist()}
     c = language.Classifier(profiles)
     assert c("aab ba")[0] == "xx" and c("zyz zz")[0] == "yy" and c("aa ab ab ba") == ("xx", 1.0)
@@ -83,6 +85,34 @@ def test_quality_of_odd_rows(odd_docs, no_docs):
     assert quality.classify(no_docs, quality.fit(no_docs)).count() == 0
 
 
+def test_clean_texts_of_any_script_pass(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
+    clean = [
+        "Сегодня утром мы вышли из дома рано и долго шли по тихой улице к старому парку, где уже цвели липы.",
+        "今天早上我们很早就出门了，沿着安静的街道走了很久，来到开满鲜花的老公园。",
+        "今朝は早く家を出て、静かな通りを長い間歩いて古い公園に行きました。",
+        "เช้านี้เราออกจากบ้านแต่เช้าและเดินไปตามถนนที่เงียบสงบเป็นเวลานาน",
+        "Σήμερα το πρωί φύγαμε νωρίς από το σπίτι και περπατήσαμε για ώρα σε έναν ήσυχο δρόμο.",
+        "هذا الصباح خرجنا من البيت مبكرا ومشينا طويلا في شارع هادئ حتى وصلنا إلى الحديقة القديمة",
+    ]
+    assert all(quality.LABELLERS["prose"](quality.Page.of(t.encode())) == quality.GOOD for t in clean)
+    bad = ["!!! $$$ ### @@@ BUY NOW!!! $$$", "a a a a a a a a a a a a a a a a a a a a a a"]
+    assert not any(quality.LABELLERS["prose"](quality.Page.of(t.encode())) == quality.GOOD for t in bad)
+    more = spark.createDataFrame([(10**7 + i, t) for i, t in enumerate(clean + bad)], docs.schema)
+    got = {r.doc_id: r for r in quality.classify(more, quality.fit(docs)).collect()}
+    assert all(got[10**7 + i].posterior > 0.5 for i in range(len(clean)))
+    assert [got[10**7 + i].keep for i in range(len(clean))] == [True] * len(clean)
+
+
+def test_identical_rows_and_order(spark):
+    same = spark.createDataFrame([(1, "The cat sat on the mat and looked out of the window.")] * 3000, "doc_id long, text string")
+    scores = {(r.score, r.keep) for r in quality.classify(same, quality.fit(same)).collect()}
+    assert len(scores) == 1 and all(0.5 < s and keep for s, keep in scores)
+    docs = common.documents(spark, "/root/testdata/sf0.001").select("doc_id", "text")
+    one, two = quality.fit(docs.repartition(2)), quality.fit(docs.unionByName(docs).orderBy(F.desc("doc_id")).dropDuplicates(["doc_id"]).repartition(5))
+    assert np.array_equal(one.scorer.weights, two.scorer.weights) and one.scorer.bias == two.scorer.bias
+
+
 def make_gif(width, height, images, palette, interlace=False, code_size=8):
     """images: (left, top, rows, disposal, transparent, delay, local palette)."""
     import struct
@@ -140,9 +170,9 @@ def test_frames_table(spark):
     data = gif.encode_samples(b"ab" * 96 * 600)
     df = spark.createDataFrame([(1, data, "x"), (2, None, "y"), (3, data[:900], "z"), (4, b"", "w")], "id long, media binary, frame string")
     rows = gif.timed_frames(df, "id", "media").collect()
-    assert [(r.frame, r.start_ms, r.delay_ms, r.height) for r in sorted((r for r in rows if r.media_id == 1), key=lambda r: r.frame)] == [(0, 0, 40, 256), (1, 40, 40, 256), (2, 80, 40, 256)]
+    assert [(r.frame, r.start_ms, r.delay_ms, r.height, r.canvas_height) for r in sorted((r for r in rows if r.media_id == 1), key=lambda r: r.frame)] == [(0, 0, 40, 256, 256), (1, 40, 40, 256, 256), (2, 80, 40, 88, 256)]
     assert {r.media_id for r in rows if r.error} == {3, 4} and not [r for r in rows if r.media_id == 2]
-    assert all(sum(r.hist_r) == r.width * r.height for r in rows if not r.error)
+    assert all(sum(r.hist_r) == r.canvas_width * r.canvas_height for r in rows if not r.error)
 
 
 @pytest.mark.parametrize("docs", ["odd_docs", "some_docs", "no_docs"])
@@ -150,7 +180,8 @@ def test_text_media(request, docs):
     df = request.getfixturevalue(docs)
     stored = common.materialise(gif.store_texts(df), "media")
     media = Counter((r.doc_id, hashlib.sha256(r.media).hexdigest()) for r in stored.collect())
-    got = gif.digest_stored(stored).collect()
+    decoded = common.materialise(gif.decode_stored(stored), "frames")
+    got = gif.features(decoded).collect()
     want = Counter()
     for r in df.collect():
         t = (r.text or "").encode()
@@ -161,6 +192,38 @@ def test_text_media(request, docs):
     by_text = {}
     for r in got:
         assert by_text.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+    for r in decoded.collect():
+        assert sum(f.width * f.height for f in r.frames) == r.payload_bytes
+        assert {tuple(map(sum, (f.hist_r, f.hist_g, f.hist_b))) for f in r.frames} == {(192 * r.frames[0].height,) * 3}  # all of the canvas is visible
+        assert [f.start_ms for f in r.frames] == [40 * k for k in range(len(r.frames))]
+
+
+def test_large_texts_take_many_frames(spark):
+    text = "".join(chr(32 + i % 90) for i in range(3 * 192 * 256 + 5))
+    stored = gif.store_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    r = gif.features(gif.decode_stored(stored)).first()
+    payload = text.encode().ljust(-(-len(text) // 192) * 192)
+    assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
+    shown, canvas = np.zeros(16, np.int64), np.zeros((256, 192), np.uint8)
+    for at in range(0, len(payload), canvas.size):
+        part = np.frombuffer(payload[at : at + canvas.size], np.uint8).reshape(-1, 192)
+        canvas[: len(part)] = part  # what lies below a shorter last image stays
+        shown += np.bincount(canvas.ravel() // 16, minlength=16)
+    reds = ".".join(map(str, shown))
+    assert r.feature == f"frames=4;ms=160;r={reds};g={reds};b={reds}"
+
+
+def test_hostile_headers_and_damage_in_mid_file(spark):
+    good = gif.encode_samples(b"xy" * 96 * 600)  # three frames
+    hostile = bytearray(gif.encode_samples(b"a" * 192))
+    hostile[6:10] = b"\xff\xff\xff\xff"  # the screen claims 65,535 x 65,535 pixels
+    images = [i for i in range(len(good) - 9) if good[i] == 0x2C and good[i + 1 : i + 7] == b"\0\0\0\0\xc0\0"]
+    broken = bytearray(good)
+    broken[images[1] + 13 : images[1] + 40] = b"\xff" * 27  # codes beyond the table in the second image
+    rows = gif.timed_frames(spark.createDataFrame([(1, bytes(hostile)), (2, bytes(broken)), (3, good)], "id long, media binary"), "id", "media").collect()
+    assert [(r.frame, "pixels" in r.error) for r in rows if r.media_id == 1] == [(None, True)]
+    assert [(r.frame, r.error is None) for r in rows if r.media_id == 2] == [(0, True), (None, False)]
+    assert [r.frame for r in rows if r.media_id == 3] == [0, 1, 2]
 
 
 @pytest.mark.parametrize("docs", ["odd_docs", "some_docs", "no_docs"])

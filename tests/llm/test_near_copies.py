@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from tallyforge.llm import common, near_copies
+from tallyforge.llm import common, near_copies, simhash
 
 
 def plain_set(text):
@@ -48,10 +48,11 @@ def check(spark, rows):
     return links
 
 
-@pytest.mark.parametrize("sample", [near_copies.SAMPLE, 20])
-def test_planted_near_copies(spark, monkeypatch, sample):
-    monkeypatch.setattr(near_copies, "SAMPLE", sample)
-    rng = random.Random(sample)
+@pytest.mark.parametrize("long, tile", [(near_copies.LONG, near_copies.TILE), (9, 7)])
+def test_planted_near_copies(spark, monkeypatch, long, tile):
+    monkeypatch.setattr(near_copies, "LONG", long)
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    rng = random.Random(20)
     words = [f"w{i}" for i in range(2000)]
     line = rng.choices(words, k=30)
     texts = [rng.choices(words, k=rng.choice([1, 3, 5, 6, 9, 40, 200, 600])) + line * rng.randrange(2) for _ in range(60)]
@@ -76,6 +77,30 @@ def test_documents_against_all_pairs(spark):
     assert check(spark, rows) >= 5
 
 
+def test_a_passage_that_many_documents_share(spark):
+    """Documents that differ but for one passage, which fills most of some of them, and near copies among those."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(words, k=200)
+    texts = [passage + rng.choices(words, k=rng.choice([20, 40, 60, 100, 400])) for _ in range(300)]
+    for base in texts[:60]:
+        copy = list(base)
+        copy[-1 - rng.randrange(20)] = "edited"
+        texts.append(copy)
+    rng.shuffle(texts)
+    assert check(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]) > 60
+
+
+def test_columns_of_any_name(spark):
+    names = ["row", "_row", "language", "score", "Keep", "posterior", "n", "fp", "class", "key", "root"]
+    rows = [(i, "The cat sat on the mat and looked out of the window at the birds.", "en", *["x"] * len(names)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "")
+        assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= set(rows)
+    assert near_copies.keep_one(df).count() == simhash.keep_one(df).count() == 1
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = [r.doc_id for r in near_copies.keep_one(odd_docs).collect()]
     rows = [(10**6 if r.doc_id is None else r.doc_id, r.text) for r in odd_docs.collect()]

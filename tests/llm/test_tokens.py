@@ -72,6 +72,49 @@ def test_random_access_reads_few_frames_and_sees_damage():
         list(token_files.Reader(Source(bytes(broken))))
 
 
+def test_one_document_unpacks_one_small_frame(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    manifest = token_files.write_tokens(docs, common.shared_dir(spark, "t"), queries.WORD_BPE, end_id=2)
+    k = library(queries.WORD_BPE)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {}
+    for m in manifest.collect():
+        reader = token_files.open_reader(m.path)
+        first = [next(reader._documents(x)).doc_id for x in range(len(reader.index))]
+        assert len(reader.index) >= m.n_tokens // (2 * token_files.FRAME_TOKENS)
+        for i in random.Random(m.part).sample(first, min(5, len(first))):
+            before = reader.unpacked_frames
+            (d,) = reader.get([i])
+            assert reader.unpacked_frames == before + 1
+            found[i] = d.ids.tolist()
+        sizes = [sum(len(d.ids) for d in reader._documents(x)) for x in range(len(reader.index))]
+        alone = [sum(1 for _ in reader._documents(x)) == 1 for x in range(len(reader.index))]
+        assert all(n <= token_files.FRAME_TOKENS or one for n, one in zip(sizes, alone, strict=True))
+    assert found and all(x == [*k.encode(texts[i], add_special_tokens=False).ids, 2] for i, x in found.items())
+
+
+def test_equal_ids_spread_over_files(spark):
+    rows = [(5, f"text {i % 700}") for i in range(4000)] + [(None, "no id")] * 2000 + [(9, "one row many times")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    old, token_files.LEAST_BYTES = token_files.LEAST_BYTES, 1 << 13
+    try:
+        manifest = token_files.write_tokens(df, common.shared_dir(spark, "t"), queries.WORD_BPE, end_id=2)
+    finally:
+        token_files.LEAST_BYTES = old
+    files = manifest.collect()
+    assert len(files) == 8 and max(m.n_docs for m in files) < 2 * len(rows) / len(files)
+    got = token_files.token_positions(manifest).collect()
+    k = library(queries.WORD_BPE)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x := [*k.encode(t, add_special_tokens=False).ids, 2]), crc(x)) for i, t in rows)
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x))
+
+
+def test_files_follow_the_input():
+    assert token_files.files_for(0, 200) == 1 and token_files.files_for(3 << 20, 200) == 3
+    assert token_files.files_for(1 << 30, 200) == 200 and token_files.files_for(100 << 40, 200) == 819_200
+
+
 @both("odd_docs", "some_docs", "no_docs")
 def test_counts(request, docs):
     df, texts = rows(request, docs)
@@ -91,6 +134,30 @@ def test_cache_encodes_only_misses(spark, some_docs):
     assert spark.read.parquet(cache.uri).count() == cache.read(version).count() == some_docs.select("text").distinct().count()
 
 
+def test_repeated_rows_are_encoded_once(spark, tmp_path):
+    """The cache has one row an encoding."""
+    rows = [(7, "the same row")] * 200 + [(None, "no id here")] * 300 + [(i, "the same row") for i in range(50)] + [(1, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    cache = token_counts.DigestCache(spark, str(tmp_path / "cache"))
+    assert token_counts.count_tokens(df, queries.BYTE_BPE, cache).count() == len(rows)
+    assert spark.read.parquet(cache.uri).count() == 3
+    more = df.unionByName(spark.createDataFrame([(9, "a new text")], df.schema))
+    assert token_counts.count_tokens(more, queries.BYTE_BPE, cache).count() == len(rows) + 1
+    assert spark.read.parquet(cache.uri).count() == 4
+
+
+def test_the_query_joins_what_an_earlier_run_stored(spark, sf_dir, tmp_path):
+    spark.conf.set(queries.TOKEN_CACHE, str(tmp_path / "kept"))
+    try:
+        first = Counter(map(tuple, queries.op5_token_counts(spark, sf_dir).collect()))
+        stored = spark.read.parquet(str(tmp_path / "kept")).count()
+        assert stored == spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").distinct().count()
+        assert Counter(map(tuple, queries.op5_token_counts(spark, sf_dir).collect())) == first
+        assert spark.read.parquet(str(tmp_path / "kept")).count() == stored  # every count was a hit
+    finally:
+        spark.conf.unset(queries.TOKEN_CACHE)
+
+
 def test_sentencepiece_counts(spark, odd_docs):
     import public_tokenizers
     import sentencepiece

@@ -35,6 +35,10 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
 
 NO_ID = -(2**63)
+#: A frame holds about this many tokens, or one document of more; a reader of one document unpacks one frame.
+FRAME_TOKENS = 1 << 12
+#: A file takes about this many bytes of text, and on small inputs at least the second number of them.
+FILE_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 MANIFEST = "part long, path string, n_docs long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -58,7 +62,7 @@ def _open_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 class Writer:
     """Writes one file; documents must come in ascending id order (null first)."""
 
-    def __init__(self, sink, frame_tokens: int = 1 << 17, level: int = 3):
+    def __init__(self, sink, frame_tokens: int = FRAME_TOKENS, level: int = 3):
         self.sink, self.frame_tokens = sink, frame_tokens
         self.zstd = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.frames: list[tuple[int, int, int]] = []
@@ -83,7 +87,9 @@ class Writer:
         self.docs, self.held = [], 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        """``ids``: little-endian unsigned 32-bit integers."""
+        """``ids``: little-endian unsigned 32-bit integers.  A document that would overfill a frame begins the next one."""
+        if self.docs and self.held + len(ids) // 4 > self.frame_tokens:
+            self._flush()
         self.docs.append((NO_ID if doc_id is None else doc_id, ids))
         self.held += len(ids) // 4
         self.n_docs += 1
@@ -143,12 +149,12 @@ class Reader:
     def get(self, doc_ids) -> Iterator[Document]:
         """The documents with these ids, reading only frames whose id range holds one."""
         wanted = np.unique(np.array([NO_ID if x is None else x for x in doc_ids], dtype=np.int64))
-        for k, (_, _, low, high) in enumerate(self.index.tolist()):
-            if np.searchsorted(wanted, low) < np.searchsorted(wanted, high, side="right"):
-                for d in self._documents(k):
-                    key = NO_ID if d.doc_id is None else d.doc_id
-                    if (i := np.searchsorted(wanted, key)) < len(wanted) and wanted[i] == key:
-                        yield d
+        low, high = self.index[:, 2], self.index[:, 3]
+        for k in np.flatnonzero(np.searchsorted(wanted, low) < np.searchsorted(wanted, high, side="right")).tolist():
+            for d in self._documents(k):
+                key = NO_ID if d.doc_id is None else d.doc_id
+                if (i := np.searchsorted(wanted, key)) < len(wanted) and wanted[i] == key:
+                    yield d
 
 
 def open_reader(uri: str) -> Reader:
@@ -156,16 +162,25 @@ def open_reader(uri: str) -> Reader:
     return Reader(fs.open_input_file(path))
 
 
-def write_tokens(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", frame_tokens: int = 1 << 17) -> DataFrame:
+def files_for(n_bytes: int, spark_partitions: int) -> int:
+    """How many files hold so many bytes of text: by size, and on small inputs enough to keep the session's tasks busy."""
+    return max(1, -(-n_bytes // FILE_BYTES), min(spark_partitions, -(-n_bytes // LEAST_BYTES)))
+
+
+def write_tokens(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", frame_tokens: int = FRAME_TOKENS) -> DataFrame:
     """Encodes whole texts and writes one file per range of ids; returns the manifest (``MANIFEST``).
 
-    Files follow ascending ids, so file ``part`` holds smaller ids than ``part + 1``.
+    Files follow ascending ids, so file ``part`` holds no larger ids than ``part + 1``.
     Null text counts as empty; null ids come first; rows with equal ids are all
-    kept, ordered by text; an empty table gives no documents.  A retried task
-    rewrites the same file by an atomic move.  Extra columns are not read.
+    kept, ordered by a hash of the text, and may lie in several files, as may equal
+    rows.  An empty table gives no documents.  The number of files follows the bytes
+    of text.  A retried task rewrites the same file by an atomic move.  Extra columns
+    are not read.
     """
-    n = common.shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), common.text_of(text_col).alias("t"))
+    text = common.text_of(text_col)
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 1), F.lit(0))).first()[0]
+    n = files_for(n_bytes, common.shuffle_partitions(docs.sparkSession))
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("t"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("u"))
 
     def write(batches):
         part = TaskContext.get().partitionId()
@@ -185,7 +200,7 @@ def write_tokens(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int
         name = f"{out_uri.rstrip('/')}/part-{part:06d}.tok.zst"
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]}, schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    written = rows.repartitionByRange(n, "k").sortWithinPartitions("k", "t").mapInArrow(write, MANIFEST)
+    written = rows.repartitionByRange(n, "k", "h", "u").sortWithinPartitions("k", "h", "u").select("k", "t").mapInArrow(write, MANIFEST)
     return common.materialise(written, "token-manifest")
 
 
@@ -207,5 +222,4 @@ def token_positions(manifest: DataFrame) -> DataFrame:
                     begin += len(d.ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = common.shuffle_partitions(manifest.sparkSession)
-    return starts.repartition(n, "part").select("path", "start").mapInArrow(read, READ)
+    return starts.repartition(max(1, starts.count()), "part").select("path", "start").mapInArrow(read, READ)

@@ -1,7 +1,7 @@
 """Language identification by rank-order n-gram profiles.
 
-A profile lists the most frequent character n-grams (1 to 3 letters, words padded
-with one blank) by falling count.  A document goes to the language whose profile
+A profile lists the most frequent character n-grams (1 to 3 letters with their marks,
+words padded with one blank) by falling count.  A document goes to the language whose profile
 its own has the smallest out-of-place distance to: the sum of rank differences,
 with the profile length for n-grams the language's profile lacks.
 """
@@ -9,6 +9,7 @@ with the profile length for n-grams the language's profile lacks.
 from __future__ import annotations
 
 import functools
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,22 @@ BLANK, BITS = 1, 21  # three code points of 21 bits fill 63; no letter has code
 
 @functools.cache
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+    """By code point: 1 letter, 2 combining mark (it goes on with a word, but begins none and is no letter of its own), 0 other."""
+    mark = [unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)]
+    return np.array([1 if chr(c).isalpha() else 2 * m for c, m in enumerate(mark)], np.uint8)
 
 
 def ngrams(text: str) -> np.ndarray:
     """All n-grams of the whole text, each as one integer; empty if there is no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    is_letter = _letters()[points]
+    kind = _letters()[points]
+    is_letter = kind == 1
     if not is_letter.any():
         return np.empty(0, np.int64)
+    if (marks := np.flatnonzero(kind == 2)).size:
+        # A run of marks belongs to the word if a letter stands right before it.
+        before = np.maximum.accumulate(np.where(kind != 2, np.arange(len(kind)), -1))[marks]
+        is_letter[marks[(before >= 0) & is_letter[before]]] = True
     padded = np.full(len(points) + 2, BLANK, np.int64)
     padded[1:-1][is_letter] = points[is_letter]
     blank = padded == BLANK

@@ -9,6 +9,7 @@ learns the posteriors of a bounded sample and then scores every whole text.
 
 from __future__ import annotations
 
+import re
 from operator import and_
 from typing import NamedTuple
 
@@ -31,10 +32,10 @@ KEEP_FROM = 0.2
 
 
 def _kinds() -> np.ndarray:
-    """Per byte: 1 lower-case letter or part of a non-ASCII character, 2 upper case, 3 digit, 4 sentence mark, 5 other symbol, 0 white space and control."""
+    """Per byte: 1 lower-case letter or first byte of a non-ASCII character, 2 upper case, 3 digit, 4 sentence mark, 5 other symbol, 0 white space, control and further bytes of a character, so that counts are of characters."""
     kind = np.zeros(256, np.uint8)
     kind[0x21:0x7F] = 5
-    kind[0x80:] = 1
+    kind[0xC0:] = 1
     kind[ord("a") : ord("z") + 1] = 1
     kind[ord("A") : ord("Z") + 1] = 2
     kind[ord("0") : ord("9") + 1] = 3
@@ -43,6 +44,10 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
+# First bytes of scripts that set no blanks between words: Thai, Lao and Tibetan to Khmer among E0 and E1, and kana, Han and Hangul.
+_UNSPACED = re.compile(rb"\xe0[\xb8-\xbf]|\xe1[\x80-\x82\x9e\x9f]|[\xe3-\xed]")
+#: Characters of those scripts that count as a word.
+UNSPACED_WORD = 4
 
 
 def _bad_from(value: float, least: float) -> int:
@@ -50,13 +55,14 @@ def _bad_from(value: float, least: float) -> int:
 
 
 class Page(NamedTuple):
-    """What labellers look at: bytes by kind, words, lines, and the shares of words that repeat the one before, and the two before."""
+    """What labellers look at: characters by kind, words, lines, the shares of words that repeat the one before, and the two before, and characters a word."""
 
     kinds: np.ndarray
     words: list[bytes]
     lines: list[bytes]
     same_words: float
     in_runs: float
+    length: float
 
     @classmethod
     def of(cls, text: bytes) -> Page:
@@ -64,7 +70,9 @@ class Page(NamedTuple):
         n = max(1, len(words) - 1)
         same = list(map(bytes.__eq__, words, words[1:]))
         same_words, in_runs = sum(same) / n, sum(map(and_, same, same[1:])) / n
-        return cls(np.bincount(_KIND[np.frombuffer(text, np.uint8)], minlength=6), words, text.split(b"\n"), same_words, in_runs)
+        kinds = np.bincount(_KIND[np.frombuffer(text, np.uint8)], minlength=6)
+        unspaced = 0 if text.isascii() else sum(1 for _ in _UNSPACED.finditer(text))
+        return cls(kinds, words, text.split(b"\n"), same_words, in_runs, kinds[1:].sum() / max(1, len(words) + unspaced / UNSPACED_WORD))
 
 
 #: All but the last look for one fault each and abstain otherwise, as the lack of one fault says little about others.
@@ -76,7 +84,7 @@ LABELLERS = {
     "repeated_words": lambda p: _bad_from(p.same_words, 0.10) if len(p.words) >= 15 else NONE,
     "word_runs": lambda p: _bad_from(p.in_runs, 0.06) if len(p.words) >= 15 else NONE,
     "repeated_lines": lambda p: _bad_from(1 - len(set(p.lines)) / len(p.lines), 0.50) if len(p.lines) >= 5 else NONE,
-    "prose": lambda p: GOOD if len(p.words) >= 3 and 3 <= p.kinds[1:].sum() / len(p.words) <= 9 and p.kinds[5] == 0 and p.kinds[2] <= 0.2 * p.kinds[1] and p.same_words < 0.05 else NONE,
+    "prose": lambda p: GOOD if p.kinds[1:].sum() >= 3 * p.length and 2.5 <= p.length <= 9 and p.kinds[5] == 0 and p.kinds[2] <= 0.2 * p.kinds[1] and p.same_words < 0.05 else NONE,
 }
 
 
@@ -144,12 +152,17 @@ def _bin(name: bytes) -> int:
 _SAME_WORD, _SAME_LINE = map(_bin, (b"same word", b"same line"))
 
 
-def hashed(text: bytes, page: Page | None = None) -> np.ndarray:
-    """Square-rooted shares over ``BINS`` hashed features: byte 3-grams (case kept, ends padded), and words and lines that repeat."""
+def trigrams(text: bytes) -> np.ndarray:
+    """All byte 3-grams (case kept, ends padded) as integers."""
     b = np.frombuffer(b" " + text + b" ", np.uint8).astype(np.uint32)
-    if len(b) < 3:
+    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+
+
+def hashed(text: bytes, page: Page | None = None, grams: np.ndarray | None = None) -> np.ndarray:
+    """Square-rooted shares over ``BINS`` hashed features: byte 3-grams, and words and lines that repeat."""
+    grams = trigrams(text) if grams is None else grams
+    if not len(grams):
         return np.zeros(BINS, np.float32)
-    grams = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
     bins = (grams * np.uint32(2654435761)) >> np.uint32(20)
     share = np.bincount(bins, minlength=BINS) / len(grams)
     page = page or Page.of(text)
@@ -162,17 +175,25 @@ class Scorer(NamedTuple):
     weights: np.ndarray
     bias: float
 
-    def __call__(self, text: bytes, page: Page | None = None) -> float:
-        z = float(hashed(text, page) @ self.weights) + self.bias
+    def __call__(self, features: np.ndarray) -> float:
+        z = float(features @ self.weights) + self.bias
         return float(1 / (1 + np.exp(np.clip(-z, -700, 700))))
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, steps: int = STEPS, l2: float = 1e-4) -> Scorer:
-    """Logistic regression on soft labels by gradient steps with momentum; both classes weigh alike."""
+def fit_scorer(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, steps: int = STEPS, l2: float = 1e-4) -> Scorer:
+    """Logistic regression on soft labels by gradient steps with momentum; ``n`` counts each row, and both classes weigh alike.
+
+    Where all labels say nearly the same there is nothing to tell apart: the score is
+    their mean for every text.
+    """
     if not len(x):
         return Scorer(np.zeros(BINS, np.float32), 0.0)
-    mass = np.array([(1 - y).sum(), y.sum()])
-    weight = y * mass.sum() / (2 * max(mass[1], 1e-9)) + (1 - y) * mass.sum() / (2 * max(mass[0], 1e-9)) if mass.min() > 1e-3 else np.ones(len(y))
+    n = np.ones(len(y)) if n is None else n * (len(y) / n.sum())
+    mass = np.array([((1 - y) * n).sum(), (y * n).sum()])
+    if y.max() - y.min() < 1e-3:
+        share = np.clip(mass[1] / mass.sum(), 1e-6, 1 - 1e-6)
+        return Scorer(np.zeros(BINS, np.float32), float(np.log(share / (1 - share))))
+    weight = n * (y * mass.sum() / (2 * max(mass[1], 1e-9)) + (1 - y) * mass.sum() / (2 * max(mass[0], 1e-9)) if mass.min() > 1e-3 else np.ones(len(y)))
     mean = x.mean(0)
     centred = np.ascontiguousarray(x - mean, dtype=np.float32)
     across = np.ascontiguousarray(centred.T)
@@ -187,8 +208,11 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, steps: int = STEPS, l2: float = 1e-
 
 
 class QualityModel(NamedTuple):
+    """``known``: a bit for each 3-gram that the scorer has learned from."""
+
     labels: LabelModel
     scorer: Scorer
+    known: bytes
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -196,7 +220,12 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
-    """Counts patterns over all documents; the scorer's sample is taken by a hash of id and text, about ``sample`` rows of any corpus."""
+    """Counts patterns over all documents; the scorer learns from about ``sample`` distinct rows taken by a hash of id and text.
+
+    A row that repeats is one row of the sample with its count as weight.  The same
+    rows are taken in whatever order and partitions they come; at most twice
+    ``sample`` are, those with the smallest hashes.
+    """
 
     def count(batches):
         for b in common.rows_of(batches):
@@ -205,24 +234,32 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     counted = _texts(docs, text_col).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 3 ** labellers rows
     labels = fit_labels({r["code"]: r["n"] for r in counted})
-    total = sum(r["n"] for r in counted)
-    chance = min(1.0, sample / max(1, total))
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) <= int(chance * (1 << 30)))
+    hashed_row = F.xxhash64(F.col(id_col), F.col(text_col))
+    distinct = docs.agg(F.approx_count_distinct(hashed_row)).first()[0]
+    chance = min(1.0, sample / max(1, distinct))
+    chosen = docs.select(hashed_row.alias("h"), F.col(text_col).cast("string").alias("t")).where(F.pmod("h", F.lit(1 << 30)) <= int(chance * (1 << 30)))
+    chosen = chosen.groupBy("h").agg(F.min("t").alias("t"), F.count("*").alias("n")).orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(2 * sample)
 
     def describe(batches):
         for b in common.rows_of(batches):
             texts = common.texts_as_bytes(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([pattern(x) for x in texts], pa.int64()), pa.array([hashed(x).tobytes() for x in texts], pa.binary())], names=["code", "x"])
+            grams = [np.unique(trigrams(x)).tobytes() for x in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([pattern(x) for x in texts], pa.int64()), pa.array([hashed(x).tobytes() for x in texts], pa.binary()), pa.array(grams, pa.binary()), b.column(1), b.column(2)], names=["code", "x", "grams", "n", "h"])
 
-    rows = _texts(chosen, text_col).mapInArrow(describe, "code long, x binary").limit(2 * sample).collect()
+    rows = sorted(chosen.select("t", "n", "h").mapInArrow(describe, "code long, x binary, grams binary, n long, h long").collect(), key=lambda r: r["h"])  # at most 2 * sample rows
+    known = np.zeros(1 << 24, bool)
+    for r in rows:
+        known[np.frombuffer(r["grams"], np.uint32)] = True
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.empty((0, BINS), np.float32)
-    return QualityModel(labels, fit_scorer(x, labels.posterior([r["code"] for r in rows]) if rows else np.empty(0)))
+    return QualityModel(labels, fit_scorer(x, labels.posterior([r["code"] for r in rows]) if rows else np.empty(0), np.array([r["n"] for r in rows], dtype=np.float64)), np.packbits(known).tobytes())
 
 
 def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = KEEP_FROM, names: tuple[str, str, str] = ("posterior", "score", "keep")) -> DataFrame:
-    """id, ``keep`` columns, posterior (weak label), score (linear scorer) and keep = score >= threshold (``names``), for every row.
+    """id, ``keep`` columns, posterior (weak label), score and keep = score >= threshold (``names``), for every row.
 
-    Null text is empty; its vote pattern and n-grams are those of no words.  Repeated
+    The score is the linear scorer's for the share of 3-grams that it has learned
+    from, and the weak label's for the rest: of a script that no sampled row has, the
+    scorer knows nothing.  Null text is empty; its vote pattern and n-grams are those of no words.  Repeated
     rows and null ids are kept; an empty table gives no rows.
     """
     out = list(dict.fromkeys((id_col, *keep)))
@@ -230,11 +267,16 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
     fields, n, at = docs.select(*out).schema.fields, len(out), rows.columns.index(text_col)
 
     def score(batches):
+        known = np.unpackbits(np.frombuffer(model.known, np.uint8))
         for b in common.rows_of(batches):
             texts = common.texts_as_bytes(b.column(at))
             pages = [Page.of(x) for x in texts]
             posterior = model.labels.posterior([pattern(x, p) for x, p in zip(texts, pages, strict=True)])
-            scores = np.array([model.scorer(x, p) for x, p in zip(texts, pages, strict=True)])
+            scores = np.empty(len(texts))
+            for k, (text, page) in enumerate(zip(texts, pages, strict=True)):
+                grams = trigrams(text)
+                share = float(known[grams].mean()) if len(grams) else 1.0
+                scores[k] = share * model.scorer(hashed(text, page, grams)) + (1 - share) * posterior[k]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(posterior), pa.array(scores), pa.array(scores >= threshold)], names=[*b.schema.names[:n], *names])
 
     return rows.mapInArrow(score, StructType([*fields, StructField(names[0], DoubleType()), StructField(names[1], DoubleType()), StructField(names[2], BooleanType())]))

@@ -46,9 +46,8 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter([digest(joined[a:b], SEED) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], np.uint64, n)
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' hashes; no words give zero."""
-    hashes = shingle_hashes(text, words)
+def of_hashes(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes; none give zero."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -56,6 +55,10 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int = 3) -> int:
+    return of_hashes(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long).  Only A-Z are lowered; words part at ASCII white space; null text has no words."""
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
@@ -140,7 +143,7 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
                 both = np.array(out, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-        found.append(components.by_group(shared.where(F.col("n") <= bucket).drop("n"), ["chain", "value"], link, "a long, b long"))
+        found.append(components.by_group(shared.where(F.col("n") <= bucket).drop("n"), ["chain", "value"], link, "a long, b long", common.partitions_of(shared)))
         large = shared.where(F.col("n") > bucket)
         if large.isEmpty():
             break
@@ -177,16 +180,18 @@ def keep_one(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col:
     """The rows of ``docs`` that stay when each group of near-duplicates keeps its smallest id.
 
     Of rows that repeat this id one stays, whichever; a group without any id keeps
-    one row.  Rows get a number of their own first, which breaks such ties.
+    one row.  Rows get a number of their own first, which breaks such ties.  Columns
+    of any name come through.
     """
-    numbered = common.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-input")
-    ordered = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("_row").alias("row"))
-    marked = common.materialise(fingerprints(numbered, words, "_row", text_col).withColumnRenamed("doc_id", "_row"), "simhash-fingerprints")
-    keyed = numbered.select("_row", ordered.alias("order")).join(marked, "_row").select("fp", "order")
+    (number,) = common.fresh(docs, "row")
+    numbered = common.materialise(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-input")
+    ordered = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col(number).alias("row"))
+    marked = common.materialise(fingerprints(numbered, words, number, text_col).toDF("n", "fp"), "simhash-fingerprints")
+    keyed = numbered.select(F.col(number).alias("n"), ordered.alias("order")).join(marked, "n").select("fp", "order")
     keyed = common.materialise(keyed.groupBy("fp").agg(F.min("order").alias("first")), "simhash-classes")
     roots = components.components(links(keyed.select("fp")), "a", "b")
     stay = (
         keyed.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root"))
-        .agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+        .agg(F.min("first").alias("first")).select(F.col("first.row").alias(number))
     )
-    return numbered.join(stay, "_row", "left_semi").drop("_row")
+    return numbered.join(stay, number, "left_semi").drop(number)

@@ -37,10 +37,18 @@ class Engine:
         return objects.export(self.tree(root).withColumn("mode", F.lit(0o644)), uri, archive_id, epoch)
 
     def restore(self, uri: str) -> DataFrame:
+        """Objects with content, or with an error where a chunk is absent or damaged."""
         return objects.restore(objects.inspect(self.spark, uri))
 
     def drill(self, uri: str) -> DataFrame:
         return objects.drill(objects.inspect(self.spark, uri))
 
+    def store(self, uri: str, schema: str, key: str) -> tables.Store:
+        """Catalog entries, recovery points, deployments, fences or epochs (see ``schema``)."""
+        return tables.Store(self.spark, uri, schema, key)
+
+    def sink(self, uri: str, schema: str, fence: int = 0) -> log_ops.LogSink:
+        return log_ops.LogSink(self.spark, uri, schema, fence)
+
     def shared_dir(self, name: str) -> str:
         return tables.shared_dir(self.spark, name)

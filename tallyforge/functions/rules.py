@@ -62,7 +62,7 @@ def integrity_label(outcome: Column) -> Column:
 
 
 #: Extensions taken for text.
-TEXT_EXTENSIONS = ("txt", "json", "yaml", "yml", "md", "csv", "log", "env")
+TEXT_EXTENSIONS = ("txt", "json", "yaml", "yml", "md", "env", "csv", "log")
 
 
 def looks_like_text(path: Column, content: Column) -> Column:

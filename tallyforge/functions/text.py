@@ -20,11 +20,13 @@ def tokenize_secrets(text: Column) -> Column:
     return F.regexp_replace(text, SECRET, "$1$2[TOKENIZED]$3")
 
 
-def redact(df: DataFrame, column: str, hooks: list[Callable[[Column], Column]]) -> DataFrame:
-    """Applies the hooks in order and adds ``changed``."""
+def redact(df: DataFrame, column: str, hooks: list[Callable[[Column], Column]], is_text: Column | None = None) -> DataFrame:
+    """Applies the hooks in order and adds ``changed``; rows that ``is_text`` (given: a boolean) denies or leaves unknown stay as they are."""
     out = F.col(column)
     for hook in hooks:
         out = hook(out)
+    if is_text is not None:
+        out = F.when(is_text, out).otherwise(F.col(column))
     return df.withColumn("_redacted", out).withColumn("changed", ~F.col("_redacted").eqNullSafe(F.col(column))).drop(column).withColumnRenamed("_redacted", column)
 
 
@@ -58,3 +60,13 @@ def pause_metrics(df: DataFrame, write_ms: str, barrier_ms: str) -> DataFrame:
 
 def micros_to_ms(us: Column) -> Column:
     return us / 1000.0
+
+
+def catalog_line(archive: Column, target: Column, epoch: Column, size: Column, verified: Column) -> Column:
+    """One line of a catalog listing."""
+    return F.format_string("%-14s %-10s epoch=%d bytes=%d %s", archive, target, epoch, size, F.when(verified, "verified").otherwise("unverified"))
+
+
+def receipt_line(receipt: Column, phase: Column, synced: Column, pause_ms: Column) -> Column:
+    """One line of a deployment receipt."""
+    return F.format_string("%s: %s, %d mutations, pause %.3f ms", receipt, phase, synced, pause_ms)

@@ -41,11 +41,19 @@ def attach_drills(catalog: DataFrame, drills: DataFrame, key: str, ran_at: str,
     return catalog.join(last, key, "left")
 
 
+def lookup(wanted: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+    """Each wanted key with its entry's columns and ``found``; an unknown key has nulls and false.  Repeated entries give a row each."""
+    return wanted.join(catalog.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def prune(rows: DataFrame, key: str, value) -> DataFrame:
-    """Without the row of this key; a key that is absent is an error."""
-    if rows.where(F.col(key) == value).isEmpty():
-        raise KeyError(f"{key} {value} is not in the catalog")
-    return rows.where(F.col(key) != value)
+    """Without the row of this key; a key that is absent is an error when the result is read.
+
+    The count of what goes is one row, so nothing runs while the plan is made.
+    """
+    gone = rows.agg(F.count_if(F.col(key) == value).alias("_gone"))
+    told = F.raise_error(F.lit(f"{key} {value} is not in the catalog")).cast("boolean")
+    return rows.crossJoin(F.broadcast(gone)).where(F.when(F.col("_gone") == 0, told).otherwise(True)).where(F.col(key) != value).drop("_gone")
 
 
 def dr_scorecard(entries: DataFrame, points: DataFrame, by: list[str], stored_at: str, key: str, verified: str, path: str, drill_ok: str) -> DataFrame:
@@ -72,6 +80,12 @@ def chaos_matrix(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return out.withColumn("passed", rules.surely((F.col("detected") == F.col("expect_detection")) & (F.col("action_taken") == F.col("expect_action")) & F.col("recovered")))
 
 
+def chaos_score(matrix: DataFrame) -> DataFrame:
+    """One row: scenarios, how many passed, and whether all did."""
+    out = matrix.agg(F.count("*").alias("scenarios"), F.count_if("passed").alias("passed"))
+    return out.withColumn("all_passed", F.col("scenarios") == F.col("passed"))
+
+
 def first_metric(metrics: DataFrame, name: str) -> DataFrame:
     return metrics.where(F.col("name") == name).groupBy("name").agg(F.min_by("value", "ts").alias("value"))
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..schema import KINDS
+from ..sources import tables
 
 
 def head(log: DataFrame) -> DataFrame:
@@ -44,13 +45,37 @@ def stale_fences(log: DataFrame, by: list[str], token: str = "fence_token", seq:
 def append(log: DataFrame, incoming: DataFrame, fence: int = 0) -> DataFrame:
     """``incoming`` (``arrival`` gives its order) with seq: repeated op ids and stale fences are left out.
 
-    One batch of appends is numbered in a single sequence, so it should be a bounded batch.
+    Numbers follow the log's last one without a gap; they are dealt by ranges of
+    arrival, so a batch may have any size.
     """
     fresh = first_of_op(incoming.withColumn("seq", F.col("arrival")), seq="seq").where("is_first").drop("effective_seq", "is_first", "seq")
     fresh = fresh.join(log.where("client_op_id <> ''").select("client_op_id").distinct(), "client_op_id", "left_anti")
     fresh = fresh.where((F.col("fence_token") == 0) | (F.lit(fence) == 0) | (F.col("fence_token") >= fence))
     start = head(log).select("next_seq")
-    return fresh.crossJoin(F.broadcast(start)).withColumn("seq", F.col("next_seq") + F.row_number().over(Window.orderBy("arrival")) - 1).drop("next_seq", "arrival")
+    rows = tables.numbered(fresh, ["arrival"], "_rank", "append")
+    return rows.crossJoin(F.broadcast(start)).withColumn("seq", F.col("next_seq") + F.col("_rank")).drop("next_seq", "arrival", "_rank")  # start: one row
+
+
+class LogSink:
+    """A change log in a folder, one subfolder a batch; a repeated batch replaces itself, so appends happen once."""
+
+    def __init__(self, spark: SparkSession, uri: str, schema: str, fence: int = 0):
+        self.spark, self.uri, self.schema, self.fence = spark, uri.rstrip("/"), schema, fence
+
+    def _batches(self, without: int | None) -> list[str]:
+        left_out = None if without is None else f"batch={without:09d}"
+        names = [n for n in tables.children(self.spark, self.uri) if n.startswith("batch=") and n != left_out]
+        return [f"{self.uri}/{n}" for n in names if tables.exists(self.spark, f"{self.uri}/{n}/_SUCCESS")]
+
+    def read(self, without: int | None = None) -> DataFrame:
+        """All records so far (but those of one batch)."""
+        found = self._batches(without)
+        return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
+
+    def write(self, incoming: DataFrame, batch: int) -> None:
+        """Appends one batch; also the function to give to ``foreachBatch``."""
+        log = self.read(without=batch)
+        append(log, incoming, self.fence).select(*log.columns).write.mode("overwrite").parquet(f"{self.uri}/batch={batch:09d}")
 
 
 def latest(log: DataFrame, key: str, seq: str, kind: str, deleted: str, columns: list[str]) -> DataFrame:
@@ -66,13 +91,73 @@ def latest(log: DataFrame, key: str, seq: str, kind: str, deleted: str, columns:
 STATE = "resource string, path string, mode int, content_hash string, size long, applied long, error string"
 
 
-def _apply(records: pd.DataFrame) -> Iterator[tuple]:
-    state: dict[str, tuple[int, str, int]] = {}
-    applied, error = 0, None
+class _Tree:
+    """Objects by path as nested folders, so that a folder moves or goes as one node."""
+
+    def __init__(self) -> None:
+        self.root: dict = {}
+
+    def _folder(self, parts: list[str], make: bool = False) -> dict | None:
+        at = self.root
+        for p in parts:
+            below = at.get(p)
+            if below is None:
+                if not make:
+                    return None
+                below = at[p] = [None, {}]
+            at = below[1]
+        return at
+
+    def node(self, path: str) -> list | None:
+        *above, name = path.split("/")
+        folder = self._folder(above)
+        return None if folder is None else folder.get(name)
+
+    def put(self, path: str, value: tuple) -> None:
+        *above, name = path.split("/")
+        self._folder(above, True).setdefault(name, [None, {}])[0] = value
+
+    def take(self, path: str) -> list | None:
+        *above, name = path.split("/")
+        folder = self._folder(above)
+        return None if folder is None else folder.pop(name, None)
+
+    def add(self, path: str, node: list) -> None:
+        """A taken node goes in at ``path``; what it brings replaces what is there."""
+        *above, name = path.split("/")
+        into = self._folder(above, True).setdefault(name, [None, {}])
+        todo = [(into, node)]
+        while todo:
+            old, new = todo.pop()
+            old[0] = old[0] if new[0] is None else new[0]
+            for k, child in new[1].items():
+                if k in old[1]:
+                    todo.append((old[1][k], child))
+                else:
+                    old[1][k] = child
+
+    def objects(self) -> Iterator[tuple[str, tuple]]:
+        todo = [("", self.root)]
+        while todo:
+            prefix, folder = todo.pop()
+            for name, (value, below) in folder.items():
+                if value is not None:
+                    yield prefix + name, value
+                todo.append((f"{prefix}{name}/", below))
+
+
+def _holds_any(node: list | None) -> bool:
+    todo = [] if node is None else [node]
+    while todo:
+        value, below = todo.pop()
+        if value is not None:
+            return True
+        todo += below.values()
+    return False
 
-    def below(path):
-        return [p for p in state if p == path or p.startswith(path + "/")]
 
+def _apply(records: pd.DataFrame) -> Iterator[tuple]:
+    tree, applied, error = _Tree(), 0, None
     for r in records.sort_values("seq", kind="stable").itertuples():
         if r.kind not in KINDS:
             error = f"unknown kind {r.kind}"
@@ -80,25 +165,24 @@ def _apply(records: pd.DataFrame) -> Iterator[tuple]:
             if r.offset:
                 error = "range writes are not supported"
             else:
-                state[r.path] = (int(r.mode) or 0o644, r.content_hash, int(r.size))
+                tree.put(r.path, (int(r.mode) or 0o644, r.content_hash, int(r.size)))
         elif r.kind == "delete":
-            for p in below(r.path):
-                del state[p]
+            tree.take(r.path)
         elif r.kind == "chmod":
-            if r.path in state:
-                state[r.path] = (int(r.mode), *state[r.path][1:])
+            node = tree.node(r.path)
+            if node is not None and node[0] is not None:
+                node[0] = (int(r.mode), *node[0][1:])
             else:
                 error = f"no such path {r.path}"
-        else:
-            moved = below(r.path)
-            if not moved:
-                error = f"no such path {r.path}"
-            for p in moved:
-                state[r.dest_path + p[len(r.path) :]] = state.pop(p)
+        elif not _holds_any(tree.node(r.path)):
+            error = f"no such path {r.path}"
+        elif r.path != r.dest_path:
+            tree.add(r.dest_path, tree.take(r.path))
         if error:
             break
         applied += 1
-    for path, (mode, content, size) in sorted(state.items()):
+    state = sorted(tree.objects())
+    for path, (mode, content, size) in state:
         yield path, mode, content, size, applied, error
     if not state:
         yield None, None, None, None, applied, error
@@ -119,25 +203,36 @@ def replay(log: DataFrame) -> DataFrame:
 
 
 def delta(log: DataFrame, cursor: int, barrier: int | None = None) -> DataFrame:
-    """Records from the cursor on, up to (not including) the barrier."""
+    """Records from the cursor on, up to (not including) the barrier: also a one-shot sync from a cursor."""
     rows = log.where(F.col("seq") >= cursor)
     return rows if barrier is None else rows.where(F.col("seq") < barrier)
 
 
+def caught_up(state: DataFrame, pending: DataFrame, key: str, seq: str, kind: str, deleted: str, columns: list[str]) -> DataFrame:
+    """A state (key, seq, kind, columns; as ``latest`` gives it) after pending records: the final delta of a catch-up."""
+    kept = [key, seq, kind, *columns]
+    return latest(state.select(*kept).unionByName(pending.select(*kept)), key, seq, kind, deleted, columns)
+
+
 def epochs(log: DataFrame, by: str, order: str, action: str, epoch: str) -> DataFrame:
-    """Assigned epoch after each action: commit adds one, rollback pins the named epoch, advance takes it if higher (force: always)."""
-    schema = f"{by} string, {order} long, {action} string, assigned long, refused boolean"
-
-    def run(key, rows):
-        now, out = 0, []
-        for r in rows.sort_values(order, kind="stable").itertuples():
-            what, to = getattr(r, action), getattr(r, epoch)
-            refused = what == "advance" and to < now
-            now = now + 1 if what == "commit" else now if refused else int(to)
-            out.append((str(key[0]), getattr(r, order), what, now, refused))
-        return pd.DataFrame(out, columns=[by, order, action, "assigned", "refused"])
-
-    return log.select(F.col(by).cast("string").alias(by), F.col(order).cast("long").alias(order), action, epoch).groupBy(by).applyInPandas(run, schema)
+    """Assigned epoch after each action: commit adds one, advance takes the named epoch if it is higher, all others (rollback, force) pin it.
+
+    Pins cut a history into segments.  In one, the epoch is the commits so far plus
+    the largest lead: the pin's epoch, or what an advance named less the commits
+    before it.  Running windows replace a fold from record to record.
+    """
+    key, at = F.col(by).cast("string"), F.col(order).cast("long")
+    rows = log.select(key.alias(by), at.alias(order), action, F.col(epoch).cast("long").alias("_to"))
+    whole = Window.partitionBy(by).orderBy(order)
+    pin = ~F.col(action).isin("commit", "advance")
+    rows = rows.withColumn("_segment", F.count_if(pin).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = Window.partitionBy(by, "_segment").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_commits", F.count_if(F.col(action) == "commit").over(so_far))
+    lead = F.when(pin | (F.col(action) == "advance"), F.col("_to") - F.col("_commits"))
+    start = F.when(F.col("_segment") == 0, F.greatest(F.lit(0).cast("long"), F.max(lead).over(so_far))).otherwise(F.max(lead).over(so_far))
+    rows = rows.withColumn("assigned", F.col("_commits") + start)
+    before = F.coalesce(F.lag("assigned").over(whole), F.lit(0))
+    return rows.withColumn("refused", (F.col(action) == "advance") & (F.col("_to") < before)).select(by, order, action, "assigned", "refused")
 
 
 def promoted(slots: DataFrame, slot: str, role: str, to_active: str) -> DataFrame:

@@ -9,11 +9,14 @@ from pyspark.sql.window import Window
 from ..functions import rules
 
 
-def heat(log: DataFrame, key: str, at: str, seq: str, size: str, now: Column, inclusive: bool = False) -> DataFrame:
-    """Per key: hits, bytes, last observed time (by arrival, not the largest), age in seconds, class and rank."""
+def heat(log: DataFrame, key: str, at: str, seq: str, size: str, now: Column, inclusive: bool = False, second_s: float = 1.0) -> DataFrame:
+    """Per key: hits, bytes, last observed time (by arrival, not the largest), age in seconds, class and rank.
+
+    ``second_s``: what counts as a second of age, for logs whose events lie further apart.
+    """
     scored = log.groupBy(key).agg(F.count("*").alias("hits"), F.sum(size).alias("bytes"), F.max_by(at, seq).alias("last_at"))
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_at").cast("timestamp"))
-    out = scored.withColumn("age_s", age / 1e6).withColumn("heat", rules.heat_class(F.col("hits"), F.col("age_s"), inclusive))
+    out = scored.withColumn("age_s", age / (1e6 * second_s)).withColumn("heat", rules.heat_class(F.col("hits"), F.col("age_s"), inclusive))
     return out.withColumn("heat_rank", rules.heat_rank(F.col("heat")))
 
 
@@ -89,3 +92,8 @@ def illegal_steps(history: DataFrame, by: list[str], at: str, phase: str, steps:
     moved = history.withColumn("from_phase", before).where(F.col("from_phase").isNotNull() & (F.col("from_phase") != F.col(phase)))
     edges = steps.select("from_phase", F.col("to_phase").alias(phase))
     return moved.join(F.broadcast(edges), ["from_phase", phase], "left_anti").select(*by, at, "from_phase", phase)
+
+
+def history_length(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Samples held of each series."""
+    return samples.groupBy(*by).agg(F.count("*").alias("samples"))

@@ -101,7 +101,9 @@ def flat_digest(spark, sf_dir):
     return digests.flat_digest(mf.manifest(_docs(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_OBJECTS}, l AS (SELECT 0 AS level, list(sha256(path || ':' || sha256(text)) ORDER BY path) AS h FROM objects
+UNION ALL SELECT level + 1, list_transform(range(1, len(h) + 1, 2), lambda i: CASE WHEN i < len(h) THEN sha256(unhex(h[i]) || unhex(h[i + 1])) ELSE h[i] END) FROM l WHERE len(h) > 1)
+SELECT h[1] AS root FROM l WHERE len(h) = 1""")
 def merkle_root(spark, sf_dir):
     return spark.createDataFrame([(digests.merkle_root(mf.manifest(_docs(spark, sf_dir))),)], "root string")
 
@@ -167,20 +169,71 @@ def object_index(spark, sf_dir):
     return objects.object_index(objs, objects.blocks(objs, SMALL_BLOCK)).drop("chunk_ids")
 
 
-@query()
+_ARCHIVE = f"""{_OBJECTS}, {_BLOCKS}, per AS (SELECT path, CAST(sum(octet_length(data)) AS BIGINT) AS size, string_agg(sha256(data), '' ORDER BY "offset") AS ids FROM blocks GROUP BY path),
+o AS (SELECT objects.path, text, coalesce(size, 0) AS size, sha256(coalesce(ids, '')) AS content_hash, coalesce(ids, '') AS ids FROM objects LEFT JOIN per ON objects.path = per.path),
+r AS (SELECT sha256(string_agg(path || ':' || content_hash || ':' || size || chr(10), '' ORDER BY path)) AS root, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM o)"""
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return objects.export(_docs(spark, sf_dir), tables.shared_dir(spark, "archive"), "a-1", 1, SMALL_BLOCK)
+
+
+@query(f"WITH {_ARCHIVE} SELECT 'a-1' AS archive_id, n AS objects, n AS restored, bytes, root, root AS again, true AS digest_ok FROM r")
 def restore_roundtrip(spark, sf_dir):
-    archive = objects.export(_docs(spark, sf_dir), tables.shared_dir(spark, "archive"), "a-1", 1, SMALL_BLOCK)
-    return objects.drill(archive, SMALL_BLOCK)
+    return objects.drill(_archive(spark, sf_dir), SMALL_BLOCK).drop("evidence_hash")
+
+
+@query(f"""WITH {_ARCHIVE}, c AS (SELECT path, bool_or(sha256(data)[1] = '0') AS missing, bool_or(sha256(data)[1] = '1') AS damaged FROM blocks GROUP BY path)
+SELECT o.path, CASE WHEN missing THEN 'missing chunk' WHEN damaged THEN 'damaged chunk' END AS error, CASE WHEN NOT (coalesce(missing, false) OR coalesce(damaged, false)) THEN sha256(text) END AS hash
+FROM o LEFT JOIN c ON o.path = c.path""")
+def restore_faults(spark, sf_dir):
+    """Every sixteenth chunk is lost and another sixteenth is damaged."""
+    archive = _archive(spark, sf_dir)
+    chunks = archive["chunks"].where(~F.col("hash").startswith("0")).withColumn("data", F.when(F.col("hash").startswith("1"), F.concat("data", F.lit(b"!"))).otherwise(F.col("data")))
+    return objects.restore(archive | {"chunks": chunks}).select("path", "error", F.sha2("content", 256).alias("hash"))
+
 
+@query(f"WITH {_ARCHIVE} SELECT 'a-2' AS archive_id, 1::BIGINT AS epoch, root, bytes AS logical_bytes, (SELECT count(*) FROM blocks) AS blocks FROM r")
+def archive_clone(spark, sf_dir):
+    made = objects.clone(_archive(spark, sf_dir), tables.shared_dir(spark, "archive"), "a-2")
+    return made["summary"].select("archive_id", "epoch", "root", "logical_bytes", "blocks")
 
-@query("SELECT count(*) AS lines, count(*) AS crc_ok, count(*) AS parse_ok, count(*) AS checksum_ok, CAST(sum(event_id) AS BIGINT) AS seqs, sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS trailers_broken_seen FROM events")
+
+@query("""SELECT event_id, event_id % 7 NOT IN (1, 4, 5) AS crc_ok, event_id % 7 <> 4 AS parse_ok, event_id % 7 <> 3 AS checksum_ok,
+event_id % 7 <> 4 AND event_type <> 'signup' AS kind_known FROM events""")
 def log_crc_audit(spark, sf_dir):
-    record = F.to_json(F.struct(F.col("event_id").alias("seq"), F.lit(1).alias("epoch"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("path"), F.col("props").alias("payload")))
-    events = tables.table(spark, sf_dir, "events")
-    lines = events.select(log.to_line(log.with_checksum(record)).alias("value"))
-    broken = events.where("event_id % 3 = 0").select(F.regexp_replace(log.to_line(record), "[0-9a-f]$", "x").alias("value"))
-    good = log.parse(lines).agg(F.count("*").alias("lines"), F.count_if("crc_ok").alias("crc_ok"), F.count_if("parse_ok").alias("parse_ok"), F.count_if("checksum_ok").alias("checksum_ok"), F.sum("seq").alias("seqs"))
-    return good.crossJoin(log.parse(broken).agg(F.count_if(~F.col("crc_ok")).alias("trailers_broken_seen")))  # one row each
+    """Lines that are sound, have a malformed (1) or wrong (5) trailer, none (2), a record that its checksum does not fit (3), or are no JSON (4)."""
+    kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "signup").otherwise("write")
+    record = F.to_json(F.struct(F.col("event_id").alias("seq"), F.lit(1).alias("epoch"), kind.alias("kind"), F.col("user_id").cast("string").alias("path"), F.col("props").alias("payload")))
+    body = log.with_checksum(record)
+    sound, k = log.to_line(body), F.col("event_id") % 7
+    wrong = F.concat(F.left(sound, F.length(sound) - 1), F.when(sound.endswith("0"), "1").otherwise("0"))
+    line = (
+        F.when(k == 1, F.regexp_replace(sound, "[0-9a-f]$", "x")).when(k == 2, body).when(k == 3, log.to_line(F.regexp_replace(body, '"epoch":1', '"epoch":2')))
+        .when(k == 4, F.concat(F.lit("#"), sound)).when(k == 5, wrong).otherwise(sound)
+    )
+    lines = tables.table(spark, sf_dir, "events").select("event_id", line.alias("value"))
+    return log.parse(lines).select("event_id", "crc_ok", "parse_ok", "checksum_ok", "kind_known")
+
+
+@query("""SELECT event_id, user_id FROM events QUALIFY event_id < max(event_id) OVER (PARTITION BY user_id % 8)""")
+def torn_tail(spark, sf_dir):
+    """Eight logs whose last line has no newline."""
+    e, path = tables.table(spark, sf_dir, "events"), tables.shared_dir(spark, "torn")
+    line = log.to_line(F.to_json(F.struct(F.col("event_id").alias("seq"), F.lit("write").alias("kind"), F.col("user_id").cast("string").alias("path"))))
+    whole = e.groupBy((F.col("user_id") % 8).alias("log")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))).alias("rows"))
+    whole.select("log", F.array_join(F.transform("rows", lambda x: x["l"]), "\n").alias("value")).write.option("lineSep", "#").partitionBy("log").text(path)
+    return log.parse(log.whole_lines(spark, path).select("value")).select(F.col("seq").alias("event_id"), F.col("path").cast("long").alias("user_id"))
+
+
+@query("SELECT 'n_regionkey=' || n_regionkey || '/n_name=' || replace(n_name, ' ', '%20') AS folder, CAST(octet_length(encode(n_name)) + 1 AS BIGINT) AS length, sha256(n_name || chr(10)) AS hash FROM nation WHERE n_regionkey <> 1")
+def tree_scan(spark, sf_dir):
+    """A tree of one file a nation; the folder of region 1 is reserved."""
+    path = tables.shared_dir(spark, "tree")
+    n = tables.table(spark, sf_dir, "nation").select("n_regionkey", "n_name", F.col("n_name").alias("value"))
+    n.write.partitionBy("n_regionkey", "n_name").text(path)
+    files = objects.tree(spark, path, ("n_regionkey=1/", "_SUCCESS")).where(F.col("path").rlike("part-"))
+    return files.select(F.regexp_replace(F.regexp_extract("path", "^(.*)/[^/]*$", 1), " ", "%20").alias("folder"), "length", digests.content_hash(F.col("content")).alias("hash"))
 
 
 @query("""SELECT user_id, event_id, previous, coalesce(event_id < previous, false) AS regression, coalesce(event_id = previous, false) AS duplicate,
@@ -219,12 +272,9 @@ CASE WHEN hits >= 3 AND age_s < 10 THEN 'continuous' ELSE 'baseline' END AS stre
 def heat_scores(spark, sf_dir):
     """With hours standing for seconds, as the events lie hours apart."""
     e = tables.table(spark, sf_dir, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0])
-    scaled = e.withColumn("at", F.timestamp_micros(F.unix_micros(now.cast("timestamp")) - ((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3600).cast("long")))
-    h = series.partition_paths(series.heat(scaled, "user_id", "at", "event_id", "value", now))
-    last = e.groupBy("user_id").agg(F.max_by("ts", "event_id").alias("last_at"), F.round(F.sum("value"), 2).alias("bytes"))
-    exact = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_at").cast("timestamp"))) / 3.6e9
-    return h.drop("last_at", "bytes", "age_s").join(last, "user_id").withColumn("age_s", F.round(exact, 6))
+    now = e.agg(F.max("ts")).scalar()
+    h = series.partition_paths(series.heat(e, "user_id", "ts", "event_id", "value", now, second_s=3600.0))
+    return h.withColumn("bytes", F.round("bytes", 2)).withColumn("age_s", F.round("age_s", 6))
 
 
 @query("""SELECT user_id, count(*) FILTER (event_id >= 5000) AS lag_ops, CAST(coalesce(sum(greatest(CAST(floor(value) AS BIGINT), octet_length(encode(props)))) FILTER (event_id >= 5000), 0) AS BIGINT) AS lag_bytes,
@@ -276,11 +326,17 @@ def observation_window(spark, sf_dir):
     return series.observation(e, ["user_id"], "ok", "err", "event_id", 10)
 
 
-@query("""SELECT conv_id, turn, from_phase, role FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS from_phase FROM conversations)
-WHERE from_phase IS NOT NULL AND from_phase <> role AND NOT ((from_phase = 'system' AND role = 'user') OR (from_phase = 'user' AND role = 'assistant'))""")
+_STEP_ROWS = ", ".join(map(str, rules.STEPS))
+_PHASE_OF = [*rules.PHASES, *rules.UNSAFE_PHASES]
+
+
+@query(f"""WITH h AS (SELECT user_id, event_id, [{', '.join(map(repr, _PHASE_OF))}][CAST(event_id * 5 % 14 + 1 AS INTEGER)] AS phase FROM events),
+s(from_phase, to_phase) AS (VALUES {_STEP_ROWS}), l AS (SELECT *, lag(phase) OVER (PARTITION BY user_id ORDER BY event_id) AS from_phase FROM h)
+SELECT user_id, event_id, from_phase, phase FROM l WHERE from_phase <> phase AND NOT EXISTS (SELECT 1 FROM s WHERE s.from_phase = l.from_phase AND s.to_phase = l.phase)""")
 def illegal_transitions(spark, sf_dir):
-    steps = spark.createDataFrame([("system", "user"), ("user", "assistant")], "from_phase string, to_phase string")
-    return series.illegal_steps(tables.table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role", steps)
+    steps = spark.createDataFrame(list(rules.STEPS), "from_phase string, to_phase string")
+    phase = F.element_at(F.array(*map(F.lit, _PHASE_OF)), (F.col("event_id") * 5 % 14 + 1).cast("int"))
+    return series.illegal_steps(tables.table(spark, sf_dir, "events").select("user_id", "event_id", phase.alias("phase")), ["user_id"], "event_id", "phase", steps)
 
 
 def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -438,10 +494,14 @@ def archive_root(spark, sf_dir):
     return digests.archive_root(objects.object_index(objs, objects.blocks(objs, SMALL_BLOCK)))
 
 
-@query()
+_CLEAN = r"""regexp_replace(regexp_replace(coalesce(text, ''), '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}', '[REDACTED_EMAIL]', 'g'),
+  '(?i)("?(?:api[_-]?key|password|secret|token)"?\s*[:=]\s*)("?)[^"\s,}\]]+("?)', '\1\2[TOKENIZED]\3', 'g')"""
+
+
+@query(f"""WITH objects AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, doc_id AS k, coalesce(text, '') AS was, {_CLEAN} AS text FROM documents), {_BLOCKS}
+SELECT 'a-2' AS archive_id, (SELECT count(*) FROM objects WHERE was <> text) AS changed_objects, (SELECT count(*) FROM blocks) AS blocks, (SELECT count(DISTINCT sha256(data)) FROM blocks) AS chunks""")
 def sanitised_clone(spark, sf_dir):
-    archive = objects.export(_docs(spark, sf_dir), tables.shared_dir(spark, "archive"), "a-1", 1, SMALL_BLOCK)
-    made = objects.sanitised_clone(archive, tables.shared_dir(spark, "archive"), "a-2", [text.redact_emails, text.tokenize_secrets], SMALL_BLOCK)
+    made = objects.sanitised_clone(_archive(spark, sf_dir), tables.shared_dir(spark, "archive"), "a-2", [text.redact_emails, text.tokenize_secrets], SMALL_BLOCK)
     return made["summary"].select("archive_id", "changed_objects", "blocks", "chunks")
 
 
@@ -453,15 +513,40 @@ def log_range_scan(spark, sf_dir):
     return log.scan(spark, path, 100, 400).select("seq", "kind", "path", "payload")
 
 
-@query("""SELECT CAST(user_id % 10 AS VARCHAR) AS resource, CAST(user_id AS VARCHAR) AS path, props AS content_hash, event_id AS size, applied FROM (
-SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(props, event_id) AS props FROM events GROUP BY user_id)
-JOIN (SELECT user_id % 10 AS r, count(*) AS applied FROM events GROUP BY 1) ON r = user_id % 10 WHERE event_type <> 'error'""")
+@query("""WITH e AS (SELECT event_id, user_id AS u, user_id % 10 AS r, event_type, props FROM events WHERE user_id % 10 <> 8 OR event_id < 5000),
+gone AS (SELECT u, max(event_id) AS d FROM e WHERE event_type = 'error' GROUP BY u),
+f AS (SELECT u, r, event_type, max(event_id) AS s, arg_max(props, event_id) AS p FROM e WHERE event_type <> 'error' GROUP BY u, r, event_type),
+tail AS (SELECT DISTINCT user_id AS u, user_id % 10 AS r FROM events WHERE user_id % 10 <> 8 AND user_id % 3 <> 2),
+files AS (SELECT f.u, r, event_type AS name, 420 AS mode, p AS content_hash, s AS size FROM f LEFT JOIN gone ON f.u = gone.u WHERE d IS NULL OR s > d
+  UNION ALL SELECT u, r, 'last', CASE WHEN u % 3 = 1 THEN 384 ELSE 420 END, 'tail', 1 FROM tail),
+n AS (SELECT r, sum(n) AS n FROM (SELECT r, count(*) AS n FROM e GROUP BY r UNION ALL SELECT r, 2 * count(*) FROM tail GROUP BY r) GROUP BY r)
+SELECT CAST(files.r AS VARCHAR) AS resource, (CASE WHEN u % 3 = 0 AND files.r <> 8 THEN 'e' ELSE 'd' END) || u || '/' || name AS path, CAST(mode AS INTEGER) AS mode, content_hash, size, CAST(n AS BIGINT) AS applied,
+CASE files.r WHEN 7 THEN 'unknown kind frobnicate' WHEN 8 THEN 'no such path none' WHEN 9 THEN 'range writes are not supported' END AS error FROM files JOIN n ON files.r = n.r""")
 def log_replay(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"), (F.col("user_id") % 10).cast("string").alias("resource"), F.when(F.col("event_type") == "error", "delete").otherwise("write").alias("kind"),
-        F.col("user_id").cast("string").alias("path"), F.lit("").alias("dest_path"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("mode"), F.col("event_id").alias("size"), F.col("props").alias("content_hash"),
+    """A folder a user: an error deletes it, every third user's is renamed in the end, and every third has a file whose mode changes; three resources end in an error, one of them early."""
+    e = tables.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    u, gone = F.col("user_id"), F.col("event_type") == "error"
+    folder = F.concat(F.lit("d"), u.cast("string"))
+    names = ("seq", "resource", "kind", "path", "dest_path", "mode", "offset", "size", "content_hash")
+
+    def records(rows: DataFrame, *values) -> DataFrame:
+        kinds = ("long", "string", "string", "string", "string", "int", "long", "long", "string")
+        return rows.select(*[(v if hasattr(v, "cast") else F.lit(v)).cast(k).alias(n) for n, k, v in zip(names, kinds, values, strict=True)])
+
+    users, r = e.select("user_id").distinct(), (u % 10).cast("string")
+    third = users.where("user_id % 3 <> 2")
+    last = F.concat(folder, F.lit("/last"))
+    one = users.groupBy().count()  # one row
+    out = (
+        records(e, 2 * F.col("event_id"), r, F.when(gone, "delete").otherwise("write"), F.when(gone, folder).otherwise(F.concat(folder, F.lit("/"), "event_type")), "", 0, 0, F.col("event_id"), F.col("props"))
+        .unionByName(records(third, 10**9 + 2 * u, r, "write", last, "", 0, 0, 1, "tail"))
+        .unionByName(records(third.where("user_id % 3 = 0"), 10**9 + 2 * u + 1, r, "rename", folder, F.concat(F.lit("e"), u.cast("string")), 0, 0, 0, ""))
+        .unionByName(records(third.where("user_id % 3 = 1"), 10**9 + 2 * u + 1, r, "chmod", last, "", 384, 0, 0, ""))
+        .unionByName(records(one, 2 * 10**9, "7", "frobnicate", "x", "", 0, 0, 0, ""))
+        .unionByName(records(one, 9999, "8", "chmod", "none", "", 384, 0, 0, ""))
+        .unionByName(records(one, 2 * 10**9, "9", "write", "x", "", 0, 7, 0, ""))
     )
-    return log_ops.replay(e).where("path is not null").select("resource", "path", "content_hash", "size", "applied")
+    return log_ops.replay(out).where("path is not null").select("resource", "path", "mode", "content_hash", "size", "applied", "error")
 
 
 @query("""WITH e AS (SELECT event_id, user_id || '/' || event_type || '/' || props AS op, CAST(floor(value) AS BIGINT) AS token FROM events),
@@ -473,15 +558,40 @@ def log_append(spark, sf_dir):
     return log_ops.append(e.where("seq < 500"), incoming, fence=2).select("client_op_id", "fence_token", "seq")
 
 
-@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, CASE WHEN event_type = 'error' THEN 'rollback' ELSE 'commit' END AS action, event_id % 7 AS pin FROM events),
-g AS (SELECT *, count(*) FILTER (action = 'rollback') OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e)
-SELECT user_id, event_id, action, CAST(coalesce(max(pin) FILTER (action = 'rollback') OVER w, 0) + count(*) FILTER (action = 'commit') OVER w AS BIGINT) AS assigned, false AS refused FROM g
-WINDOW w AS (PARTITION BY user_id, run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+_ACTION = "CASE event_type WHEN 'error' THEN 'rollback' WHEN 'signup' THEN 'advance' WHEN 'view' THEN 'force' ELSE 'commit' END"
+
+
+@query(f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, {_ACTION} AS action, event_id % 7 AS pin FROM events),
+l AS (SELECT user_id, list(CASE action WHEN 'commit' THEN -1 WHEN 'advance' THEN pin ELSE 1000000000 + pin END ORDER BY event_id) AS c FROM e GROUP BY user_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM e),
+a AS (SELECT k.*, CAST(list_reduce(list_prepend(0, c[1:k]), lambda x, y: CASE WHEN y = -1 THEN x + 1 WHEN y >= 1000000000 THEN y - 1000000000 ELSE greatest(x, y) END) AS BIGINT) AS assigned FROM k JOIN l ON k.user_id = l.user_id)
+SELECT user_id, event_id, action, assigned, action = 'advance' AND pin < coalesce(lag(assigned) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS refused FROM a""")
 def epoch_assignment(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "rollback").otherwise("commit").alias("action"), (F.col("event_id") % 7).alias("pin"))
+    e = tables.table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_ACTION).alias("action"), (F.col("event_id") % 7).alias("pin"))
     return log_ops.epochs(e, "user_id", "event_id", "action", "pin")
 
 
+@query("""WITH e AS (SELECT event_id, user_id || '/' || event_type || '/' || props AS op, CAST(floor(value) AS BIGINT) AS token, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS batch FROM events),
+f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY op, batch ORDER BY event_id) = 1), g AS (SELECT * FROM f WHERE token = 0 OR token >= 2), h AS (SELECT * FROM g QUALIFY min(batch) OVER (PARTITION BY op) = batch)
+SELECT op AS client_op_id, token AS fence_token, row_number() OVER (ORDER BY batch, event_id) AS seq FROM h""")
+def append_sink(spark, sf_dir):
+    """Two batches into a written log, the second one twice, as after a failure."""
+    e = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("arrival"), F.concat_ws("/", "user_id", "event_type", "props").alias("client_op_id"), F.floor("value").alias("fence_token"), F.lit(1).cast("long").alias("epoch"))
+    sink = log_ops.LogSink(spark, tables.shared_dir(spark, "log-sink"), "seq long, epoch long, fence_token long, client_op_id string", fence=2)
+    for batch in (1, 2, 2):
+        sink.write(e.where(F.col("arrival") % 2 == batch - 1), batch)
+    return sink.read().select("client_op_id", "fence_token", "seq")
+
+
+@query("""SELECT * FROM (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_id < 800 GROUP BY user_id) WHERE event_type <> 'error'""")
+def final_delta(spark, sf_dir):
+    """The state at one cursor, brought up to a barrier."""
+    e = tables.table(spark, sf_dir, "events").withColumnRenamed("event_id", "seq")
+    names = ("user_id", "seq", "event_type", "error", ["value"])
+    state = log_ops.latest(log_ops.delta(e, 0, 300), *names)
+    return log_ops.caught_up(state, log_ops.delta(e, 300, 800), *names).withColumnRenamed("seq", "event_id")
+
+
 @query("""SELECT o_orderkey AS scenario, o_orderkey % 2 = 0 AS expect_detection, coalesce(o_orderkey % 3 <> 0 AND (o_orderkey % 2 = 0) = (o_orderkey % 4 = 0) AND o_orderkey % 5 <> 0, false) AS passed FROM orders""")
 def chaos_matrix(spark, sf_dir):
     k = F.col("o_orderkey")
@@ -521,36 +631,142 @@ def prune_entry(spark, sf_dir):
     return catalog.prune(tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 5)
 
 
-@query(f"{_BOTH} SELECT (SELECT count(*) FROM a) AS active_files, (SELECT count(*) FROM c) AS candidate_files, false AS equal")
+_ROOT = "(SELECT sha256(coalesce(string_agg(path || ':' || hash || chr(10), '' ORDER BY path), '')) FROM {0}) AS {1}_root, (SELECT count(*) FROM {0}) AS {1}_files, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM {0}) AS {1}_bytes"
+
+
+@query(f"""{_BOTH}, x AS (SELECT 'edited' AS candidate, {_ROOT.format("a", "active")}, {_ROOT.format("c", "candidate")} UNION ALL SELECT 'same', {_ROOT.format("a", "active")}, {_ROOT.format("a", "candidate")})
+SELECT *, active_root = candidate_root AND active_files = candidate_files AND active_bytes = candidate_bytes AS equal FROM x""")
 def manifest_equal(spark, sf_dir):
     objs = _docs(spark, sf_dir)
-    return mf.equal(mf.manifest(objs), mf.manifest(_edited(objs))).select("active_files", "candidate_files", "equal")
+    active = mf.manifest(objs)
+    return mf.equal(active, mf.manifest(_edited(objs))).withColumn("candidate", F.lit("edited")).unionByName(mf.equal(active, active).withColumn("candidate", F.lit("same")))
 
 
-@query(f"WITH {_OBJECTS}, {_BLOCKS} SELECT sha256(data) AS hash, 'missing' AS fault FROM blocks GROUP BY 1 HAVING substr(sha256(data), 1, 1) = '0'")
+@query(f"WITH {_OBJECTS}, {_BLOCKS}, h AS (SELECT DISTINCT sha256(data) AS hash FROM blocks) SELECT hash, CASE hash[1] WHEN '0' THEN 'missing' ELSE 'mismatch' END AS fault FROM h WHERE hash[1] IN ('0', '1')")
 def chunk_faults(spark, sf_dir):
     cut = objects.blocks(_docs(spark, sf_dir), SMALL_BLOCK, keep_data=True)
-    return dedup.chunk_faults(cut, dedup.first_chunks(cut).where(~F.col("hash").startswith("0")))
+    held = dedup.first_chunks(cut).where(~F.col("hash").startswith("0"))
+    return dedup.chunk_faults(cut, held.withColumn("data", F.when(F.col("hash").startswith("1"), F.concat("data", F.lit(b"?"))).otherwise(F.col("data"))))
+
+
+def _resumed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str, **options) -> DataFrame:
+    """A stream over files of events, two a batch, that stops half way and resumes from its folder when the other half has come."""
+    base = tables.shared_dir(spark, "events")
+    e = tables.table(spark, sf_dir, "events")
+    for half in (0, 1):
+        e.where(F.col("event_id") % 2 == half).repartition(3).write.mode("append").parquet(f"{base}/in")
+        out = stream.run_to_table(build(stream.read(spark, f"{base}/in", 2)), mode, folder=f"{base}/run", **options)
+    return out
 
 
 @query(ORACLE_SQL["lww_state"])
 def stream_lww(spark, sf_dir):
-    return stream.run_to_table(stream.latest(stream.read(spark, f"{sf_dir}/events.parquet"), "user_id", "event_id", ["event_type", "value"]), "complete").where("event_type <> 'error'")
+    return _resumed(spark, sf_dir, lambda e: stream.latest(e, "user_id", "event_id", ["event_type", "value"]), "complete").where("event_type <> 'error'")
 
 
-@query("SELECT user_id, count(*) AS hits, round(sum(value), 2) AS bytes, max(ts) AS last_at FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS hits, round(sum(value), 2) AS bytes, arg_max(ts, event_id) AS last_at FROM events GROUP BY user_id")
 def stream_heat(spark, sf_dir):
-    return stream.run_to_table(stream.heat(stream.read(spark, f"{sf_dir}/events.parquet"), "user_id", "ts", "value"), "complete").withColumn("bytes", F.round("bytes", 2))
+    return _resumed(spark, sf_dir, lambda e: stream.heat(e, "user_id", "ts", "event_id", "value"), "complete", every="0 seconds").withColumn("bytes", F.round("bytes", 2))
 
 
 @query("SELECT DISTINCT user_id || '/' || event_type || '/' || props AS client_op_id FROM events")
 def stream_op_dedup(spark, sf_dir):
-    e = stream.read(spark, f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", "user_id", "event_type", "props").alias("client_op_id"))
-    return stream.run_to_table(stream.first_of_op(e, "client_op_id", "ts", "365 days"), "append").select("client_op_id")
+    def build(e):
+        return stream.first_of_op(e.select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", "user_id", "event_type", "props").alias("client_op_id")), "client_op_id", "ts", "365 days")
+
+    return _resumed(spark, sf_dir, build, "append").select("client_op_id")
 
 
 @query("""SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
 def stream_windows(spark, sf_dir):
-    e = stream.read(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = stream.run_to_table(stream.windows(e, "ts", "6 hours", ["event_type"], "value"), "complete")
+    out = _resumed(spark, sf_dir, lambda e: stream.windows(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", ["event_type"], "value"), "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""WITH w AS (SELECT *, unnest([time_bucket(INTERVAL 3 HOUR, ts), time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR]) AS start FROM events)
+SELECT start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM w GROUP BY 1, 2""")
+def stream_sliding(spark, sf_dir):
+    out = _resumed(spark, sf_dir, lambda e: stream.windows(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", ["event_type"], "value", slide="3 hours"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""WITH s AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 2 HOUR, true) AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, count(*) FILTER (first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM s)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n, round(sum(value), 2) AS total FROM g GROUP BY user_id, session""")
+def stream_sessions(spark, sf_dir):
+    out = _resumed(spark, sf_dir, lambda e: stream.sessions(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "2 hours", ["user_id"], "value", "3650 days"), "complete")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 2).alias("total"))
+
+
+@query("""WITH k AS (SELECT user_id, count(*) AS samples, count(*) FILTER (value > 50) AS b, count(*) FILTER (value > 80) AS n FROM events GROUP BY user_id)
+SELECT user_id, samples, CAST(least(512, 64 * pow(2, least(b, 3))) AS INTEGER) AS batch, CAST(least(8, 2 + n) AS INTEGER) AS concurrency FROM k""")
+def stream_tuning(spark, sf_dir):
+    """The knobs as they stand after each batch follow from how often their conditions have held."""
+    held = _resumed(spark, sf_dir, lambda e: stream.held_conditions(e, ["user_id"], {"b": F.col("value") > 50, "n": F.col("value") > 80}), "complete")
+    return held.select("user_id", "samples", rules.tuned(F.col("b"), "batch").alias("batch"), rules.tuned(F.col("n"), "concurrency").alias("concurrency"))
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)
+SELECT * FROM b WHERE o_orderkey <> 6""")
+def catalog_store(spark, sf_dir):
+    """Entries put into a stored catalog, some of them replaced, one removed."""
+    o = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    store = tables.Store(spark, tables.shared_dir(spark, "catalog"), "o_orderkey long, o_custkey long, o_totalprice double", "o_orderkey")
+    store.put(o.where("o_orderkey % 2 = 0"))
+    store.put(o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2))
+    return store.delete(6)
+
+
+@query("""SELECT c_custkey AS o_orderkey, o_custkey, o_orderkey IS NOT NULL AS found FROM customer LEFT JOIN orders ON o_orderkey = c_custkey""")
+def catalog_lookup(spark, sf_dir):
+    wanted = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_orderkey"))
+    return catalog.lookup(wanted, tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
+@query(f"WITH m AS ({ORACLE_SQL['chaos_matrix']}) SELECT count(*) AS scenarios, count(*) FILTER (passed) AS passed, bool_and(passed) AS all_passed FROM m")
+def chaos_score(spark, sf_dir):
+    return catalog.chaos_score(QUERIES["chaos_matrix"](spark, sf_dir))
+
+
+@query(f"WITH {_SAMPLES} SELECT event_type, count(*) AS samples FROM s GROUP BY event_type")
+def history_length(spark, sf_dir):
+    return series.history_length(_samples(spark, sf_dir), ["event_type"])
+
+
+@query("""SELECT o_orderkey, printf('%-14s %-10s epoch=%d bytes=%d %s', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderkey % 9, CAST(floor(o_totalprice) AS BIGINT), CASE WHEN o_orderstatus = 'F' THEN 'verified' ELSE 'unverified' END) AS line,
+printf('%s: %s, %d mutations, pause %.3f ms', o_orderkey::VARCHAR, o_orderstatus, o_custkey, (o_orderkey % 1000) / 8.0) AS receipt FROM orders""")
+def catalog_lines(spark, sf_dir):
+    o, k = tables.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    line = text.catalog_line(k.cast("string"), F.col("o_custkey").cast("string"), k % 9, F.floor("o_totalprice"), F.col("o_orderstatus") == "F")
+    return o.select("o_orderkey", line.alias("line"), text.receipt_line(k.cast("string"), F.col("o_orderstatus"), F.col("o_custkey"), (k % 1000) / 8.0).alias("receipt"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE doc_id % 2 = 0 END AS is_text, doc_id % 4 < 2 AS ready, doc_id % 5 < 2 AS recoverable, doc_id % 6 = 0 AS allowed,
+doc_id / 1000.0 AS ms, 5 + (doc_id % 50) / (CASE WHEN doc_id % 8 > 0 THEN CAST(doc_id % 8 AS DOUBLE) ELSE 1.0 END) * 1000 + (doc_id % 90) * 0.02 AS pause_ms, doc_id % 2 = 0 AS is_archive FROM documents""")
+def predicates_of_documents(spark, sf_dir):
+    """Text by extension (upper case), text by content, and content with a NUL where the id is odd."""
+    k = F.col("doc_id")
+    body = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    path = F.concat(k.cast("string"), F.when(k % 3 == 0, ".JSON").otherwise(".bin"))
+    content = F.when(k % 3 == 1, body).when(k % 2 == 0, body).otherwise(F.concat(F.lit(b"a\0"), body))
+    pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (k % n + 1).cast("int"))
+    return tables.table(spark, sf_dir, "documents").select(
+        "doc_id", rules.looks_like_text(path, content).alias("is_text"), rules.is_ready(pick(4, "READY", "READY_WITH_RISK", "BLOCKED", "UNKNOWN")).alias("ready"),
+        rules.is_recoverable(pick(5, "RECOVERABLE", "PARTIALLY_RECOVERABLE", "NOT_RECOVERABLE", "UNKNOWN", "")).alias("recoverable"), rules.gate_allows(pick(6, "ALLOWED", "BLOCKED", "", "allowed", "REQUIRES_OVERRIDE", "x")).alias("allowed"),
+        text.micros_to_ms(k).alias("ms"), rules.live_pause_ms(k % 50, (k % 8).cast("double"), k % 90).alias("pause_ms"), objects.is_archive(F.concat(F.lit("store/x/"), F.when(k % 2 == 0, "arc-").otherwise("old-"), k.cast("string")), "arc-").alias("is_archive"),
+    )
+
+
+@query("""SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders""")
+def newest_first(spark, sf_dir):
+    """The list in order, with each row's place in it."""
+    o = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    first = tables.materialise(catalog.newest_first(o, "o_orderdate", "o_orderkey").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "newest")
+    return tables.numbered(first.select("o_orderkey", "o_orderdate", "part", "at"), ["part", "at"], "n").select("o_orderkey", "o_orderdate", (F.col("n") + 1).alias("place"))
+
+
+@query("""SELECT o_orderkey, sha256(json_object('o_custkey', o_custkey, 'o_orderkey', o_orderkey, 'o_orderpriority', o_orderpriority, 'o_orderstatus', o_orderstatus)::VARCHAR) AS evidence_hash, o_orderkey % 4 <> 0 AS seal_ok FROM orders""")
+def evidence_seals(spark, sf_dir):
+    """Sealed rows of which every fourth was changed afterwards."""
+    o = digests.seal(tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return digests.sealed_ok(o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 4 == 0, "?").otherwise(F.col("o_orderstatus")))).select("o_orderkey", "evidence_hash", "seal_ok")

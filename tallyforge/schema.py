@@ -14,6 +14,8 @@ CATALOG = (
 )
 RECOVERY_POINT = "id string, created_at timestamp, epoch long, journal_position long, archive_path string, root_digest string, kind string, note string"
 DEPLOYMENT = "deploy_id string, phase string, updated_at timestamp, writes_after_cutover long"
+FENCE = "resource string, epoch long, token long, holder string"
+EPOCH = "resource string, epoch long, updated_at timestamp, reason string"
 EVENT = "schema_version int, event struct<at timestamp, deploy_id string, kind string, level string, message string, phase string, fields string>"
 METRIC = "name string, value double, unit string, labels map<string,string>, ts timestamp"
 

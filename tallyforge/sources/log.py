@@ -64,11 +64,17 @@ def scan(spark: SparkSession, path: str, from_seq: int = 0, to_seq: int | None =
 def whole_lines(spark: SparkSession, path: str) -> DataFrame:
     """Torn-tail recovery: a last line without its newline is left out, whatever it holds; complete lines always stay.
 
-    (file, line_no, value).  A log file is one row here; logs beyond about 1 GiB should be cut into files.
+    (file, block, line_no, value): lines of a file are ordered by block and line_no.
+    Files are read line by line and may be cut into blocks, so their size has no
+    limit.  A file's tail is torn if its lines with a newline each come to one byte
+    more than the file.  Files must not be compressed.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "utf-8").alias("text"))
-    parts = F.split("text", "\n", -1)  # what follows the last newline is the torn tail or ''
-    return files.select("file", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("line_no", "value"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), "value", F.col("_metadata.file_size").alias("_size"),
+    )
+    ends = lines.groupBy("file").agg(F.sum(F.octet_length("value") + 1).alias("_bytes"), F.max("_size").alias("_size"), F.max(F.struct("block", "line_no")).alias("_last"))
+    torn = ends.where(F.col("_bytes") > F.col("_size")).select("file", F.col("_last.block").alias("block"), F.col("_last.line_no").alias("line_no"))
+    return lines.drop("_size").join(torn, ["file", "block", "line_no"], "left_anti")
 
 
 def write(df: DataFrame, path: str) -> None:

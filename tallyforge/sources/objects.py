@@ -74,13 +74,38 @@ def inspect(spark: SparkSession, uri: str) -> dict[str, DataFrame]:
     return {"summary": summary, "objects": spark.read.parquet(f"{uri}/objects"), "chunks": spark.read.parquet(f"{uri}/chunks")}
 
 
-def restore(archive: dict[str, DataFrame]) -> DataFrame:
-    """Objects with content put together again from their chunks."""
+def _wanted(archive: dict[str, DataFrame]) -> DataFrame:
+    """path, k, hash, data, fault (missing, damaged; null: sound) of every chunk that an object names."""
     wanted = archive["objects"].select("path", F.posexplode("chunk_ids").alias("k", "hash"))
+    held = archive["chunks"].select("hash", "data", (F.sha2("data", 256) == F.col("hash")).alias("_sound"))
+    fault = F.when(F.col("data").isNull(), "missing chunk").when(~F.col("_sound"), "damaged chunk")
+    return wanted.join(held, "hash", "left").select("path", "k", "hash", "data", fault.alias("fault"))
+
+
+def restore_blocks(archive: dict[str, DataFrame]) -> DataFrame:
+    """path, k, hash, data, fault: the blocks of every object in order of k, for objects of any size.  A chunk that is absent or damaged has no data and says so."""
+    return _wanted(archive).withColumn("data", F.when(F.col("fault").isNull(), F.col("data")))
+
+
+def restore(archive: dict[str, DataFrame]) -> DataFrame:
+    """path, mode, content, error: objects put together again from their chunks; for objects that fit a row (see ``restore_blocks``).
+
+    Every chunk is checked before use.  An object with a chunk that is absent or
+    damaged, or whose chunk ids do not give its content hash or size, has no content
+    and an ``error``; it is never shortened.
+    """
     parts = F.array_sort(F.collect_list(F.struct("k", F.hex("data").alias("d"))))
     content = F.unhex(F.array_join(F.transform(parts, lambda x: x["d"]), ""))
-    made = wanted.join(archive["chunks"].select("hash", "data"), "hash").groupBy("path").agg(content.alias("content"))
-    return archive["objects"].select("path", "mode").join(made, "path", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
+    made = _wanted(archive).groupBy("path").agg(F.max("fault").alias("_fault"), content.alias("_content"))
+    listed = F.sha2(F.encode(F.array_join("chunk_ids", ""), "utf-8"), 256) == F.col("content_hash")
+    out = archive["objects"].join(made, "path", "left").withColumn("_content", F.coalesce("_content", F.lit(b"")))
+    error = F.coalesce("_fault", F.when(~listed, "content hash"), F.when(F.octet_length("_content") != F.col("size"), "size"))
+    return out.select("path", "mode", F.when(error.isNull(), F.col("_content")).alias("content"), error.alias("error"))
+
+
+def is_archive(path: Column, prefix: str) -> Column:
+    """Whether the last part of a path begins with the archives' prefix."""
+    return F.coalesce(F.element_at(F.split(path, "/"), -1).startswith(prefix), F.lit(False))
 
 
 def clone(archive: dict[str, DataFrame], uri: str, archive_id: str) -> dict[str, DataFrame]:
@@ -96,7 +121,7 @@ def sanitised_clone(archive: dict[str, DataFrame], uri: str, archive_id: str, ho
     """A clone whose text objects went through the redaction hooks; other objects stay as they are.  The summary counts ``changed_objects``."""
     from ..functions import rules
 
-    plain = restore(archive)
+    plain = _sound(restore(archive))
     text = F.decode("content", "utf-8")
     for hook in hooks:
         text = hook(text)
@@ -107,8 +132,27 @@ def sanitised_clone(archive: dict[str, DataFrame], uri: str, archive_id: str, ho
     return made | {"summary": made["summary"].crossJoin(changed)}  # one row each
 
 
+def _sound(restored: DataFrame) -> DataFrame:
+    """Fails on the first object that could not be restored."""
+    told = F.concat(F.lit("cannot restore "), "path", F.lit(": "), "error")
+    return restored.where(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(told).cast("boolean")))
+
+
+RECEIPT = ("archive_id", "objects", "restored", "bytes", "root", "again", "digest_ok", "evidence_hash")
+
+
 def drill(archive: dict[str, DataFrame], size: int = BLOCK) -> DataFrame:
-    """Restore, export again, compare roots: one row (archive_id, root, again, digest_ok)."""
+    """A sealed receipt: restores every object from the archive alone, exports what came back, and compares roots.
+
+    One row: archive_id, objects, restored (without error), bytes, root, again, digest_ok
+    (all restored and the roots equal), evidence_hash.  It reads nothing but the
+    archive, so it holds after the source is gone.
+    """
+    from ..functions import digests
+
     spark = archive["objects"].sparkSession
-    again = export(restore(archive), tables.shared_dir(spark, "drill"), "drill", 0, size)["summary"].select(F.col("root").alias("again"))
-    return archive["summary"].select("archive_id", "root").crossJoin(again).withColumn("digest_ok", F.col("root") == F.col("again"))  # one row each
+    back = tables.materialise(restore(archive), "drill-restored")
+    counts = back.agg(F.count("*").alias("objects"), F.count_if(F.col("error").isNull()).alias("restored"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes"))
+    again = export(back.where("error is null").drop("error"), tables.shared_dir(spark, "drill"), "drill", 0, size)["summary"].select(F.col("root").alias("again"))
+    out = archive["summary"].select("archive_id", "root").crossJoin(again).crossJoin(counts)  # one row each
+    return digests.seal(out.withColumn("digest_ok", (F.col("root") == F.col("again")) & (F.col("restored") == F.col("objects")))).select(*RECEIPT)

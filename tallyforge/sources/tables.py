@@ -1,27 +1,131 @@
-"""Shared-folder tables, JSON documents and synthetic inputs."""
+"""Shared-folder tables, versioned stores, JSON documents and synthetic inputs."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a URI, and the URI as its path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = hadoop(spark, path)
+    return fs.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder (none if it is absent), sorted."""
+    fs, at = hadoop(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a folder of its own only where the session names none."""
+    """A fresh folder URI below ``spark.checkpoint.dir``, removed when the session's JVM ends.
+
+    Where the session names none, a local session gets a folder of its own; on a
+    cluster this is an error, as executors would write where the driver cannot read.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tallyforge-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
+    fs, at = hadoop(spark, path)
+    fs.deleteOnExit(at)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Removes tables that ``materialise`` wrote and that nothing reads any more."""
+    for t in written:
+        fs, at = hadoop(t.sparkSession, t._written)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
+
+
+def numbered(df: DataFrame, order: list[str], out: str, name: str = "numbered") -> DataFrame:
+    """Adds ``out``: gapless numbers from 0 in ``order``, over any number of rows.
+
+    Rows are dealt by range and sorted in their partitions; each partition's count
+    shifts those after it, so no task sees all rows.  The rows are written once.
+    """
+    part, at, count, first, off = (f"_{x}_{out}" for x in ("part", "at", "n", "first", "off"))
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    spread = materialise(spread.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), name)
+    counts = spread.groupBy(part).agg(F.count("*").alias(count), F.min(at).alias(first))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = counts.select(part, first, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(off))
+    return spread.join(F.broadcast(offsets), part).withColumn(out, F.col(off) + F.col(at) - F.col(first)).drop(part, at, first, off)
+
+
+class Store:
+    """A small table of records by key (catalog entries, recovery points, deployments, fences, epochs).
+
+    Each write is a version of its own: readers take the newest complete one, so a
+    failed write leaves the last good version in place.
+    """
+
+    def __init__(self, spark: SparkSession, uri: str, schema: str, key: str):
+        self.spark, self.uri, self.schema, self.key = spark, uri.rstrip("/"), schema, key
+
+    def versions(self) -> list[int]:
+        names = [n for n in children(self.spark, self.uri) if n.startswith("version=")]
+        return [int(n.split("=")[1]) for n in names if exists(self.spark, f"{self.uri}/{n}/_SUCCESS")]
+
+    def load(self) -> DataFrame:
+        """All records; none if nothing was written yet."""
+        found = self.versions()
+        return self.spark.read.schema(self.schema).parquet(f"{self.uri}/version={found[-1]:09d}") if found else self.spark.createDataFrame([], self.schema)
+
+    def get(self, *keys) -> DataFrame:
+        """The records with these keys."""
+        return self.load().where(F.col(self.key).isin(*keys))
+
+    def _write(self, rows: DataFrame) -> DataFrame:
+        found = self.versions()
+        rows.write.mode("overwrite").parquet(f"{self.uri}/version={(found[-1] if found else 0) + 1:09d}")
+        return self.load()
+
+    def put(self, rows: DataFrame) -> DataFrame:
+        """Inserts or replaces records and reads them back; ValueError if what is stored differs or a key repeats in ``rows``."""
+        rows = materialise(rows.select(*self.load().columns), "store-put")
+        if not rows.groupBy(self.key).count().where("count > 1").isEmpty():
+            raise ValueError(f"a {self.key} is put twice")
+        stored = self._write(self.load().join(rows.select(self.key), self.key, "left_anti").select(*rows.columns).unionByName(rows))
+        if not rows.exceptAll(stored.join(rows.select(self.key), self.key, "left_semi").select(*rows.columns)).isEmpty():
+            raise ValueError("the store does not hold what was put")
+        discard(rows)
+        return stored
+
+    def delete(self, key) -> DataFrame:
+        """Without this record; KeyError if it is absent."""
+        if self.get(key).isEmpty():
+            raise KeyError(f"{self.key} {key} is not in the store")
+        return self._write(self.load().where(F.col(self.key) != key))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +161,27 @@ def generate(spark: SparkSession, profile: str, seed: int = 1) -> DataFrame:
     )
 
 
+# Small fixture trees (name pattern, files, bytes each; null bytes: JSON values).
+FIXTURES = {
+    "database": (("db-%02d.bin", 3, 262144),),
+    "media": (("media/clip-%02d.bin", 8, 131072),),
+    "append-log": (("logs/app-%02d.log", 3, 98304),),
+    "key-value": (("kv/key-%02d.json", 40, None),),
+    "generic": (("note-%02d.txt", 1, 512), ("data/blob-%02d.bin", 1, 16384)),
+}
+
+
+def fixture(spark: SparkSession, kind: str) -> DataFrame:
+    """Objects of a fixture: path, mode, content.  The files of ``append-log`` are alike, so they deduplicate."""
+    out = None
+    for pattern, files, size in FIXTURES[kind]:
+        number = F.lit(171).cast("int") if kind == "append-log" else F.col("id").cast("int")
+        fill = F.unhex(F.repeat(F.lpad(F.hex(number), 2, "0"), size)) if size else F.encode(F.format_string('{"id":%d,"value":"v%d"}', "id", "id"), "utf-8")
+        part = spark.range(files).select(F.format_string(pattern, "id").alias("path"), F.lit(0o644).alias("mode"), fill.alias("content"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def generate_log(spark: SparkSession, records: int, paths: int, seed: int = 1) -> DataFrame:
     """A deterministic change log over ``paths`` paths."""
     h = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 40))

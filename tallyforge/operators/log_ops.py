@@ -188,18 +188,71 @@ def _apply(records: pd.DataFrame) -> Iterator[tuple]:
         yield None, None, None, None, applied, error
 
 
+_WRITES = ("create", "write", "truncate")
+
+
+def _ancestors(path: str):
+    """The path and all folders above it."""
+    parts = F.split(F.col(path), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def _last_before(rows: DataFrame, marks: DataFrame, by: list[str], out: str) -> DataFrame:
+    """Adds ``out``: the largest seq of ``marks`` below the row's own, per group of ``by``."""
+    both = rows.withColumn("_mark", F.lit(False)).unionByName(marks.select(*by, "seq", F.lit(True).alias("_mark")), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn(out, F.max(F.when(F.col("_mark"), F.col("seq"))).over(w)).where("not _mark").drop("_mark")
+
+
+def _replay_in_place(log: DataFrame) -> DataFrame:
+    """Replay of resources without renames, by aggregates over paths: an object lives if its last write is later than the last delete of it or a folder above it.
+
+    A resource stops at its first error: an unknown kind, a range write, or a mode
+    for an object that does not live then.
+    """
+    log = log.select("resource", "seq", "kind", "path", "offset", "mode", "size", "content_hash")
+    writes, deletes, modes = log.where(F.col("kind").isin(*_WRITES)), log.where("kind = 'delete'"), log.where("kind = 'chmod'")
+    asked = _last_before(modes.select("resource", "path", "seq"), writes, ["resource", "path"], "_written")
+    above = asked.select("resource", "seq", "_written", F.col("path").alias("_path"), F.explode(_ancestors("path")).alias("path"))
+    above = _last_before(above, deletes, ["resource", "path"], "_deleted")
+    absent = above.groupBy("resource", "seq", "_path", "_written").agg(F.max("_deleted").alias("_deleted"))
+    absent = absent.where(F.col("_written").isNull() | (F.col("_deleted") > F.col("_written"))).select("resource", "seq", F.concat(F.lit("no such path "), "_path").alias("error"))
+    wrong = F.when(~F.col("kind").isin(*KINDS), F.concat(F.lit("unknown kind "), "kind")).when(F.col("kind").isin(*_WRITES) & (F.col("offset") != 0), "range writes are not supported")
+    faults = absent.unionByName(log.select("resource", "seq", wrong.alias("error")).where("error is not null"))
+    ends = log.groupBy("resource").agg(F.count("*").alias("_all")).join(faults.groupBy("resource").agg(F.min(F.struct("seq", "error")).alias("_end")), "resource", "left")
+    ends = ends.select("resource", F.col("_end.seq").alias("_stop"), F.col("_end.error").alias("error"))
+
+    valid = log.join(ends.select("resource", "_stop"), "resource").where(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop"))).drop("_stop")
+    applied = valid.groupBy("resource").agg(F.count("*").alias("applied"))
+    key = ["resource", "path"]
+    put = valid.where(F.col("kind").isin(*_WRITES)).groupBy(*key).agg(F.max(F.struct("seq", "mode", "content_hash", "size")).alias("_w"))
+    gone = valid.where("kind = 'delete'").groupBy("resource", F.col("path").alias("_above")).agg(F.max("seq").alias("_gone"))
+    under = put.select(*key, F.explode(_ancestors("path")).alias("_above")).join(gone, ["resource", "_above"]).groupBy(*key).agg(F.max("_gone").alias("_gone"))
+    mode = valid.where("kind = 'chmod'").groupBy(*key).agg(F.max(F.struct("seq", "mode")).alias("_m"))
+    alive = put.join(under, key, "left").where(F.col("_gone").isNull() | (F.col("_w.seq") > F.col("_gone"))).join(mode, key, "left")
+    written = F.when(F.col("_w.mode") == 0, 0o644).otherwise(F.col("_w.mode"))
+    alive = alive.select(*key, F.when(F.col("_m.seq") > F.col("_w.seq"), F.col("_m.mode")).otherwise(written).cast("int").alias("mode"), F.col("_w.content_hash").alias("content_hash"), F.col("_w.size").cast("long").alias("size"))
+    out = ends.drop("_stop").join(applied, "resource", "left").join(alive, "resource", "left")
+    return out.select("resource", "path", "mode", "content_hash", "size", F.coalesce("applied", F.lit(0)).cast("long").alias("applied"), "error")
+
+
 def replay(log: DataFrame) -> DataFrame:
-    """Ordered replay with renames and subtree deletes; one total order per resource, whose log must fit a task.
+    """Ordered replay with renames and subtree deletes; seq orders the records of a resource and does not repeat in it.
 
     Writes are whole objects.  A resource stops at its first error, keeping earlier
     effects; a resource with no objects left gives one row with a null path.
+    Resources without renames are replayed by aggregates over paths, whatever the
+    size of their logs; renames make later paths depend on earlier ones, so such a
+    resource is folded in order, and its log must fit a task.
     """
 
     def run(key, records):
         rows = [(key[0], *r) for r in _apply(records)]
         return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in STATE.split(", ")]).astype({"mode": "Int32", "size": "Int64"})
 
-    return log.groupBy("resource").applyInPandas(run, STATE)
+    renamed = log.where("kind = 'rename'").select("resource").distinct()
+    folded = log.join(renamed, "resource", "left_semi").groupBy("resource").applyInPandas(run, STATE)
+    return _replay_in_place(log.join(renamed, "resource", "left_anti")).unionByName(folded)
 
 
 def delta(log: DataFrame, cursor: int, barrier: int | None = None) -> DataFrame:

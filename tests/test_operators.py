@@ -125,40 +125,48 @@ def test_epochs_equal_a_fold(spark):
     assert {(r.d, r.at): (r.assigned, r.refused) for r in log_ops.epochs(df, "d", "at", "what", "e").collect()} == want
 
 
-def test_replay_of_random_logs_equals_a_flat_map(spark):
+@pytest.mark.parametrize("renames", [True, False])
+def test_replay_of_random_logs_equals_a_flat_map(spark, renames):
     rng = random.Random(11)
     names = [f"{a}/{b}" for a in "abc" for b in "xyz"] + ["a", "b", "c", "a/x/1", "a/x/2"]
     leaves = [n for n in names if not any(m.startswith(n + "/") for m in names)]
     rows, want = [], {}
     for run in range(40):
-        state, stopped = {}, False
+        state, applied, stopped = {}, 0, False
         for seq in range(25):
-            kind = rng.choice(["write", "write", "write", "delete", "rename", "chmod"])
+            kind = rng.choice(["write", "write", "write", "write", "delete", "chmod", *["rename"] * renames, *["frobnicate"] * (seq > 15)])
             path, dest = rng.choice(leaves if kind in ("write", "chmod") else names), rng.choice(["n/1", "m", "c/y"])
-            rows.append((seq, f"r{run}", kind, path, dest, 0, f"h{seq}"))
-            if stopped or dest == path:
+            if dest == path or kind == "chmod" and path not in state and rng.random() < 0.9:
+                continue
+            rows.append((seq, f"r{run}", kind, path, dest, seq if kind == "chmod" else 0, f"h{seq}"))
+            if stopped:
                 continue
             below = [p for p in state if p == path or p.startswith(path + "/")]
             if kind == "write":
-                state[path] = f"h{seq}"
+                state[path] = f"h{seq}", 0o644
+            elif kind == "frobnicate":
+                stopped = True
             elif kind == "delete":
                 for p in below:
                     del state[p]
             elif kind == "chmod":
                 stopped = path not in state
+                if not stopped:
+                    state[path] = state[path][0], seq
             elif not below:
                 stopped = True
             else:
                 for p in below:
                     state[dest + p[len(path) :]] = state.pop(p)
-        want[f"r{run}"] = state
-    rows = [r for r in rows if r[3] != r[4]]
+            applied += not stopped
+        want[f"r{run}"] = state, applied, stopped
     got = {}
     for r in log_ops.replay(mutations(spark, rows)).collect():
-        got.setdefault(r.resource, {})
+        held = got.setdefault(r.resource, ({}, r.applied, r.error is not None))
         if r.path is not None:
-            got[r.resource][r.path] = r.content_hash
+            held[0][r.path] = r.content_hash, r.mode
     assert got == want
+    assert 5 < sum(stopped for _, _, stopped in want.values()) < 40
 
 
 def test_log_sink_appends_once(spark, tmp_path):

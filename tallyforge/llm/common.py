@@ -6,13 +6,9 @@ Storage rules: whatever must outlive a stage is written below the folder that
 
 from __future__ import annotations
 
-import atexit
 import itertools
 import os
 import re
-import shutil
-import tempfile
-import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,54 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a task: Spark deals out the cores
-
+from ..sources.tables import discard, hadoop, materialise, shared_dir
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI below ``spark.checkpoint.dir``, removed when the session's JVM ends.
+__all__ = ["discard", "materialise", "shared_dir"]
 
-    Where the session names none, a local session gets a folder of its own; on a
-    cluster this is an error, as executors would write where the driver cannot read.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="tallyforge-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(own)
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
-    fs, at = _hadoop(spark, path)
-    fs.deleteOnExit(at)
-    return path
-
-
-def _hadoop(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes tables that ``materialise`` wrote and that nothing reads any more."""
-    for t in tables:
-        fs, at = _hadoop(t.sparkSession, t._written)
-        fs.delete(at, True)
-        fs.cancelDeleteOnExit(at)
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a task: Spark deals out the cores
 
 
 def written_bytes(table: DataFrame) -> int:
     """Bytes of a table that ``materialise`` wrote."""
-    fs, at = _hadoop(table.sparkSession, table._written)
+    fs, at = hadoop(table.sparkSession, table._written)
     return fs.getContentSummary(at).getLength()
 
 

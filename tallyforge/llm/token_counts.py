@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
 from . import common
 
 CACHE = "version string, digest string, n_tokens long"
@@ -69,12 +70,8 @@ class DigestCache:
     def __init__(self, spark: SparkSession, uri: str | None = None):
         self.spark, self.uri = spark, (uri or common.shared_dir(spark, "token-counts")).rstrip("/")
 
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.uri)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     def read(self, version: str) -> DataFrame:
-        rows = self.spark.read.schema(CACHE).parquet(self.uri) if self._exists() else self.spark.createDataFrame([], CACHE)
+        rows = self.spark.read.schema(CACHE).parquet(self.uri) if tables.exists(self.spark, self.uri) else self.spark.createDataFrame([], CACHE)
         return rows.where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def append(self, rows: DataFrame) -> None:

@@ -77,6 +77,27 @@ def test_documents_against_all_pairs(spark):
     assert check(spark, rows) >= 5
 
 
+def test_groups_whose_copies_are_near_the_base_only(spark, monkeypatch):
+    """Large groups: a base, copies near it and mostly not near each other, and copies near other copies only."""
+    monkeypatch.setattr(near_copies, "LONG", 12)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+
+    def edited(base, n):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), n):
+            copy[at] = rng.choice(words)
+        return copy
+
+    texts = []
+    for length in (120, 300):
+        base = rng.choices(words, k=length)
+        near = [edited(base, length // 50) for _ in range(80)]
+        texts += [base, *near, *(edited(x, length // 45) for x in near[:40])]
+    rng.shuffle(texts)
+    assert check(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]) > 200
+
+
 def test_a_passage_that_many_documents_share(spark):
     """Documents that differ but for one passage, which fills most of some of them, and near copies among those."""
     rng = random.Random(5)

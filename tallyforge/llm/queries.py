@@ -75,5 +75,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of those queries that SQL can express: all pairs within a label, and n-gram profiles by rank.
+ORACLE_SQL: dict[str, str] = {
+    "op4_pivot_index": """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+walk(vec_id, reach) AS (SELECT vec_id, vec_id FROM e UNION SELECT walk.vec_id, link.b FROM walk JOIN link ON walk.reach = link.a)
+SELECT w.vec_id, coalesce(n, 0) AS n_links, component_id, w.vec_id = component_id AS kept
+FROM (SELECT vec_id, min(reach) AS component_id FROM walk GROUP BY vec_id) w LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON w.vec_id = l.a""",
+    "op9_language_id": r"""WITH d AS (SELECT doc_id, lang, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(CAST(doc_id AS VARCHAR)[i])::BIGINT) AS id_bytes,
+  coalesce('_' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}]+'), lambda w: w <> ''), '_') || '_', '__') AS s FROM documents),
+c AS (SELECT doc_id, lang, s, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, id_bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+  lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 3 = 1 AS held_out FROM d),
+o AS (SELECT doc_id, lang, held_out, string_split(s, '') AS ch FROM c WHERE s <> '__'),
+p AS (SELECT doc_id, lang, held_out, unnest(ch) AS one, unnest(ch[2:]) AS two, unnest(ch[3:]) AS three FROM o),
+q AS (SELECT *, CASE one WHEN '_' THEN 1 ELSE unicode(one) END::BIGINT AS x, CASE two WHEN '_' THEN 1 ELSE unicode(two) END::BIGINT AS y, CASE three WHEN '_' THEN 1 ELSE unicode(three) END::BIGINT AS z FROM p),
+g AS (SELECT doc_id, lang, held_out, x AS gram FROM q WHERE one <> '_' UNION ALL SELECT doc_id, lang, held_out, x * 2097152 + y FROM q WHERE two IS NOT NULL
+  UNION ALL SELECT doc_id, lang, held_out, (x * 2097152 + y) * 2097152 + z FROM q WHERE two <> '_' AND three IS NOT NULL),
+profile AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS place FROM (SELECT lang, gram, count(*) AS n FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL) QUALIFY place < 300),
+own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS place FROM (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL) QUALIFY place < 300),
+size AS (SELECT doc_id, count(*) AS n FROM own GROUP BY doc_id),
+near AS (SELECT own.doc_id, lang, sum(300 - abs(own.place - profile.place)) AS saved FROM own JOIN profile ON own.gram = profile.gram GROUP BY ALL),
+every AS (SELECT size.doc_id, l.lang, CAST(300 * n - coalesce(saved, 0) AS BIGINT) AS distance, n FROM size CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN near ON near.doc_id = size.doc_id AND near.lang = l.lang),
+best AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1)
+SELECT c.doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1.0::DOUBLE - distance::DOUBLE / (300 * n)::DOUBLE, 0.0::DOUBLE) AS score FROM c LEFT JOIN best ON best.doc_id = c.doc_id""",
+}

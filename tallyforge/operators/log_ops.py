@@ -56,6 +56,12 @@ def append(log: DataFrame, incoming: DataFrame, fence: int = 0) -> DataFrame:
     return rows.crossJoin(F.broadcast(start)).withColumn("seq", F.col("next_seq") + F.col("_rank")).drop("next_seq", "arrival", "_rank")  # start: one row
 
 
+def with_op_ids(incoming: DataFrame, deployment: str) -> DataFrame:
+    """Records of an application, each with an op id: its own, or the deployment's name and its arrival number."""
+    made = F.concat(F.lit(f"{deployment}-"), F.col("arrival").cast("string"))
+    return incoming.withColumn("client_op_id", F.when(F.coalesce("client_op_id", F.lit("")) == "", made).otherwise(F.col("client_op_id")))
+
+
 class LogSink:
     """A change log in a folder, one subfolder a batch; a repeated batch replaces itself, so appends happen once."""
 

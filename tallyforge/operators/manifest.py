@@ -27,9 +27,13 @@ def diff(active: DataFrame, candidate: DataFrame) -> DataFrame:
     return a.join(c, "path", "full_outer").select("path", status.alias("status"), "active_hash", "candidate_hash")
 
 
-def equal(active: DataFrame, candidate: DataFrame) -> DataFrame:
-    """One row: whether roots, counts and bytes are equal."""
-    one = lambda m, n: digests.root_digest(m).crossJoin(totals(m)).select(*[F.col(c).alias(f"{n}_{c}") for c in ("root", "files", "bytes")])  # noqa: E731  one row each
+def equal(active: DataFrame, candidate: DataFrame, tree: bool = False) -> DataFrame:
+    """One row: whether roots (flat, or with ``tree`` of the pairwise tree), counts and bytes are equal."""
+
+    def one(m: DataFrame, n: str) -> DataFrame:
+        row = totals(m).withColumn("root", F.lit(digests.merkle_root(m))) if tree else digests.root_digest(m).crossJoin(totals(m))  # one row each
+        return row.select(*[F.col(c).alias(f"{n}_{c}") for c in ("root", "files", "bytes")])
+
     both = one(active, "active").crossJoin(one(candidate, "candidate"))
     return both.withColumn("equal", (F.col("active_root") == F.col("candidate_root")) & (F.col("active_files") == F.col("candidate_files")) & (F.col("active_bytes") == F.col("candidate_bytes")))
 

@@ -770,3 +770,47 @@ def evidence_seals(spark, sf_dir):
     """Sealed rows of which every fourth was changed afterwards."""
     o = digests.seal(tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
     return digests.sealed_ok(o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 4 == 0, "?").otherwise(F.col("o_orderstatus")))).select("o_orderkey", "evidence_hash", "seal_ok")
+
+
+@query(f"WITH {_OBJECTS}, {_BLOCKS}, b AS (SELECT sha256(data) AS h, octet_length(data) AS n FROM blocks), l AS (SELECT CAST(sum(octet_length(encode(props)) + 1) AS BIGINT) AS n, count(*) AS lines FROM events), u AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM (SELECT DISTINCT h, n FROM b))\n"
+       "SELECT (SELECT CAST(sum(n) AS BIGINT) FROM b) AS logical_bytes, u.n + l.n AS physical_bytes, greatest(0, (SELECT CAST(sum(n) AS BIGINT) FROM b) - u.n - l.n) AS saved_bytes, lines FROM u, l")
+def archive_with_log(spark, sf_dir):
+    """An archive that carries a copy of the log."""
+    lines = tables.table(spark, sf_dir, "events").select(F.col("props").alias("value"))
+    a = objects.export(_docs(spark, sf_dir), tables.shared_dir(spark, "archive"), "a-1", 1, SMALL_BLOCK, lines)
+    return a["summary"].select("logical_bytes", "physical_bytes", "saved_bytes").crossJoin(a["log"].agg(F.count("*").alias("lines")))  # one row each
+
+
+@query(f"""{_BOTH}, x AS (SELECT count(*) FILTER (status <> 'same') = 0 AS same FROM d) SELECT level, app_ok, CASE WHEN level = 'STRUCTURAL' THEN 'PARTIAL' WHEN app_ok IS NULL THEN 'UNKNOWN' WHEN NOT app_ok THEN 'FAILED' WHEN same THEN 'VERIFIED' ELSE 'PARTIAL' END AS outcome
+FROM x, (VALUES ('STRUCTURAL', NULL), ('APPLICATION', true), ('APPLICATION', false), ('APPLICATION', NULL)) v(level, app_ok)""")
+def verify_application(spark, sf_dir):
+    """With an application's own check: passed, failed, or not given."""
+    objs = _docs(spark, sf_dir)
+    a, c = mf.manifest(objs), mf.manifest(_edited(objs))
+    out = None
+    for level, ok in (("STRUCTURAL", None), ("APPLICATION", True), ("APPLICATION", False), ("APPLICATION", None)):
+        app = F.lit(ok).cast("boolean")
+        row = mf.verify(a, c, level, app).select(F.lit(level).alias("level"), app.alias("app_ok"), "outcome")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"""WITH RECURSIVE {_OBJECTS}, l AS (SELECT 0 AS level, list(sha256(path || ':' || sha256(text)) ORDER BY path) AS h FROM objects
+UNION ALL SELECT level + 1, list_transform(range(1, len(h) + 1, 2), lambda i: CASE WHEN i < len(h) THEN sha256(unhex(h[i]) || unhex(h[i + 1])) ELSE h[i] END) FROM l WHERE len(h) > 1)
+SELECT h[1] AS root, (SELECT count(*) FROM objects) AS files, true AS equal FROM l WHERE len(h) = 1""")
+def manifest_equal_by_tree(spark, sf_dir):
+    m = mf.manifest(_docs(spark, sf_dir))
+    return mf.equal(m, m, tree=True).select(F.col("candidate_root").alias("root"), F.col("active_files").alias("files"), "equal")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'd7-' || event_id ELSE props END AS client_op_id FROM events")
+def app_records(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    own = F.when(F.col("event_type") == "view", F.when(F.col("event_id") % 2 == 0, "")).otherwise(F.col("props"))
+    return log_ops.with_op_ids(e.select(F.col("event_id").alias("arrival"), own.alias("client_op_id")), "d7").withColumnRenamed("arrival", "event_id")
+
+
+@query("""SELECT 'kv/key-' || lpad(i::VARCHAR, 2, '0') || '.json' AS path, CAST(octet_length(encode(t)) AS BIGINT) AS size, sha256(t) AS hash FROM (SELECT i, '{"id":' || i || ',"value":"v' || i || '"}' AS t FROM range(40) r(i))
+UNION ALL SELECT 'note-00.txt', 512, sha256(repeat(chr(0), 512)) UNION ALL SELECT 'data/blob-00.bin', 16384, sha256(repeat(chr(0), 16384))""")
+def fixture_trees(spark, sf_dir):
+    return mf.manifest(tables.fixture(spark, "key-value").unionByName(tables.fixture(spark, "generic"))).select("path", "size", "hash")

@@ -50,8 +50,11 @@ def object_index(objects: DataFrame, block_rows: DataFrame) -> DataFrame:
     ).withColumn("content_hash", F.sha2(F.encode(F.array_join("chunk_ids", ""), "utf-8"), 256))
 
 
-def export(objects: DataFrame, uri: str, archive_id: str, epoch: int, size: int = BLOCK) -> dict[str, DataFrame]:
-    """Writes tables ``chunks`` (each distinct block once), ``objects`` and ``summary`` below ``uri``."""
+def export(objects: DataFrame, uri: str, archive_id: str, epoch: int, size: int = BLOCK, log_lines: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Writes tables ``chunks`` (each distinct block once), ``objects`` and ``summary`` below ``uri``, and a copy of the log (``log_lines``: value) if one is given.
+
+    The summary counts logical bytes, physical bytes (chunks and log copy), saved bytes, blocks and chunks.
+    """
     from ..functions import digests
     from ..operators import dedup
 
@@ -60,8 +63,12 @@ def export(objects: DataFrame, uri: str, archive_id: str, epoch: int, size: int
     dedup.first_chunks(cut).write.parquet(f"{uri}/chunks")
     cut = cut.drop("data")
     object_index(objects, cut).write.parquet(f"{uri}/objects")
+    log_bytes = 0
+    if log_lines is not None:
+        log_lines.select("value").write.text(f"{uri}/log")
+        log_bytes = spark.read.text(f"{uri}/log").agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()[0]
     index = spark.read.parquet(f"{uri}/objects")
-    stats = dedup.stats(cut)
+    stats = dedup.stats(cut, log_bytes)
     digests.archive_root(index).crossJoin(stats).select(F.lit(archive_id).alias("archive_id"), F.lit(FORMAT_VERSION).alias("format_version"), F.lit(epoch).cast("long").alias("epoch"), "*").write.parquet(f"{uri}/summary")  # one row each
     return inspect(spark, uri)
 
@@ -71,7 +78,8 @@ def inspect(spark: SparkSession, uri: str) -> dict[str, DataFrame]:
     summary = spark.read.parquet(f"{uri}/summary")
     if (found := summary.first()["format_version"]) > FORMAT_VERSION:
         raise ValueError(f"archive format {found} is newer than {FORMAT_VERSION}")
-    return {"summary": summary, "objects": spark.read.parquet(f"{uri}/objects"), "chunks": spark.read.parquet(f"{uri}/chunks")}
+    held = {"summary": summary, "objects": spark.read.parquet(f"{uri}/objects"), "chunks": spark.read.parquet(f"{uri}/chunks")}
+    return held | ({"log": spark.read.text(f"{uri}/log")} if tables.exists(spark, f"{uri}/log") else {})
 
 
 def _wanted(archive: dict[str, DataFrame]) -> DataFrame:

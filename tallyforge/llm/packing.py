@@ -100,16 +100,17 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
     return rows.mapInArrow(encode, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset``.  ``pieces`` must be a written table with doc_id, piece, length, ids_crc32.
+def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset``.  ``pieces`` must be a written table with ``length`` and the columns of ``order``.
 
     Every piece gets one slot; pieces with equal (doc_id, piece) get slots of their own; an empty
-    table gives no rows; null doc_id is a value like others.
+    table gives no rows; null doc_id is a value like others.  Pieces that are alike in all of
+    ``order`` are ranked in one task, so it should tell apart rows that repeat very often.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     segments, _ = plan(histogram, capacity)
     table = pieces.sparkSession.createDataFrame(segments, "_length long, _rank long, _n long, _each long, _sequence long, _at long")
-    ranked = common.rank_within(pieces, "length", ["doc_id", "piece", "ids_crc32"], "_slot")
+    ranked = common.rank_within(pieces, "length", list(order), "_slot")
     index = F.col("_slot") - F.col("_rank")
     fits = (F.col("length") == F.col("_length")) & (F.col("_slot") >= F.col("_rank")) & (F.col("_slot") < F.col("_rank") + F.col("_n"))
     return ranked.join(F.broadcast(table), fits).select(
@@ -120,6 +121,6 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole path: null text is empty (its only token is the end id), long documents are cut, extra columns are not read."""
-    pieces = common.materialise(encode_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "pieces")
-    return pack(pieces, capacity)
+    """Whole path: null text is empty (its only token is the end id), long documents are cut, equal rows are packed each, extra columns are not read."""
+    pieces = encode_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    return pack(common.materialise(pieces, "pieces"), capacity, ("doc_id", "piece", "row")).drop("row")

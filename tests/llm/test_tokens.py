@@ -189,6 +189,21 @@ def test_packing(request, docs):
         assert at <= 256
 
 
+def test_packing_of_rows_that_repeat(spark):
+    df = spark.createDataFrame([(7, "one row many times")] * 3000 + [(None, "no id")] * 500, "doc_id long, text string").repartition(5)
+    got = packing.pack_documents(df, queries.WORD_BPE, capacity=64).collect()
+    assert len(got) == 3500
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
 def test_plan_is_best_fit_decreasing():
     def plain(lengths, capacity):
         room = []

@@ -546,7 +546,8 @@ def log_replay(spark, sf_dir):
         .unionByName(records(one, 9999, "8", "chmod", "none", "", 384, 0, 0, ""))
         .unionByName(records(one, 2 * 10**9, "9", "write", "x", "", 0, 7, 0, ""))
     )
-    return log_ops.replay(out).where("path is not null").select("resource", "path", "mode", "content_hash", "size", "applied", "error")
+    written = tables.materialise(out, "replay-log")
+    return log_ops.replay(written).where("path is not null").select("resource", "path", "mode", "content_hash", "size", "applied", "error")
 
 
 @query("""WITH e AS (SELECT event_id, user_id || '/' || event_type || '/' || props AS op, CAST(floor(value) AS BIGINT) AS token FROM events),

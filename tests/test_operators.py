@@ -435,6 +435,15 @@ def test_entry_works_without_the_training_data_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
 
 
+def test_entry_works_without_what_those_operators_need(tmp_path):
+    for name in ("zstandard", "tokenizers", "public_tokenizers"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.py").write_text("raise ImportError('hidden')")
+        code = "import __spark_entry__ as e; q = e.queries(); assert 'lww_state' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+        root = Path(__file__).resolve().parent.parent
+        subprocess.run([sys.executable, "-c", code], cwd=root, check=True, env=os.environ | {"PYTHONPATH": f"{tmp_path / name}:{root}"})
+
+
 def test_engine(spark, tmp_path):
     from tallyforge.engine import Engine
 

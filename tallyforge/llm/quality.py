@@ -26,6 +26,8 @@ BAD, NONE, GOOD = 0, 1, 2
 #: Expected size of the sample that the scorer is fitted on; the label model uses all documents.
 SAMPLE = 2000
 BINS = 1 << 12
+#: 3-grams that the scorer has learned from are told by hashes of so many bits.
+KNOWN = 20
 STEPS = 400
 #: Documents below this score are dropped; short clean texts say little, so the bar is below one half.
 KEEP_FROM = 0.2
@@ -43,9 +45,9 @@ def _kinds() -> np.ndarray:
     return kind
 
 
-_KIND = _kinds()
-# First bytes of scripts that set no blanks between words: Thai, Lao and Tibetan to Khmer among E0 and E1, and kana, Han and Hangul.
-_UNSPACED = re.compile(rb"\xe0[\xb8-\xbf]|\xe1[\x80-\x82\x9e\x9f]|[\xe3-\xed]")
+_OF_KIND = (_kinds()[:, None] == np.arange(6)).astype(np.int64)
+# Beginnings of characters of scripts that set no blanks between words: Thai, Lao, Tibetan, Burmese and Khmer here; kana, Han and Hangul begin with E3 to ED.
+_UNSPACED = re.compile(rb"\xe0[\xb8-\xbf]|\xe1[\x80-\x82\x9e\x9f]")
 #: Characters of those scripts that count as a word.
 UNSPACED_WORD = 4
 
@@ -70,8 +72,9 @@ class Page(NamedTuple):
         n = max(1, len(words) - 1)
         same = list(map(bytes.__eq__, words, words[1:]))
         same_words, in_runs = sum(same) / n, sum(map(and_, same, same[1:])) / n
-        kinds = np.bincount(_KIND[np.frombuffer(text, np.uint8)], minlength=6)
-        unspaced = 0 if text.isascii() else sum(1 for _ in _UNSPACED.finditer(text))
+        n_bytes = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+        kinds = n_bytes @ _OF_KIND
+        unspaced = int(n_bytes[0xE3:0xEE].sum()) + (len(_UNSPACED.findall(text)) if n_bytes[0xE0] or n_bytes[0xE1] else 0)
         return cls(kinds, words, text.split(b"\n"), same_words, in_runs, kinds[1:].sum() / max(1, len(words) + unspaced / UNSPACED_WORD))
 
 
@@ -158,13 +161,17 @@ def trigrams(text: bytes) -> np.ndarray:
     return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
 
 
+def mixed(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Multiplicative hashes of so many bits."""
+    return (grams * np.uint32(2654435761)) >> np.uint32(32 - bits)
+
+
 def hashed(text: bytes, page: Page | None = None, grams: np.ndarray | None = None) -> np.ndarray:
     """Square-rooted shares over ``BINS`` hashed features: byte 3-grams, and words and lines that repeat."""
     grams = trigrams(text) if grams is None else grams
     if not len(grams):
         return np.zeros(BINS, np.float32)
-    bins = (grams * np.uint32(2654435761)) >> np.uint32(20)
-    share = np.bincount(bins, minlength=BINS) / len(grams)
+    share = np.bincount(mixed(grams, 12), minlength=BINS) / len(grams)
     page = page or Page.of(text)
     share[_SAME_WORD] += page.same_words
     share[_SAME_LINE] += 1 - len(set(page.lines)) / len(page.lines)
@@ -208,7 +215,7 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, steps:
 
 
 class QualityModel(NamedTuple):
-    """``known``: a bit for each 3-gram that the scorer has learned from."""
+    """``known``: a bit for each of 2 ** ``KNOWN`` hashes of the 3-grams that the scorer has learned from."""
 
     labels: LabelModel
     scorer: Scorer
@@ -247,9 +254,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             yield pa.RecordBatch.from_arrays([pa.array([pattern(x) for x in texts], pa.int64()), pa.array([hashed(x).tobytes() for x in texts], pa.binary()), pa.array(grams, pa.binary()), b.column(1), b.column(2)], names=["code", "x", "grams", "n", "h"])
 
     rows = sorted(chosen.select("t", "n", "h").mapInArrow(describe, "code long, x binary, grams binary, n long, h long").collect(), key=lambda r: r["h"])  # at most 2 * sample rows
-    known = np.zeros(1 << 24, bool)
+    known = np.zeros(1 << KNOWN, bool)
     for r in rows:
-        known[np.frombuffer(r["grams"], np.uint32)] = True
+        known[mixed(np.frombuffer(r["grams"], np.uint32), KNOWN)] = True
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.empty((0, BINS), np.float32)
     return QualityModel(labels, fit_scorer(x, labels.posterior([r["code"] for r in rows]) if rows else np.empty(0), np.array([r["n"] for r in rows], dtype=np.float64)), np.packbits(known).tobytes())
 
@@ -267,7 +274,7 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
     fields, n, at = docs.select(*out).schema.fields, len(out), rows.columns.index(text_col)
 
     def score(batches):
-        known = np.unpackbits(np.frombuffer(model.known, np.uint8))
+        known = np.unpackbits(np.frombuffer(model.known, np.uint8)).view(bool)
         for b in common.rows_of(batches):
             texts = common.texts_as_bytes(b.column(at))
             pages = [Page.of(x) for x in texts]
@@ -275,7 +282,7 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
             scores = np.empty(len(texts))
             for k, (text, page) in enumerate(zip(texts, pages, strict=True)):
                 grams = trigrams(text)
-                share = float(known[grams].mean()) if len(grams) else 1.0
+                share = np.count_nonzero(known[mixed(grams, KNOWN)]) / len(grams) if len(grams) else 1.0
                 scores[k] = share * model.scorer(hashed(text, page, grams)) + (1 - share) * posterior[k]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(posterior), pa.array(scores), pa.array(scores >= threshold)], names=[*b.schema.names[:n], *names])
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, gif, language, packing, pivots, quality, sharding, simhash, token_counts, token_files
+from . import bpe, common, gif, language, packing, pivots, quality, resampling, runs, sharding, simhash, token_counts, token_files, vantage
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,15 +69,49 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir))
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth document by crc32 of its id becomes periodic from a word of its own on; a null id leaves the text as it is."""
+
+    def plant(batches):
+        for b in common.rows_of(batches):
+            texts = common.texts_as_bytes(b.column(1))
+            for k, doc_id in enumerate(b.column(0).to_pylist()):
+                h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+                words = texts[k].split() if h % 10 == 0 else []
+                if words:
+                    n, g = len(words), h // 10
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    texts[k] = b" ".join(words[:a] + [words[a + i % p] for i in range(n - a)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of("text").alias("text")).mapInArrow(plant, "doc_id long, text string")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(_planted(common.documents(spark, sf_dir))))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus drawn towards the benchmark texts."""
+    return resampling.resample(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_token_files, op3_gif, op4_pivot_index, op5_token_counts,
         op6_sharding, op7_best_fit_packing, op8_bpe, op9_language_id, op10_simhash,
+        op11_periodic_runs, op12_importance_resampling, op13_vantage_trees,
     )
 }
 
-#: DuckDB SQL of those queries that SQL can express: all pairs within a label, and n-gram profiles by rank.
+#: DuckDB SQL of those queries that SQL can express: all pairs within a label, n-gram profiles by rank, weights by hashed features, and all inner products (op13 is
+#: approximate: it finds them all on sf0.001 and sf0.01, elsewhere a few may be missing).
 ORACLE_SQL: dict[str, str] = {
     "op4_pivot_index": """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 u AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
@@ -99,4 +135,24 @@ near AS (SELECT own.doc_id, lang, sum(300 - abs(own.place - profile.place)) AS s
 every AS (SELECT size.doc_id, l.lang, CAST(300 * n - coalesce(saved, 0) AS BIGINT) AS distance, n FROM size CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN near ON near.doc_id = size.doc_id AND near.lang = l.lang),
 best AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1)
 SELECT c.doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1.0::DOUBLE - distance::DOUBLE / (300 * n)::DOUBLE, 0.0::DOUBLE) AS score FROM c LEFT JOIN best ON best.doc_id = c.doc_id""",
+    "op12_importance_resampling": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS k FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+fd AS (SELECT k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+fb AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM fd UNION SELECT f FROM fb)),
+y AS (SELECT f, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS bytes FROM h),
+c AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]))) % 10000 AS bucket FROM y, steps),
+s AS (SELECT bucket, count(*) AS s FROM fd JOIN c USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM fb JOIN c USING (f) GROUP BY bucket),
+z AS (SELECT (SELECT count(*) FROM fd) AS sz, (SELECT count(*) FROM fb) AS tz),
+g AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sz + 10000)::DOUBLE / ((s + 1)::DOUBLE * (tz + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t ON s.bucket = t.bucket, z),
+m AS (SELECT k, CAST(sum(gain) AS BIGINT) AS gains, count(*) AS n FROM fd JOIN c USING (f) JOIN g USING (bucket) GROUP BY k),
+w AS (SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(CAST((gains - ((gains % n) + n) % n) // n AS BIGINT), 0) AS weight FROM d LEFT JOIN m ON d.k = m.k),
+r AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || CAST(doc_id AS VARCHAR)), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w),
+o AS (SELECT *, row_number() OVER (ORDER BY words < 20, score DESC, doc_id) AS place, 25 * count(*) FILTER (words >= 20) OVER () // 100 AS drawn FROM r)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM o""",
+    "op13_vantage_trees": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_prepend(0::DOUBLE, list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), lambda a, b: a + b) AS score FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 20""",
 }

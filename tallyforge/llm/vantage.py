@@ -1,13 +1,12 @@
 """Approximate nearest neighbours by inner product, with one vantage-point tree a shard.
 
-Inner products become distances by one more coordinate: a vector x gets
-sqrt(M^2 - |x|^2) with M the largest norm, a query gets 0, and then
-|q - x|^2 = |q|^2 + M^2 - 2 q.x falls as the product grows.  So the triangle
-inequality holds: a part of the tree whose distances to a vantage point lie between
-lo and hi has no point nearer to a query at distance d than max(d - hi, lo - d).
-Parts are searched in the order of that bound, and skipped once the bound times
-``factor`` exceeds the query's k-th best distance: a factor of one gives the exact
-result, larger ones skip more and may miss some.
+Trees are built over angles, which obey the triangle inequality: a part of the tree
+whose angles to a vantage point lie between lo and hi has no vector nearer to a query
+at angle d than t = max(d - hi, lo - d).  With the norms of the part that bounds its
+inner products by |q| |x| cos(t), whatever the norms of other vectors.  Leaves are
+searched from the largest bound on, and a query is done once its bound is below its
+k-th best product.  Pruning takes ``factor`` times t: one gives the exact result,
+larger factors skip more and may miss some.
 
 Vectors are dealt to shards of bounded size by row number, whatever they hold, and
 each shard becomes one row of the index.  Queries go in blocks: a block meets the
@@ -60,10 +59,14 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(vectors: np.ndarray, ids: np.ndarray, largest: float, k: int, seed: int) -> dict[str, np.ndarray]:
-    """A shard's tree: distinct vectors in leaf order with their ``k`` + 1 smallest ids each, leaf bounds, vantage points, and each half's span of distances.
+def angles(x: np.ndarray, point: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ point, -1.0, 1.0))
 
-    Nodes split at the median distance, so the tree is balanced whatever repeats.
+
+def build(vectors: np.ndarray, ids: np.ndarray, k: int, seed: int) -> dict[str, np.ndarray]:
+    """A shard's tree: distinct vectors in leaf order with their ``k`` + 1 smallest ids each, leaf bounds and norms, vantage points, and each half's span of angles.
+
+    Nodes split at the median angle, so the tree is balanced whatever repeats.
     """
     order = np.lexsort((ids, *vectors.T[::-1]))
     vectors, ids = vectors[order], ids[order]
@@ -73,7 +76,8 @@ def build(vectors: np.ndarray, ids: np.ndarray, largest: float, k: int, seed: in
     copies = np.diff(np.append(first, len(ids)))
     x = vectors[first]
     n = len(x)
-    lifted = np.hstack((x, np.sqrt(np.maximum(0.0, largest * largest - (x * x).sum(1)))[:, None]))
+    norms = np.sqrt((x * x).sum(1))
+    units = x / norms[:, None]
     depth = max(0, int(np.ceil(np.log2(max(1.0, n / LEAF)))))
     rng = np.random.default_rng(seed)
     place, bounds = np.arange(n), np.array([0, n])
@@ -82,38 +86,36 @@ def build(vectors: np.ndarray, ids: np.ndarray, largest: float, k: int, seed: in
         cuts = [0]
         for node in range(1 << level):
             own = place[bounds[node] : bounds[node + 1]]
-            tried = lifted[rng.choice(own, min(TRIED, len(own)), replace=False)]
-            judges = lifted[rng.choice(own, min(JUDGES, len(own)), replace=False)]
-            spread = np.sqrt(((tried[:, None] - judges[None]) ** 2).sum(2)).std(1)
-            point = tried[int(spread.argmax())]
-            d = np.sqrt(((lifted[own] - point) ** 2).sum(1))
+            tried = rng.choice(own, min(TRIED, len(own)), replace=False)
+            judges = rng.choice(own, min(JUDGES, len(own)), replace=False)
+            at = (1 << level) - 1 + node
+            vantage[at] = tried[int(angles(units[tried], units[judges].T).std(1).argmax())]
+            d = angles(units[own], units[vantage[at]])
             half = len(own) // 2
             split = np.argpartition(d, half - 1) if half else np.arange(len(own))
             place[bounds[node] : bounds[node + 1]], d = own[split], d[split]
-            at = (1 << level) - 1 + node
-            vantage[at] = own[np.flatnonzero((lifted[own] == point).all(1))[0]]
             spans[at] = [[d[:half].min(initial=np.inf), d[:half].max(initial=-np.inf)], [d[half:].min(initial=np.inf), d[half:].max(initial=-np.inf)]]
             cuts += [bounds[node] + half, bounds[node + 1]]
         bounds = np.array(cuts)
-    back = np.empty(n, np.int64)
-    back[place] = np.arange(n)
     kept = np.minimum(copies, k + 1)[place]
     flat = np.repeat(first[place], kept) + np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept)
-    return {"x": x[place], "bounds": bounds, "vantage": back[vantage] if n else vantage, "spans": spans, "ids": ids[flat], "n_ids": kept}
+    leaves = [norms[place[a:b]] for a, b in zip(bounds, bounds[1:])]
+    reach = np.array([[own.min(initial=np.inf), own.max(initial=0.0)] for own in leaves])
+    return {"x": x[place], "bounds": bounds, "norms": reach, "points": units[vantage], "spans": spans, "ids": ids[flat], "n_ids": kept}
 
 
-def leaf_bounds(tree: dict[str, np.ndarray], q: np.ndarray, largest: float) -> np.ndarray:
-    """[query, leaf]: no point of the leaf lies nearer, by the spans of all nodes above it."""
-    scale = (q * q).sum(1) + largest * largest
-    out = np.zeros((len(q), 1))
-    if len(tree["vantage"]):
-        d = np.sqrt(np.maximum(0.0, scale[:, None] - 2 * (q @ tree["x"][tree["vantage"]].T)))
-    for level in range(int(np.log2(len(tree["vantage"]) + 1))):
+def leaf_bounds(tree: dict[str, np.ndarray], q: np.ndarray, factor: float) -> np.ndarray:
+    """[query, leaf]: no vector of the leaf has a larger product with the query, by the spans of all nodes above it and its norms (if ``factor`` is one)."""
+    length = np.sqrt((q * q).sum(1))
+    away = np.zeros((len(q), 1))
+    d = angles(q / length[:, None], tree["points"].T)
+    for level in range(int(np.log2(len(tree["points"]) + 1))):
         nodes = slice((1 << level) - 1, (2 << level) - 1)
         span = tree["spans"][nodes].reshape(-1, 2)  # the halves of the nodes in order
         near = np.repeat(d[:, nodes], 2, axis=1)
-        out = np.maximum(np.repeat(out, 2, axis=1), np.maximum(near - span[:, 1], span[:, 0] - near))
-    return np.maximum(0.0, out - 1e-6 * np.sqrt(scale)[:, None])  # roots of small differences are not exact
+        away = np.maximum(np.repeat(away, 2, axis=1), np.maximum(near - span[:, 1], span[:, 0] - near))
+    cosine = np.cos(np.minimum(np.pi, factor * np.maximum(0.0, away - 1e-6)))  # angles near zero are not exact
+    return length[:, None] * np.where(cosine > 0, tree["norms"][:, 1], tree["norms"][:, 0]) * cosine
 
 
 class Best:
@@ -127,20 +129,19 @@ class Best:
         self.at = np.full((len(q), self.width), -1)
         self.compared = 0
 
-    def search(self, tree: dict[str, np.ndarray], largest: float, factor: float) -> None:
+    def search(self, tree: dict[str, np.ndarray], factor: float) -> None:
         q, x, bounds = self.q, tree["x"], tree["bounds"]
         if not len(x) or not len(q):
             return
         base = len(self.ids)
-        low = leaf_bounds(tree, q, largest)
-        order = np.argsort(low, axis=1)
-        scale = (q * q).sum(1) + largest * largest
+        high = leaf_bounds(tree, q, factor)
+        order = np.argsort(-high, axis=1)
         score, at = self.score.copy(), self.at.copy()
         left = np.arange(len(q))
-        for r in range(low.shape[1]):
+        for r in range(high.shape[1]):
             leaf = order[left, r]
-            worst = np.sqrt(np.maximum(0.0, scale[left] - 2 * score[left, self.k]))  # minus infinity: not yet full
-            go = factor * low[left, leaf] <= worst
+            worst = score[left, self.k]  # minus infinity: not yet full
+            go = high[left, leaf] >= worst - CLOSE * np.abs(np.maximum(worst, -1e300))
             left, leaf = left[go], leaf[go]
             if not len(left):
                 break
@@ -196,25 +197,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def build_index(vectors: DataFrame, k: int, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, dict[int, tuple[int, float]]]:
-    """The index as a written table (dim, shard, tree), the numbered usable rows as another, and by dimension the number of shards and the largest norm.
+def by_length(numbers: dict[int, int]) -> Column:
+    """The number of the row's length of vectors (column dim), as a column."""
+    return F.element_at(F.create_map(*[F.lit(x) for d, n in (numbers or {0: 1}).items() for x in (d, n)]), F.col("dim"))
+
+
+def build_index(vectors: DataFrame, k: int, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """The index as a written table (dim, shard, tree), the numbered usable rows as another, and the number of shards by length of vectors.
 
     Every usable row is in one tree.  Shards are dealt by row number, so no value and no repeated id fills one.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(usable("v", "vec_id"))
-    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = common.materialise(rows.select("vec_id", "v", F.size("v").alias("dim"), squares.alias("square"), F.monotonically_increasing_id().alias("row")), "vantage-rows")
-    shape = {r.dim: (-(-r.n // SHARD), float(np.sqrt(r.top)) * (1 + 1e-12)) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("square").alias("top")).collect()}  # one row a length of vectors
-    many = F.create_map(*[F.lit(x) for d, (n, _) in shape.items() for x in (d, n)]) if shape else F.create_map(F.lit(0), F.lit(1))
+    rows = common.materialise(rows.select("vec_id", "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("row")), "vantage-rows")
+    shards = {r.dim: -(-r.n // SHARD) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row a length of vectors
 
     def trees(group):
         dim, shard = group["dim"][0].as_py(), group["shard"][0].as_py()
-        made = build(_matrix(group["v"]), group["vec_id"].to_numpy(), shape[dim][1], k, shard)
+        made = build(_matrix(group["v"]), group["vec_id"].to_numpy(), k, shard)
         yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([shard], pa.int64()), pa.array([pack(**made)], pa.binary())], names=["dim", "shard", "tree"])
 
-    dealt = rows.select("vec_id", "v", "dim", F.pmod("row", F.element_at(many, F.col("dim"))).alias("shard"))
+    dealt = rows.select("vec_id", "v", "dim", F.pmod("row", by_length(shards)).alias("shard"))
     index = components.by_group(dealt, ["dim", "shard"], trees, "dim int, shard long, tree binary", common.partitions_of(rows))
-    return common.materialise(index, "vantage-trees"), rows, shape
+    return common.materialise(index, "vantage-trees"), rows, shards
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -230,14 +234,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FA
     """
     if factor < 1:
         raise ValueError("the factor must be at least one")
-    index, rows, shape = build_index(vectors, k, id_col, vector_col)
+    index, rows, shards_of = build_index(vectors, k, id_col, vector_col)
     asked = common.materialise(rows.where(queries).select("vec_id", "v", "dim"), "vantage-queries")
     sizes = {r.dim: -(-r.n // BLOCK) for r in asked.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         common.discard(index, rows, asked)
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    of = lambda values: F.element_at(F.create_map(*[F.lit(x) for d, n in values.items() for x in (d, n)]), F.col("dim"))
-    lanes = of({d: min(LANES, shape[d][0]) for d in sizes})
+    lanes = by_length({d: min(LANES, shards_of[d]) for d in sizes})
 
     def blocks(group):
         dim, block = group["dim"][0].as_py(), group["block"][0].as_py()
@@ -245,9 +248,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FA
         yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["dim", "block", "data"])
 
     numbered = asked.withColumn("row", F.monotonically_increasing_id())
-    packed = components.by_group(numbered.withColumn("block", F.pmod("row", of(sizes)).cast("long")), ["dim", "block"], blocks, "dim int, block long, data binary")
+    packed = components.by_group(numbered.withColumn("block", F.pmod("row", by_length(sizes)).cast("long")), ["dim", "block"], blocks, "dim int, block long, data binary")
     sides = packed.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), lanes - 1))).select("dim", "block", "lane", F.lit(-1).cast("long").alias("shard"), "data")
-    shards = index.where(F.col("dim").isin(*sizes)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), of(sizes) - 1)))
+    shards = index.where(F.col("dim").isin(*sizes)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), by_length(sizes) - 1)))
     meet = sides.unionByName(shards.select("dim", "block", F.pmod("shard", lanes).alias("lane"), "shard", F.col("tree").alias("data")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,17 +263,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FA
 
         for b in batches:
             for i in range(b.num_rows):
-                dim, shard, data = b.column(0)[i].as_py(), b.column(3)[i].as_py(), unpack(b.column(4)[i].as_py())
+                shard, data = b.column(3)[i].as_py(), unpack(b.column(4)[i].as_py())
                 if shard < 0:
                     if best is not None:
                         yield done()
                     best, ids, numbers = Best(data["q"], k), data["ids"], data["rows"]
                 else:
-                    best.search(data, shape[dim][1], factor)
+                    best.search(data, factor)
         if best is not None:
             yield done()
 
-    tasks = max(common.shuffle_partitions(vectors.sparkSession), sum(n * min(LANES, shape[d][0]) for d, n in sizes.items()))
+    tasks = max(common.shuffle_partitions(vectors.sparkSession), sum(n * min(LANES, shards_of[d]) for d, n in sizes.items()))
     met = meet.repartition(tasks, "dim", "block", "lane").sortWithinPartitions("dim", "block", "lane", "shard")
     found = common.materialise(met.mapInArrow(search, "row long, query_id long, vec_id long, score double"), "vantage-found")
     common.discard(index, rows, asked)

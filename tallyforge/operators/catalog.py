@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules
+from . import scans
 
 
 def as_of(points: DataFrame, by: list[str], queries: DataFrame, epoch: str, created: str, wanted: str, greatest_epoch: bool = False) -> DataFrame:
@@ -18,10 +19,9 @@ def as_of(points: DataFrame, by: list[str], queries: DataFrame, epoch: str, crea
     others = [c for c in points.columns if c not in by]
     p = points.select(*by, F.col(epoch).alias("_at"), F.lit(0).alias("_query"), F.struct(*others).alias("_point"), *[F.lit(None).cast(t).alias(f"_q_{c}") for c, t in queries.dtypes if c not in by])
     q = queries.select(*by, F.col(wanted).alias("_at"), F.lit(1).alias("_query"), F.lit(None).cast(p.schema["_point"].dataType).alias("_point"), *[F.col(c).alias(f"_q_{c}") for c, _ in queries.dtypes if c not in by])
-    w = Window.partitionBy(*by).orderBy("_at", "_query").rowsBetween(Window.unboundedPreceding, 0)
     rank = F.struct(F.col(f"_point.{epoch}"), F.col(f"_point.{created}")) if greatest_epoch else F.struct(F.col(f"_point.{created}"), F.col(f"_point.{epoch}"))
-    best = F.max(F.when(F.col("_point").isNotNull(), F.struct(rank.alias("r"), F.col("_point").alias("p")))).over(w)
-    out = p.unionByName(q).withColumn("_best", best).where("_query = 1")
+    best = scans.running_max(F.when(F.col("_point").isNotNull(), F.struct(rank.alias("r"), F.col("_point").alias("p"))))
+    out = scans.scan(p.unionByName(q), by, ["_at", "_query"], {"_best": best}, "as-of").where("_query = 1")
     return out.select(*by, *[F.col(f"_q_{c}").alias(c) for c in queries.columns if c not in by], *[F.col(f"_best.p.{c}").alias(c) for c in others])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import rules
 from ..schema import KINDS
 from ..sources import tables
+from . import scans
 
 
 def head(log: DataFrame) -> DataFrame:
@@ -21,39 +22,54 @@ def head(log: DataFrame) -> DataFrame:
 
 def sequence_audit(log: DataFrame, by: list[str], order: str, seq: str = "seq") -> DataFrame:
     """Adds previous seq, ``regression``, ``duplicate`` and ``gap`` (records skipped) in log order."""
-    before = F.lag(seq).over(Window.partitionBy(*by).orderBy(order))
+    rows = scans.scan(log, by, [order], {"previous": scans.previous(seq)}, "sequence")
     step = F.col(seq) - F.col("previous")
-    return log.withColumn("previous", before).withColumn("regression", F.coalesce(step < 0, F.lit(False))).withColumn("duplicate", F.coalesce(step == 0, F.lit(False))).withColumn("gap", F.coalesce(F.greatest(step - 1, F.lit(0)), F.lit(0)))
+    return rows.withColumn("previous", F.col(f"previous.{seq}")).withColumn("regression", F.coalesce(step < 0, F.lit(False))).withColumn("duplicate", F.coalesce(step == 0, F.lit(False))).withColumn("gap", F.coalesce(F.greatest(step - 1, F.lit(0)), F.lit(0)))
 
 
-def first_of_op(log: DataFrame, op: str = "client_op_id", seq: str = "seq") -> DataFrame:
-    """First record wins per op id; adds ``effective_seq`` and ``is_first``.  Records without an op id stand for themselves.
+def first_of_op(log: DataFrame, op: str = "client_op_id", seq: str = "seq", tie: str | None = None) -> DataFrame:
+    """One record wins per op id: the smallest seq, and of those the smallest ``tie`` (an order of arrival; without one: any of them).
 
-    The first per id is a hash aggregate that is joined back, so a much repeated id is not sorted in one task.
+    Adds ``effective_seq`` and ``is_first``.  Records without an op id stand for
+    themselves.  The first per id is a hash aggregate that is joined back, so a much
+    repeated id is not sorted in one task.
     """
-    first = log.where(F.coalesce(op, F.lit("")) != "").groupBy(op).agg(F.min(seq).alias("_first"))
-    return log.join(first, op, "left").withColumn("effective_seq", F.coalesce("_first", seq)).withColumn("is_first", F.col("effective_seq") == F.col(seq)).drop("_first")
+    named = F.coalesce(op, F.lit("")) != ""
+    rows = log if tie else tables.materialise(log.withColumn("_tie", F.monotonically_increasing_id()), "first-of-op")
+    order = tie or "_tie"
+    first = rows.where(named).groupBy(op).agg(F.min(seq).alias("_first"))
+    seen = rows.join(first, op, "left")
+    winner = seen.where(F.col(seq) == F.col("_first")).groupBy(op).agg(F.min(order).alias("_winner"))
+    out = seen.join(winner, op, "left").withColumn("effective_seq", F.coalesce("_first", seq))
+    return out.withColumn("is_first", ~named | ((F.col(seq) == F.col("_first")) & (F.col(order) == F.col("_winner")))).drop("_first", "_winner", "_tie")
 
 
 def stale_fences(log: DataFrame, by: list[str], token: str = "fence_token", seq: str = "seq") -> DataFrame:
     """Adds ``held`` (largest token before) and ``stale``: both tokens non-zero and this one lower."""
-    w = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    held = F.coalesce(F.max(token).over(w), F.lit(0))
-    return log.withColumn("held", held).withColumn("stale", (F.col("held") > 0) & (F.col(token) > 0) & (F.col(token) < F.col("held")))
+    rows = scans.scan(log, by, [seq], {"held": scans.running_max(F.col(token), before=True)}, "fences")
+    return rows.withColumn("held", F.coalesce("held", F.lit(0))).withColumn("stale", (F.col("held") > 0) & (F.col(token) > 0) & (F.col(token) < F.col("held")))
 
 
-def append(log: DataFrame, incoming: DataFrame, fence: int = 0) -> DataFrame:
-    """``incoming`` (``arrival`` gives its order) with seq: repeated op ids and stale fences are left out.
+def append(log: DataFrame, incoming: DataFrame, fence: int | None = None) -> DataFrame:
+    """``incoming`` (``arrival`` gives its order) as records of the log: with seq, the log's epoch, and its fence where they bring none.
 
-    Numbers follow the log's last one without a gap; they are dealt by ranges of
-    arrival, so a batch may have any size.
+    A record with a token below the fence is refused first and not remembered, so
+    the same op id may come again with a valid token.  Of the others the first per op
+    id counts, unless the log has the id.  The fence is ``fence``, or else the largest
+    token of the log; a batch is judged by the fence it meets.  Equal rows with an op
+    id are one record, those without stand for themselves.  Numbers follow the log's
+    last one without a gap; they are dealt by ranges of arrival, so a batch may have
+    any size.
     """
-    fresh = first_of_op(incoming.withColumn("seq", F.col("arrival")), seq="seq").where("is_first").drop("effective_seq", "is_first", "seq")
+    start = head(log).select("next_seq", F.col("epoch").alias("_epoch"), (F.col("fence") if fence is None else F.lit(fence)).cast("long").alias("_fence"))  # one row
+    token = F.coalesce(F.col("fence_token"), F.lit(0))
+    valid = incoming.crossJoin(F.broadcast(start)).where((token == 0) | (F.col("_fence") == 0) | (token >= F.col("_fence")))
+    valid = tables.materialise(valid.withColumn("_row", F.monotonically_increasing_id()), "append-valid")
+    fresh = first_of_op(valid, seq="arrival", tie="_row").where("is_first").drop("effective_seq", "is_first")
     fresh = fresh.join(log.where("client_op_id <> ''").select("client_op_id").distinct(), "client_op_id", "left_anti")
-    fresh = fresh.where((F.col("fence_token") == 0) | (F.lit(fence) == 0) | (F.col("fence_token") >= fence))
-    start = head(log).select("next_seq")
-    rows = tables.numbered(fresh, ["arrival"], "_rank", "append")
-    return rows.crossJoin(F.broadcast(start)).withColumn("seq", F.col("next_seq") + F.col("_rank")).drop("next_seq", "arrival", "_rank")  # start: one row
+    rows = tables.numbered(fresh, ["arrival", "_row"], "_rank", "append")
+    rows = rows.withColumn("seq", F.col("next_seq") + F.col("_rank")).withColumn("epoch", F.col("_epoch")).withColumn("fence_token", F.when(token == 0, F.col("_fence")).otherwise(token))
+    return rows.drop("next_seq", "_epoch", "_fence", "_row", "_rank", "arrival")
 
 
 def with_op_ids(incoming: DataFrame, deployment: str) -> DataFrame:
@@ -65,7 +81,7 @@ def with_op_ids(incoming: DataFrame, deployment: str) -> DataFrame:
 class LogSink:
     """A change log in a folder, one subfolder a batch; a repeated batch replaces itself, so appends happen once."""
 
-    def __init__(self, spark: SparkSession, uri: str, schema: str, fence: int = 0):
+    def __init__(self, spark: SparkSession, uri: str, schema: str, fence: int | None = None):
         self.spark, self.uri, self.schema, self.fence = spark, uri.rstrip("/"), schema, fence
 
     def _batches(self, without: int | None) -> list[str]:
@@ -84,14 +100,18 @@ class LogSink:
         append(log, incoming, self.fence).select(*log.columns).write.mode("overwrite").parquet(f"{self.uri}/batch={batch:09d}")
 
 
-def latest(log: DataFrame, key: str, seq: str, kind: str, deleted: str, columns: list[str]) -> DataFrame:
-    """Last writer wins: the newest record per key, keys whose newest record is a delete left out.
+def latest(log: DataFrame, key: str, seq: str, kind: str, deleted: str, columns: list[str], tie: str | None = None) -> DataFrame:
+    """Last writer wins: one newest record per key, keys whose newest record is a delete left out.
 
-    The newest sequence per key is a hash aggregate; its record is joined back,
-    which avoids sorting whole records.
+    Of a key's records with the largest seq the one with the largest ``tie`` (the
+    place in the log) counts; records alike in that, or without it, go by the largest
+    kind and then ``columns``.  The largest seq per key is a hash aggregate, and only
+    its records are joined back and compared, which avoids sorting whole records.
     """
     newest = log.groupBy(key).agg(F.max(seq).alias(seq))
-    return log.join(newest, [key, seq]).where(F.col(kind) != deleted).select(key, seq, kind, *columns)
+    order = [*([tie] if tie else []), kind, *[c for c in columns if c != kind]]
+    best = log.join(newest, [key, seq]).groupBy(key, seq).agg(F.max(F.struct(*order)).alias("_best"))
+    return best.where(F.col(f"_best.{kind}") != deleted).select(key, seq, f"_best.{kind}", *[f"_best.{c}" for c in columns])
 
 
 STATE = "resource string, path string, mode int, content_hash string, size long, applied long, error string"
@@ -282,16 +302,18 @@ def epochs(log: DataFrame, by: str, order: str, action: str, epoch: str) -> Data
     """
     key, at = F.col(by).cast("string"), F.col(order).cast("long")
     rows = log.select(key.alias(by), at.alias(order), action, F.col(epoch).cast("long").alias("_to"))
-    whole = Window.partitionBy(by).orderBy(order)
     pin = ~F.col(action).isin("commit", "advance")
-    rows = rows.withColumn("_segment", F.count_if(pin).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
-    so_far = Window.partitionBy(by, "_segment").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_commits", F.count_if(F.col(action) == "commit").over(so_far))
+    rows = scans.cut(rows, [by], [order], "epochs")
+    rows = scans.run(rows, [by], [order], {"_segment": scans.running_count(pin)})
+    inside = [by, "_segment"]
+    rows = scans.run(rows, inside, [order], {"_commits": scans.running_count(F.col(action) == "commit")})
     lead = F.when(pin | (F.col(action) == "advance"), F.col("_to") - F.col("_commits"))
-    start = F.when(F.col("_segment") == 0, F.greatest(F.lit(0).cast("long"), F.max(lead).over(so_far))).otherwise(F.max(lead).over(so_far))
+    rows = scans.run(rows, inside, [order], {"_lead": scans.running_max(lead)})
+    start = F.when(F.col("_segment") == 0, F.greatest(F.lit(0).cast("long"), "_lead")).otherwise(F.col("_lead"))
     rows = rows.withColumn("assigned", F.col("_commits") + start)
-    before = F.coalesce(F.lag("assigned").over(whole), F.lit(0))
-    return rows.withColumn("refused", (F.col(action) == "advance") & (F.col("_to") < before)).select(by, order, action, "assigned", "refused")
+    rows = scans.run(rows, [by], [order], {"_before": scans.previous("assigned")})
+    refused = (F.col(action) == "advance") & (F.col("_to") < F.coalesce("_before.assigned", F.lit(0)))
+    return rows.select(by, order, action, "assigned", refused.alias("refused"))
 
 
 def promoted(slots: DataFrame, slot: str, role: str, to_active: str) -> DataFrame:

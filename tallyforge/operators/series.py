@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import rules
+from . import scans
 
 
 def heat(log: DataFrame, key: str, at: str, seq: str, size: str, now: Column, inclusive: bool = False, second_s: float = 1.0) -> DataFrame:
@@ -39,13 +39,13 @@ def lag_metrics(log: DataFrame, cursor: Column, by: list[str], replication_rate:
 
 def convergence(samples: DataFrame, by: list[str], at: str, backlog: str, write_rate: str, replication_rate: str) -> DataFrame:
     """Adds velocity (backlog change a second; 0 for the first), non_convergent, eta_ms (-1 unknown), improving, mitigations."""
-    w = Window.partitionBy(*by).orderBy(at)
-    seconds = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))) / 1e6
-    moved = F.col(backlog) - F.lag(backlog).over(w)
+    rows = scans.scan(samples, by, [at], {"_before": scans.previous(at, backlog)}, "convergence")
+    seconds = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col(f"_before.{at}").cast("timestamp"))) / 1e6
+    moved = F.col(backlog) - F.col(f"_before.{backlog}")
     spare = F.col(replication_rate) - F.col(write_rate)
     stuck = (spare <= 0) & (F.col(backlog) > 0)
-    return samples.select(
-        "*", F.when(seconds > 0, moved / seconds).otherwise(0.0).alias("velocity"), stuck.alias("non_convergent"),
+    return rows.select(
+        *samples.columns, F.when(seconds > 0, moved / seconds).otherwise(0.0).alias("velocity"), stuck.alias("non_convergent"),
         F.when(F.col(backlog) == 0, 0.0).when(spare > 0, F.col(backlog) / spare * 1000).otherwise(-1.0).alias("eta_ms"),
         F.coalesce(moved < 0, F.lit(False)).alias("improving"),
         F.when(stuck, F.array(*map(F.lit, ("raise-bandwidth", "throttle-writes", "prioritise-hot-keys", "extend-window")))).otherwise(F.array().cast("array<string>")).alias("mitigations"),
@@ -58,16 +58,13 @@ def tuning(samples: DataFrame, by: list[str], at: str, lag: str, write_rate: str
     Each knob depends on how often its condition held so far, so running counts
     replace a fold from sample to sample.
     """
-    w = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     held = {
         "batch": (F.col(lag) > 100) & (F.col(cpu) < 0.85),
         "compression": (F.col(write_rate) > 100) & (F.col(throughput) > 0),
         "concurrency": (F.col(lag) > 500) & (F.col(mem) < 0.8),
         "verify_every": F.col(storage_lag) > 0.5,
     }
-    out = samples
-    for knob, condition in held.items():
-        out = out.withColumn(f"_{knob}", F.count_if(condition).over(w))
+    out = scans.scan(samples, by, [at], {f"_{knob}": scans.running_count(condition) for knob, condition in held.items()}, "tuning")
     for knob, condition in held.items():
         now = rules.tuned(F.col(f"_{knob}"), knob)
         was = rules.tuned(F.col(f"_{knob}") - F.when(condition, 1).otherwise(0), knob)
@@ -77,9 +74,7 @@ def tuning(samples: DataFrame, by: list[str], at: str, lag: str, write_rate: str
 
 def observation(polls: DataFrame, by: list[str], healthy: str, error: str, at: str, need: int, max_failures: int = 3) -> DataFrame:
     """Per window: polls, healthy polls, errors, passed (enough healthy polls, none of the failures in a row limit), aborted."""
-    w = Window.partitionBy(*by).orderBy(at)
-    run = F.sum(F.when(F.col(healthy), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = polls.withColumn("_run", run)
+    marked = scans.scan(polls, by, [at], {"_run": scans.running_count(F.col(healthy))}, "polls")
     streaks = marked.where(~F.col(healthy)).groupBy(*by, "_run").agg(F.count("*").alias("_streak")).groupBy(*by).agg(F.max("_streak").alias("_worst"))
     out = polls.groupBy(*by).agg(F.count("*").alias("polls"), F.count_if(F.col(healthy)).alias("healthy_polls"), F.count_if(F.coalesce(F.col(error), F.lit("")) != "").alias("errors"))
     out = out.join(streaks, by, "left").withColumn("aborted", F.coalesce(F.col("_worst") >= max_failures, F.lit(False))).drop("_worst")
@@ -88,8 +83,7 @@ def observation(polls: DataFrame, by: list[str], healthy: str, error: str, at: s
 
 def illegal_steps(history: DataFrame, by: list[str], at: str, phase: str, steps: DataFrame) -> DataFrame:
     """History rows whose step from the phase before is no self-loop and not in ``steps`` (from_phase, to_phase; a small fixed table)."""
-    before = F.lag(phase).over(Window.partitionBy(*by).orderBy(at))
-    moved = history.withColumn("from_phase", before).where(F.col("from_phase").isNotNull() & (F.col("from_phase") != F.col(phase)))
+    moved = scans.scan(history, by, [at], {"_before": scans.previous(phase)}, "phases").withColumn("from_phase", F.col(f"_before.{phase}")).where(F.col("from_phase").isNotNull() & (F.col("from_phase") != F.col(phase)))
     edges = steps.select("from_phase", F.col("to_phase").alias(phase))
     return moved.join(F.broadcast(edges), ["from_phase", phase], "left_anti").select(*by, at, "from_phase", phase)
 

@@ -249,11 +249,12 @@ def log_head(spark, sf_dir):
     return log_ops.head(e.select(F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("epoch"), F.col("user_id").alias("fence_token")))
 
 
-@query("""SELECT event_id AS seq, op AS client_op_id, min(event_id) OVER (PARTITION BY op) AS effective_seq, event_id = min(event_id) OVER (PARTITION BY op) AS is_first
-FROM (SELECT event_id, user_id || '/' || event_type || '/' || props AS op FROM events)""")
+@query("""SELECT event_id, seq, op AS client_op_id, min(seq) OVER (PARTITION BY op) AS effective_seq, row_number() OVER (PARTITION BY op ORDER BY seq, event_id) = 1 AS is_first
+FROM (SELECT event_id, event_id // 8 AS seq, user_id || '/' || event_type || '/' || props AS op FROM events)""")
 def op_dedup(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat_ws("/", "user_id", "event_type", "props").alias("client_op_id"))
-    return log_ops.first_of_op(e)
+    """Eight records share each seq; their place in the log tells them apart."""
+    e = tables.table(spark, sf_dir, "events").select("event_id", F.expr("event_id div 8").alias("seq"), F.concat_ws("/", "user_id", "event_type", "props").alias("client_op_id"))
+    return log_ops.first_of_op(e, tie="event_id")
 
 
 @query("""SELECT event_id, token, held, held > 0 AND token > 0 AND token < held AS stale FROM (SELECT event_id, token,
@@ -550,13 +551,25 @@ def log_replay(spark, sf_dir):
     return log_ops.replay(written).where("path is not null").select("resource", "path", "mode", "content_hash", "size", "applied", "error")
 
 
-@query("""WITH e AS (SELECT event_id, user_id || '/' || event_type || '/' || props AS op, CAST(floor(value) AS BIGINT) AS token FROM events),
-first AS (SELECT op, min(event_id) AS event_id FROM e WHERE event_id >= 500 GROUP BY op), fresh AS (SELECT e.* FROM e JOIN first USING (op, event_id) WHERE (token = 0 OR token >= 2) AND op NOT IN (SELECT op FROM e WHERE event_id < 500))
-SELECT op AS client_op_id, token AS fence_token, 499 + row_number() OVER (ORDER BY event_id) AS seq FROM fresh""")
+_REFUSED = """e AS (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN '' ELSE user_id || '/' || event_type || '/' || props END AS op, CAST(floor(value) AS BIGINT) AS token FROM events)"""
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as they arrive: tokens from 0 on, so many are refused and come again, and some have no op id."""
+    op = F.when(F.col("event_id") % 97 == 0, "").otherwise(F.concat_ws("/", "user_id", "event_type", "props"))
+    return tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("arrival"), op.alias("client_op_id"), F.floor("value").alias("fence_token"))
+
+
+@query(f"""WITH {_REFUSED}, came AS (SELECT * FROM e WHERE event_id >= 500 UNION ALL SELECT * FROM e WHERE event_id >= 500 AND event_id % 50 = 0),
+valid AS (SELECT * FROM came WHERE (token = 0 OR token >= 40) AND (op = '' OR op NOT IN (SELECT op FROM e WHERE event_id < 500))),
+fresh AS (SELECT op, token, event_id FROM valid WHERE op = '' UNION ALL SELECT op, arg_min(token, event_id), min(event_id) FROM valid WHERE op <> '' GROUP BY op)
+SELECT op AS client_op_id, CASE token WHEN 0 THEN 40 ELSE token END AS fence_token, 3::BIGINT AS epoch, 499 + row_number() OVER (ORDER BY event_id) AS seq FROM fresh""")
 def log_append(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat_ws("/", "user_id", "event_type", "props").alias("client_op_id"), F.floor("value").alias("fence_token"), F.lit(1).cast("long").alias("epoch"))
-    incoming = e.where("seq >= 500").withColumnRenamed("seq", "arrival").drop("epoch")
-    return log_ops.append(e.where("seq < 500"), incoming, fence=2).select("client_op_id", "fence_token", "seq")
+    """Onto a log whose own fence is 40; some records arrive twice at once."""
+    e = _arrivals(spark, sf_dir)
+    log_ = e.where("arrival < 500").select(F.col("arrival").alias("seq"), "client_op_id", F.least("fence_token", F.lit(40).cast("long")).alias("fence_token"), F.lit(3).cast("long").alias("epoch"))
+    incoming = e.where("arrival >= 500")
+    return log_ops.append(log_, incoming.unionByName(incoming.where("arrival % 50 = 0"))).select("client_op_id", "fence_token", "epoch", "seq")
 
 
 _ACTION = "CASE event_type WHEN 'error' THEN 'rollback' WHEN 'signup' THEN 'advance' WHEN 'view' THEN 'force' ELSE 'commit' END"
@@ -572,13 +585,13 @@ def epoch_assignment(spark, sf_dir):
     return log_ops.epochs(e, "user_id", "event_id", "action", "pin")
 
 
-@query("""WITH e AS (SELECT event_id, user_id || '/' || event_type || '/' || props AS op, CAST(floor(value) AS BIGINT) AS token, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS batch FROM events),
-f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY op, batch ORDER BY event_id) = 1), g AS (SELECT * FROM f WHERE token = 0 OR token >= 2), h AS (SELECT * FROM g QUALIFY min(batch) OVER (PARTITION BY op) = batch)
-SELECT op AS client_op_id, token AS fence_token, row_number() OVER (ORDER BY batch, event_id) AS seq FROM h""")
+@query(f"""WITH {_REFUSED}, valid AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS batch FROM e WHERE token = 0 OR token >= 40),
+fresh AS (SELECT * FROM valid WHERE op = '' UNION ALL SELECT * FROM valid WHERE op <> '' QUALIFY row_number() OVER (PARTITION BY op ORDER BY batch, event_id) = 1)
+SELECT op AS client_op_id, CASE token WHEN 0 THEN 40 ELSE token END AS fence_token, row_number() OVER (ORDER BY batch, event_id) AS seq FROM fresh""")
 def append_sink(spark, sf_dir):
     """Two batches into a written log, the second one twice, as after a failure."""
-    e = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("arrival"), F.concat_ws("/", "user_id", "event_type", "props").alias("client_op_id"), F.floor("value").alias("fence_token"), F.lit(1).cast("long").alias("epoch"))
-    sink = log_ops.LogSink(spark, tables.shared_dir(spark, "log-sink"), "seq long, epoch long, fence_token long, client_op_id string", fence=2)
+    e = _arrivals(spark, sf_dir)
+    sink = log_ops.LogSink(spark, tables.shared_dir(spark, "log-sink"), "seq long, epoch long, fence_token long, client_op_id string", fence=40)
     for batch in (1, 2, 2):
         sink.write(e.where(F.col("arrival") % 2 == batch - 1), batch)
     return sink.read().select("client_op_id", "fence_token", "seq")
@@ -586,11 +599,11 @@ def append_sink(spark, sf_dir):
 
 @query("""SELECT * FROM (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_id < 800 GROUP BY user_id) WHERE event_type <> 'error'""")
 def final_delta(spark, sf_dir):
-    """The state at one cursor, brought up to a barrier."""
+    """The state at one cursor, brought up to a barrier; the records before the cursor are delivered once more."""
     e = tables.table(spark, sf_dir, "events").withColumnRenamed("event_id", "seq")
     names = ("user_id", "seq", "event_type", "error", ["value"])
     state = log_ops.latest(log_ops.delta(e, 0, 300), *names)
-    return log_ops.caught_up(state, log_ops.delta(e, 300, 800), *names).withColumnRenamed("seq", "event_id")
+    return log_ops.caught_up(state, log_ops.delta(e, 250, 800), *names).withColumnRenamed("seq", "event_id")
 
 
 @query("""SELECT o_orderkey AS scenario, o_orderkey % 2 = 0 AS expect_detection, coalesce(o_orderkey % 3 <> 0 AND (o_orderkey % 2 = 0) = (o_orderkey % 4 = 0) AND o_orderkey % 5 <> 0, false) AS passed FROM orders""")

@@ -103,7 +103,25 @@ def test_replay_equals_latest_without_renames(spark):
 def test_append_dedups_and_fences(spark):
     base = spark.createDataFrame([(1, "a", 5), (2, "b", 5)], "seq long, client_op_id string, fence_token long").withColumn("epoch", F.lit(1).cast("long"))
     new = spark.createDataFrame([(1, "b", 5), (2, "c", 3), (3, "d", 6), (4, "d", 6), (5, "e", 0)], "arrival long, client_op_id string, fence_token long").withColumn("epoch", F.lit(1).cast("long"))
-    assert sorted((r.seq, r.client_op_id) for r in log_ops.append(base, new, fence=5).collect()) == [(3, "d"), (4, "e")]
+    assert sorted((r.seq, r.client_op_id, r.fence_token) for r in log_ops.append(base, new).collect()) == [(3, "d", 6), (4, "e", 5)]
+    # A refused record does not stand in the way of its retry, and equal rows are one record.
+    again = spark.createDataFrame([(1, "a2", 1), (2, "a2", 7), (3, "f", 5), (3, "f", 5), (3, "", 5), (3, "", 5)], "arrival long, client_op_id string, fence_token long")
+    got = sorted((r.seq, r.client_op_id, r.fence_token, r.epoch) for r in log_ops.append(base, again).collect())
+    assert got[0] == (3, "a2", 7, 1) and [x[0] for x in got] == [3, 4, 5, 6] and sorted(x[1:] for x in got[1:]) == [("", 5, 1), ("", 5, 1), ("f", 5, 1)]
+    assert [r.fence_token for r in log_ops.append(base, again, fence=0).where("client_op_id = 'a2'").collect()] == [1]  # no fence at all
+
+
+def test_latest_is_one_row_a_key(spark):
+    rows = spark.createDataFrame([("a", 2, 1, "write", "x"), ("a", 2, 2, "write", "y"), ("b", 2, 1, "write", "x"), ("b", 2, 2, "delete", ""), ("c", 2, 1, "delete", ""), ("c", 2, 2, "write", "z"), ("d", 1, 9, "delete", ""), ("d", 3, 1, "write", "w"), ("d", 3, 1, "write", "w")], "k string, seq long, line long, kind string, v string")
+    args = ("k", "seq", "kind", "delete", ["v"])
+    assert sorted(map(tuple, log_ops.latest(rows, *args, tie="line").collect())) == [("a", 2, "write", "y"), ("c", 2, "write", "z"), ("d", 3, "write", "w")]
+    assert sorted(map(tuple, log_ops.latest(rows, *args).collect())) == [("a", 2, "write", "y"), ("b", 2, "write", "x"), ("c", 2, "write", "z"), ("d", 3, "write", "w")]
+
+
+def test_one_first_of_an_op(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("", 1), (None, 1), ("b", 3)], "client_op_id string, seq long")
+    got = log_ops.first_of_op(rows).groupBy("client_op_id").agg(F.count_if("is_first").alias("n"), F.min("effective_seq").alias("s")).collect()
+    assert {r.client_op_id: (r.n, r.s) for r in got} == {"a": (1, 1), "": (1, 1), None: (1, 1), "b": (1, 3)}
 
 
 def test_epochs(spark):

@@ -129,3 +129,35 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert near_copies.keep_one(no_docs).count() == 0
     nameless = odd_docs.where("doc_id is null")
     assert near_copies.keep_one(nameless.unionByName(nameless)).count() == 1
+
+
+def test_a_common_passage_takes_linear_work(spark, monkeypatch):
+    """Texts of 120 common and 120 own words, no near copies: twice the texts, twice the rows that meet."""
+    seen = {}
+    plain = common.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "materialise", counted)
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(120)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(120)])) for i in range(1200)]
+    work = []
+    for n in (300, 600, 1200):
+        df = spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(4)
+        assert near_copies.keep_one(df).count() == n
+        work.append(sum(seen[k] for k in ("near-keys", "near-buckets", "near-long", "near-pairs-first", "near-pairs-second", "near-groups", "near-left")))
+    assert work[1] <= 2.5 * work[0] + 100 and work[2] <= 2.5 * work[1] + 100 and work[2] < 1200
+
+
+def test_prefixes_of_all_similar_pairs_meet():
+    for n in range(1, 60):
+        for m in range(n, 80):
+            least = -(-4 * (n + m) // 9)
+            if least > n:
+                break
+            # The worst case: what is not shared comes first in both orders.
+            assert n - least + 1 <= near_copies.prefix_length(n) and m - least + 1 <= near_copies.prefix_length(m)

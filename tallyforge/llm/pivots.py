@@ -1,12 +1,18 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 Every vector is described by the order of its ``PREFIX`` nearest reference points
-(pivots).  It lies in the inverted lists of its first ``LISTS`` pivots: at home in
-the list of the nearest, a guest in the others.  A list compares its homes with all
-its members by the number of pivots that two prefixes share; members with a partner
-of at least ``SHARED`` are shortlisted, and only their vectors are fetched and
+(pivots).  It lies in the inverted lists of its first pivots: at home in the list of
+the nearest, a guest in the others.  A list compares its homes with all its members
+by the number of pivots that two prefixes share; members with a partner of enough
+shared pivots are shortlisted, and only their vectors are fetched and
 compared by cosine.  A pair that meets in two lists is verified in one of them.
 
+The vectors of many models lie in a narrow cone, so pivots may be as near to each
+other as one and a half linking angles.  There the order of the nearest pivots changes
+more between the vectors of a pair, so the number of lists (7 to 24) and of shared
+pivots (12 to 1) is tuned on the sample, with a partner made at the threshold for each
+vector.
+
 Lists move ids and prefixes, never pairs: a long list is compared in tiles, spread
 over tasks.  Homes within half the linking angle of their pivot all link with each
 other by the triangle inequality, so such a core takes one count, not its square.
@@ -26,14 +32,16 @@ from . import common, components
 
 #: Pivots: the square root of the number of distinct vectors, within these bounds.
 PIVOTS = (256, 2048)
-PREFIX, LISTS, SHARED = 12, 7, 6
+PREFIX, LISTS, SHARED = 24, (7, 12, 16, 24), 12
+#: The share of the pairs made at the threshold that the tuned numbers find where any do, and how many are made.
+FOUND, MADE = 0.997, 4000
 #: The pivots are chosen among about this many vectors a pivot, taken by hash; every vector is indexed.
 SAMPLE = 8
 #: Lists of more members are compared in tiles of about this many.
 TILE = 2048
 NARROW = 1e-9
-#: Pivots with a larger cosine would tell near copies apart that belong together.
-APART = 0.8
+#: Pivots less than so many linking angles apart would tell near copies apart that belong together.
+APART = 1.5
 HOME, CORE, GUEST = 0, 1, 2
 
 
@@ -41,29 +49,58 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def choose_pivots(vectors: np.ndarray, n: int) -> np.ndarray:
-    """Farthest-first choice of pivots with cosines below ``APART``, so that a group of near copies in the sample gives one."""
-    if not len(vectors):
-        return vectors
-    units = unit_rows(vectors)
+def choose_pivots(units: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Numbers of pivots, farthest first, at least ``APART`` linking angles apart, so that a group of near copies in the sample gives one."""
+    if not len(units):
+        return np.zeros(0, np.int64)
     chosen = [0]
     nearest = units @ units[0]
-    while len(chosen) < min(n, len(units)) and nearest.min() < APART:
+    most = math.cos(min(math.pi, APART * math.acos(max(-1.0, min(1.0, threshold)))))
+    while len(chosen) < min(n, len(units)) and nearest.min() < most:
         chosen.append(int(nearest.argmin()))
         np.maximum(nearest, units @ units[chosen[-1]], out=nearest)
-    return units[chosen]
+    return np.array(chosen)
 
 
-def prefixes(units: np.ndarray, pivots: np.ndarray, k: int = PREFIX) -> tuple[np.ndarray, np.ndarray]:
-    """Each vector's ``k`` nearest pivots, nearest first (-1 where there are fewer), and its cosine with the first."""
+def prefixes(units: np.ndarray, pivots: np.ndarray, k: int = PREFIX) -> np.ndarray:
+    """Each vector's ``k`` nearest pivots, nearest first (-1 where there are fewer)."""
     out = np.full((len(units), k), -1, np.int16)
-    if not len(pivots):
-        return out, np.full(len(units), -1.0)
-    near = units @ pivots.T
     have = min(k, len(pivots))
-    order = np.argsort(-near, axis=1, kind="stable")[:, :have]
-    out[:, :have] = order
-    return out, near[np.arange(len(units)), order[:, 0]]
+    if have:
+        out[:, :have] = np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :have]
+    return out
+
+
+class Index:
+    """Pivots for vectors of one length, fitted on a sample, and how many lists and shared pivots find pairs at the threshold."""
+
+    def __init__(self, sample: np.ndarray, n_pivots: int, threshold: float):
+        units = unit_rows(sample) if len(sample) else sample
+        chosen = choose_pivots(units, n_pivots, threshold)
+        self.pivots = units[chosen]
+        self.lists, self.shared = max(1, min(LISTS[0], len(chosen))), min(SHARED, len(chosen))
+        if len(chosen) > 1:
+            self.tune(units, threshold)
+
+    def describe(self, units: np.ndarray) -> np.ndarray:
+        return prefixes(units, self.pivots)
+
+    def tune(self, units: np.ndarray, threshold: float) -> None:
+        rng = np.random.default_rng(0)
+        x = units[rng.integers(len(units), size=MADE)]
+        z = rng.normal(size=x.shape)
+        z -= (z * x).sum(1)[:, None] * x
+        near = np.sqrt((z * z).sum(1))[:, None]
+        z = np.divide(z, near, out=np.zeros_like(z), where=near > NARROW)
+        a, b = self.describe(x), self.describe(threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * z)
+        shared = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any(2).sum(1)
+        for lists in LISTS:
+            meet = (b[:, :lists] == a[:, :1]).any(1) | (a[:, :lists] == b[:, :1]).any(1)
+            if meet.mean() >= FOUND or lists == LISTS[-1]:
+                least = min(FOUND, meet.mean() - 0.001)
+                self.lists = min(lists, len(self.pivots))
+                self.shared = max(s for s in range(SHARED + 1) if (meet & (shared >= s)).mean() >= least)
+                return
 
 
 def shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,7 +120,7 @@ def _holds(prefix: np.ndarray, homes: np.ndarray, lists: int) -> np.ndarray:
     return out
 
 
-def once(a: np.ndarray, b: np.ndarray, cell: int, lists: int = LISTS) -> np.ndarray:
+def once(a: np.ndarray, b: np.ndarray, cell: int, lists: int) -> np.ndarray:
     """Which pairs are this list's to verify: of the lists of both nearest pivots, the first in number that holds both vectors."""
     home_a, home_b = a[:, 0], b[:, 0]
     if (home_a == cell).all() and (home_b == cell).all():
@@ -181,7 +218,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     n_pivots = min(max(PIVOTS[0], math.isqrt(total)), PIVOTS[1])
     rate = min(1.0, SAMPLE * n_pivots / max(1, total))
     sample = sorted(tuple(r["v"]) for r in classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).select("v").collect())
-    pivots = {n: choose_pivots(np.array([v for v in sample if len(v) == n], dtype=np.float64), n_pivots) for n in {len(v) for v in sample}}
+    indexes = {n: Index(np.array([v for v in sample if len(v) == n], dtype=np.float64), n_pivots, threshold) for n in {len(v) for v in sample}}
     core_from = math.sqrt((1 + threshold) / 2) + 1e-9 if threshold > 0 else 2.0
 
     def describe(batches):
@@ -189,11 +226,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             sizes = b.column("size").to_pylist()
             for n in set(sizes):
                 part = b.filter(pa.array([s == n for s in sizes])) if len(set(sizes)) > 1 else b
-                own = pivots.get(n, np.empty((0, n)))
-                prefix, nearest = prefixes(unit_rows(_matrix(part.column("v"))), own)
-                m = max(1, min(LISTS, len(own)))
+                own = indexes.get(n) or Index(np.empty((0, n)), 0, threshold)
+                units = unit_rows(_matrix(part.column("v")))
+                prefix, m = own.describe(units), own.lists
                 cell = prefix[:, :m].astype(np.int32)
                 role = np.full(cell.shape, GUEST, np.int32)
+                nearest = (units * own.pivots[prefix[:, 0]]).sum(1) if len(own.pivots) else np.full(len(units), -1.0)
                 role[:, 0] = np.where(nearest >= core_from, CORE, HOME)
                 packed = [p.tobytes() for p in prefix]
                 wide = lambda c: np.repeat(part.column(c).to_numpy(zero_copy_only=False), m)  # noqa: B023, E731
@@ -209,8 +247,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         if not len(left) or not len(right):
             return
         prefix, classes_ = _prefix_matrix(rows["prefix"]), rows["class"].to_numpy()
-        known = len(pivots.get(rows["size"][0].as_py(), ()))
-        ok = (shared_counts(prefix[left], prefix[right]) >= min(SHARED, known)) & _comparable(role[left], role[right], same)
+        own = indexes.get(rows["size"][0].as_py())
+        ok = (shared_counts(prefix[left], prefix[right]) >= (own.shared if own else 0)) & _comparable(role[left], role[right], same)
         hit = np.union1d(left[ok.any(1)], right[ok.any(0)])
         if len(hit):
             yield pa.RecordBatch.from_arrays([pa.array(classes_[hit]), *(pa.array(rows[c].to_numpy()[hit]) for c in (*LIST, "role")), rows["prefix"].take(pa.array(hit))], names=["class", *LIST, "role", "prefix"])
@@ -227,7 +265,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         x, prefix = _matrix(rows["v"]), _prefix_matrix(rows["prefix"])
         ids, copies = rows["class"].to_numpy(), rows["copies"].to_numpy()
         hit = cosine_at_least(x[left], x[right], threshold) & _comparable(role[left], role[right], same)
-        hit &= once(prefix[left], prefix[right], rows["cell"][0].as_py())
+        own = indexes.get(rows["size"][0].as_py())
+        hit &= once(prefix[left], prefix[right], rows["cell"][0].as_py(), own.lists if own else 1)
         i, j = np.nonzero(hit)
         if not len(i):
             return

@@ -198,8 +198,30 @@ def test_shared_counts_and_lists():
     assert pivots.once(a, b, 1, 2).tolist() == [[True, False], [False, False], [False, False]]
     assert pivots.once(a, b, 3, 2).tolist() == [[False, False], [False, False], [False, False]]  # 1 holds both and comes first
     units = pivots.unit_rows(np.array([[1.0, 0.1], [-0.2, 1.0]]))
-    order, nearest = pivots.prefixes(units, np.array([[0.0, 1.0], [1.0, 0.0]]), 3)
-    assert order.tolist() == [[1, 0, -1], [0, 1, -1]] and nearest[0] > 0.99
+    assert pivots.prefixes(units, np.array([[0.0, 1.0], [1.0, 0.0]]), 3).tolist() == [[1, 0, -1], [0, 1, -1]]
+
+
+@pytest.mark.parametrize("cosine, most", [(0.0, 0.005), (0.8, 0.02), (0.87, 0.02), (0.92, 0.03)])
+def test_a_narrow_cone_is_told_apart(cosine, most):
+    """Vectors with a mean cosine: few pairs are compared, and those at the threshold are found."""
+    rng = np.random.default_rng(12)
+    noise = pivots.unit_rows(rng.normal(size=(6000, 128)))
+    centre = pivots.unit_rows(rng.normal(size=(1, 128)))
+    x = pivots.unit_rows(np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * noise)
+    z = rng.normal(size=x.shape)
+    z = pivots.unit_rows(z - (z * x).sum(1)[:, None] * x)
+    y = 0.981 * x + np.sqrt(1 - 0.981**2) * z
+    index = pivots.Index(x[:2048], 256, 0.98)
+    a, b = index.describe(x), index.describe(y)
+    meet = (b[:, : index.lists] == a[:, :1]).any(1) | (a[:, : index.lists] == b[:, :1]).any(1)
+    shared = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any(2).sum(1)
+    assert (meet & (shared >= index.shared)).mean() >= 0.99
+    some = a[:1500]
+    met = np.zeros((1500, 1500), bool)
+    for k in range(index.lists):
+        met |= some[:, k, None] == some[None, :, 0]
+    met = (met | met.T) & (pivots.shared_counts(some, some) >= index.shared)
+    assert met[np.triu_indices(1500, 1)].mean() <= most, (index.lists, index.shared)
 
 
 def test_pivot_index_on_tables(spark, sf_dir):

@@ -371,29 +371,37 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 _DIGESTS = (("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()))
-DECODED = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<struct<{FRAME}>>"
+DECODED = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<struct<{FRAME}>>, error string"
 
 
 def decode_stored(stored: DataFrame) -> DataFrame:
     """Decodes stored media (as ``store_texts`` gives it): digests of payload and media, and ``frames``, its timed frames with colour histograms.
 
     The payload is read from the composed frames.  ``explode`` of ``frames`` gives a row a frame.
+    Null, damaged or too large media give a row with ``error`` set and nothing decoded.
     """
 
     def decode(batches):
         for b in common.rows_of(batches, 64):
-            out, of = [], []
+            out, of, errors = [], [], []
             for media in b.column("media").to_pylist():
-                digest, n, tail, own = hashlib.sha256(), 0, b"", []
-                for frame, image, canvas in frames(media):
-                    part = canvas[image.top : image.top + image.height, image.left : image.left + image.width, 0].tobytes()
-                    digest.update(part)
-                    n, tail = n + len(part), (tail + part[-16:])[-16:]
-                    own.append(frame._asdict())
+                digest, n, tail, own, error = hashlib.sha256(), 0, b"", [], None
+                try:
+                    if media is None:
+                        raise ValueError("no media")
+                    for frame, image, canvas in frames(media):
+                        part = canvas[image.top : image.top + image.height, image.left : image.left + image.width, 0].tobytes()
+                        digest.update(part)
+                        n, tail = n + len(part), (tail + part[-16:])[-16:]
+                        own.append(frame._asdict())
+                except (ValueError, MemoryError) as e:
+                    error, own = str(e) or "out of memory", None
                 of.append(own)
-                out.append((n, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest()))
+                errors.append(error)
+                payload = (None, None, None) if error else (n, digest.hexdigest(), zlib.crc32(tail))
+                out.append((*payload, *((None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest()))))
             columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), _DIGESTS, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *columns, pa.array(of, pa.list_(_FRAME))], names=["doc_id", "n_bytes", *(n for n, _ in _DIGESTS), "frames"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *columns, pa.array(of, pa.list_(_FRAME)), pa.array(errors, pa.string())], names=["doc_id", "n_bytes", *(n for n, _ in _DIGESTS), "frames", "error"])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(decode, DECODED)
 

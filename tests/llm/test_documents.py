@@ -313,3 +313,12 @@ def test_pipeline_on_odd_rows(spark, odd_docs, no_docs):
 def test_every_operator_has_a_query():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert io and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_damaged_stored_media_give_an_error_row(spark):
+    good = gif.encode_samples(b"a" * 192)
+    df = spark.createDataFrame([(1, 5, good), (2, 5, None), (3, 5, good[:400]), (4, 5, b"no gif")], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in gif.decode_stored(df).collect()}
+    assert got[1].error is None and got[1].payload_bytes == 192
+    assert all(got[k].error and got[k].payload_sha256 is None and got[k].frames is None for k in (2, 3, 4)) and got[2].media_bytes is None and got[3].media_bytes == 400
+    assert gif.features(gif.decode_stored(df)).count() == 4

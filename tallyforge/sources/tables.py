@@ -44,10 +44,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
-    fs, at = hadoop(spark, path)
+    fs, at = hadoop(spark, f"{base.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}")
     fs.deleteOnExit(at)
-    return path
+    return fs.makeQualified(at).toString()  # with its scheme, so that all readers mean the same file system
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

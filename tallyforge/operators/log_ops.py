@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..schema import KINDS
@@ -114,106 +112,6 @@ def latest(log: DataFrame, key: str, seq: str, kind: str, deleted: str, columns:
     return best.where(F.col(f"_best.{kind}") != deleted).select(key, seq, f"_best.{kind}", *[f"_best.{c}" for c in columns])
 
 
-STATE = "resource string, path string, mode int, content_hash string, size long, applied long, error string"
-
-
-class _Tree:
-    """Objects by path as nested folders, so that a folder moves or goes as one node."""
-
-    def __init__(self) -> None:
-        self.root: dict = {}
-
-    def _folder(self, parts: list[str], make: bool = False) -> dict | None:
-        at = self.root
-        for p in parts:
-            below = at.get(p)
-            if below is None:
-                if not make:
-                    return None
-                below = at[p] = [None, {}]
-            at = below[1]
-        return at
-
-    def node(self, path: str) -> list | None:
-        *above, name = path.split("/")
-        folder = self._folder(above)
-        return None if folder is None else folder.get(name)
-
-    def put(self, path: str, value: tuple) -> None:
-        *above, name = path.split("/")
-        self._folder(above, True).setdefault(name, [None, {}])[0] = value
-
-    def take(self, path: str) -> list | None:
-        *above, name = path.split("/")
-        folder = self._folder(above)
-        return None if folder is None else folder.pop(name, None)
-
-    def add(self, path: str, node: list) -> None:
-        """A taken node goes in at ``path``; what it brings replaces what is there."""
-        *above, name = path.split("/")
-        into = self._folder(above, True).setdefault(name, [None, {}])
-        todo = [(into, node)]
-        while todo:
-            old, new = todo.pop()
-            old[0] = old[0] if new[0] is None else new[0]
-            for k, child in new[1].items():
-                if k in old[1]:
-                    todo.append((old[1][k], child))
-                else:
-                    old[1][k] = child
-
-    def objects(self) -> Iterator[tuple[str, tuple]]:
-        todo = [("", self.root)]
-        while todo:
-            prefix, folder = todo.pop()
-            for name, (value, below) in folder.items():
-                if value is not None:
-                    yield prefix + name, value
-                todo.append((f"{prefix}{name}/", below))
-
-
-def _holds_any(node: list | None) -> bool:
-    todo = [] if node is None else [node]
-    while todo:
-        value, below = todo.pop()
-        if value is not None:
-            return True
-        todo += below.values()
-    return False
-
-
-def _apply(records: pd.DataFrame) -> Iterator[tuple]:
-    tree, applied, error = _Tree(), 0, None
-    for r in records.sort_values("seq", kind="stable").itertuples():
-        if r.kind not in KINDS:
-            error = f"unknown kind {r.kind}"
-        elif r.kind in ("create", "write", "truncate"):
-            if r.offset:
-                error = "range writes are not supported"
-            else:
-                tree.put(r.path, (int(r.mode) or 0o644, r.content_hash, int(r.size)))
-        elif r.kind == "delete":
-            tree.take(r.path)
-        elif r.kind == "chmod":
-            node = tree.node(r.path)
-            if node is not None and node[0] is not None:
-                node[0] = (int(r.mode), *node[0][1:])
-            else:
-                error = f"no such path {r.path}"
-        elif not _holds_any(tree.node(r.path)):
-            error = f"no such path {r.path}"
-        elif r.path != r.dest_path:
-            tree.add(r.dest_path, tree.take(r.path))
-        if error:
-            break
-        applied += 1
-    state = sorted(tree.objects())
-    for path, (mode, content, size) in state:
-        yield path, mode, content, size, applied, error
-    if not state:
-        yield None, None, None, None, applied, error
-
-
 _WRITES = ("create", "write", "truncate")
 
 
@@ -226,8 +124,101 @@ def _ancestors(path: str):
 def _last_before(rows: DataFrame, marks: DataFrame, by: list[str], out: str) -> DataFrame:
     """Adds ``out``: the largest seq of ``marks`` below the row's own, per group of ``by``."""
     both = rows.withColumn("_mark", F.lit(False)).unionByName(marks.select(*by, "seq", F.lit(True).alias("_mark")), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn(out, F.max(F.when(F.col("_mark"), F.col("seq"))).over(w)).where("not _mark").drop("_mark")
+    scanned = scans.scan(both, by, ["seq"], {out: scans.running_max(F.when(F.col("_mark"), F.col("seq")), before=True)}, "replay-before")
+    return scanned.where("not _mark").drop("_mark")
+
+
+def _latest_before(rows: DataFrame, versions: DataFrame) -> DataFrame:
+    """Adds ``_at``: the version that came to the row's path last before it, as (end, token)."""
+    marks = versions.select("resource", "path", "seq", "history", F.struct(F.col("end.seq").alias("end"), "token").alias("_version"))
+    both = rows.withColumn("_asks", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    scanned = scans.scan(both, ["resource", "path"], ["seq", "history"], {"_at": scans.last_value(F.col("_version"), before=True)}, "replay-at")
+    return scanned.where("_asks").drop("_asks", "_version", "history")
+
+
+def _first_after(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds ``_event``: the first event at the row's path after its seq, as (seq, kind, path, dest_path)."""
+    marks = events.select("resource", "path", (-F.col("seq")).alias("_back"), F.struct("seq", "kind", "path", "dest_path").alias("_mark"))
+    both = rows.withColumn("_back", -F.col("seq")).unionByName(marks, allowMissingColumns=True)
+    scanned = scans.scan(both, ["resource", "path"], ["_back"], {"_event": scans.last_value(F.col("_mark"), before=True)}, "replay-after")
+    return scanned.where("_mark is null").drop("_mark", "_back")
+
+
+def _versions(writes: DataFrame, events: DataFrame) -> DataFrame:
+    """Where each written object lay and when: resource, token (the write), path, seq (from when on), history, end (the rename or delete that ended it).
+
+    Each round finds, for the objects that the round before moved, the first rename or
+    delete of their path or a folder above it.  Objects that lie at one path share
+    whatever happens to it from then on, so only the one that came last goes on to
+    the next round; ``history`` (earlier arrivals, newest first) tells which did.
+    There are as many rounds as one object has moves.
+    """
+    named = events.select("resource", "path").distinct()
+    now = writes.select("resource", F.col("seq").alias("token"), "path", "seq", F.array().cast("array<bigint>").alias("history"))
+    done = []
+    while True:
+        above = now.select("resource", "token", "seq", F.explode(_ancestors("path")).alias("path")).join(named, ["resource", "path"], "left_semi")
+        ends = _first_after(above, events).groupBy("token").agg(F.min("_event").alias("end"))
+        done.append(tables.materialise(now.join(ends, "token", "left"), f"replay-versions-{len(done)}"))
+        moved = done[-1].where("end.kind = 'rename'")
+        if moved.isEmpty():
+            break
+        last = moved.groupBy("resource", "path", "end").agg(F.max(F.struct("seq", "history", "token")).alias("v"))
+        to = F.concat("end.dest_path", F.col("path").substr(F.length("end.path") + 1, F.length("path")))
+        now = last.select("resource", F.col("v.token").alias("token"), to.alias("path"), F.col("end.seq").alias("seq"), F.concat(F.array("v.seq"), "v.history").alias("history"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _replay_moving(log: DataFrame) -> DataFrame:
+    """Replay of resources with renames: objects are followed from rename to rename by joins, a round a move.
+
+    Records after a resource's first error do not matter for those before it, so all
+    are followed first; then each resource is cut at its first error.
+    """
+    log = log.select("resource", "seq", "kind", "path", "dest_path", "offset", "mode", "size", "content_hash")
+    writes, modes = log.where(F.col("kind").isin(*_WRITES) & (F.coalesce("offset", F.lit(0)) == 0)), log.where("kind = 'chmod'")
+    versions = _versions(writes, log.where("kind in ('rename', 'delete')"))
+    asked = tables.materialise(_latest_before(modes.select("resource", "path", "seq", "mode"), versions), "replay-modes")
+    there = F.coalesce(F.col("_at").isNotNull() & (F.col("_at.end").isNull() | (F.col("_at.end") > F.col("seq"))), F.lit(False))
+    missing = F.concat(F.lit("no such path "), "path").alias("error")
+    moved = versions.where("end.kind = 'rename'").select("resource", F.col("end.seq").alias("seq")).distinct()
+    idle = log.where("kind = 'rename'").join(moved, ["resource", "seq"], "left_anti").select("resource", "seq", missing)
+    faults = _wrong(log).unionByName(asked.where(~there).select("resource", "seq", missing)).unionByName(idle)
+    ends = _ends(log, faults)
+
+    def until(rows):
+        return rows.join(ends.select("resource", "_stop"), "resource").where(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop")))
+
+    applied = until(log).groupBy("resource").agg(F.count("*").alias("applied"))
+    alive = until(versions).where(F.col("end").isNull() | (F.col("_stop").isNotNull() & (F.col("end.seq") >= F.col("_stop"))))
+    alive = alive.groupBy("resource", "path").agg(F.max(F.struct("seq", "history", "token")).alias("v")).select("resource", "path", F.col("v.token").alias("token"))
+    mode = until(asked.where(there)).groupBy(F.col("_at.token").alias("token")).agg(F.max(F.struct("seq", "mode")).alias("_m"))
+    made = writes.select(F.col("seq").alias("token"), F.col("mode").alias("_written"), "content_hash", "size")
+    alive = alive.join(made, "token").join(mode, "token", "left")
+    alive = alive.select("resource", "path", _mode(F.when(F.col("_m").isNotNull(), F.col("_m.mode")).otherwise(F.col("_written"))).alias("mode"), "content_hash", F.col("size").cast("long").alias("size"))
+    return _with_ends(ends, applied, alive)
+
+
+def _mode(mode):
+    """Mode 0 is the default one."""
+    return F.when(F.coalesce(mode, F.lit(0)) == 0, 0o644).otherwise(mode).cast("int")
+
+
+def _wrong(log: DataFrame) -> DataFrame:
+    """resource, seq, error of records that fail by themselves."""
+    error = F.when(~F.col("kind").isin(*KINDS), F.concat(F.lit("unknown kind "), "kind")).when(F.col("kind").isin(*_WRITES) & (F.col("offset") != 0), "range writes are not supported")
+    return log.select("resource", "seq", error.alias("error")).where("error is not null")
+
+
+def _ends(log: DataFrame, faults: DataFrame) -> DataFrame:
+    """resource, _stop (seq of its first error) and error; nulls where there is none."""
+    first = faults.groupBy("resource").agg(F.min(F.struct("seq", "error")).alias("_end"))
+    return log.select("resource").distinct().join(first, "resource", "left").select("resource", F.col("_end.seq").alias("_stop"), F.col("_end.error").alias("error"))
+
+
+def _with_ends(ends: DataFrame, applied: DataFrame, alive: DataFrame) -> DataFrame:
+    out = ends.drop("_stop").join(applied, "resource", "left").join(alive, "resource", "left")
+    return out.select("resource", "path", "mode", "content_hash", "size", F.coalesce("applied", F.lit(0)).cast("long").alias("applied"), "error")
 
 
 def _replay_in_place(log: DataFrame) -> DataFrame:
@@ -243,10 +234,7 @@ def _replay_in_place(log: DataFrame) -> DataFrame:
     above = _last_before(above, deletes, ["resource", "path"], "_deleted")
     absent = above.groupBy("resource", "seq", "_path", "_written").agg(F.max("_deleted").alias("_deleted"))
     absent = absent.where(F.col("_written").isNull() | (F.col("_deleted") > F.col("_written"))).select("resource", "seq", F.concat(F.lit("no such path "), "_path").alias("error"))
-    wrong = F.when(~F.col("kind").isin(*KINDS), F.concat(F.lit("unknown kind "), "kind")).when(F.col("kind").isin(*_WRITES) & (F.col("offset") != 0), "range writes are not supported")
-    faults = absent.unionByName(log.select("resource", "seq", wrong.alias("error")).where("error is not null"))
-    ends = log.groupBy("resource").agg(F.count("*").alias("_all")).join(faults.groupBy("resource").agg(F.min(F.struct("seq", "error")).alias("_end")), "resource", "left")
-    ends = ends.select("resource", F.col("_end.seq").alias("_stop"), F.col("_end.error").alias("error"))
+    ends = _ends(log, absent.unionByName(_wrong(log)))
 
     valid = log.join(ends.select("resource", "_stop"), "resource").where(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop"))).drop("_stop")
     applied = valid.groupBy("resource").agg(F.count("*").alias("applied"))
@@ -256,29 +244,27 @@ def _replay_in_place(log: DataFrame) -> DataFrame:
     under = put.select(*key, F.explode(_ancestors("path")).alias("_above")).join(gone, ["resource", "_above"]).groupBy(*key).agg(F.max("_gone").alias("_gone"))
     mode = valid.where("kind = 'chmod'").groupBy(*key).agg(F.max(F.struct("seq", "mode")).alias("_m"))
     alive = put.join(under, key, "left").where(F.col("_gone").isNull() | (F.col("_w.seq") > F.col("_gone"))).join(mode, key, "left")
-    written = F.when(F.col("_w.mode") == 0, 0o644).otherwise(F.col("_w.mode"))
-    alive = alive.select(*key, F.when(F.col("_m.seq") > F.col("_w.seq"), F.col("_m.mode")).otherwise(written).cast("int").alias("mode"), F.col("_w.content_hash").alias("content_hash"), F.col("_w.size").cast("long").alias("size"))
-    out = ends.drop("_stop").join(applied, "resource", "left").join(alive, "resource", "left")
-    return out.select("resource", "path", "mode", "content_hash", "size", F.coalesce("applied", F.lit(0)).cast("long").alias("applied"), "error")
+    newest = F.when(F.col("_m.seq") > F.col("_w.seq"), F.col("_m.mode")).otherwise(F.col("_w.mode"))
+    alive = alive.select(*key, _mode(newest).alias("mode"), F.col("_w.content_hash").alias("content_hash"), F.col("_w.size").cast("long").alias("size"))
+    return _with_ends(ends, applied, alive)
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """Ordered replay with renames and subtree deletes; seq orders the records of a resource and does not repeat in it.
-
-    Writes are whole objects.  A resource stops at its first error, keeping earlier
-    effects; a resource with no objects left gives one row with a null path.
-    Resources without renames are replayed by aggregates over paths, whatever the
-    size of their logs; renames make later paths depend on earlier ones, so such a
-    resource is folded in order, and its log must fit a task.
+    """Ordered replay with renames and subtree deletes: resource, path, mode, content_hash, size, applied, error.
+
+    Writes are whole objects; mode 0 is 0644.  Records of a resource go by seq, those
+    that share one by kind, path, destination and content.  A resource stops at its
+    first error, keeping earlier effects; one with no objects left gives one row with
+    a null path.  What a rename brings replaces what lies at its new paths and leaves
+    the rest there.  Resources without renames are replayed by aggregates over paths,
+    the others by following objects from rename to rename; neither gathers a
+    resource's log in one task.
     """
-
-    def run(key, records):
-        rows = [(key[0], *r) for r in _apply(records)]
-        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in STATE.split(", ")]).astype({"mode": "Int32", "size": "Int64"})
-
-    renamed = log.where("kind = 'rename'").select("resource").distinct()
-    folded = log.join(renamed, "resource", "left_semi").groupBy("resource").applyInPandas(run, STATE)
-    return _replay_in_place(log.join(renamed, "resource", "left_anti")).unionByName(folded)
+    names = ["resource", "seq", "kind", "path", "dest_path", "offset", "mode", "size", "content_hash"]
+    rows = tables.numbered(log.select(*names), ["resource", "seq", "kind", "path", "dest_path", "content_hash"], "_order", "replay-log")
+    rows = rows.drop("seq").withColumnRenamed("_order", "seq")
+    renamed = rows.where("kind = 'rename'").select("resource").distinct()
+    return _replay_in_place(rows.join(renamed, "resource", "left_anti")).unionByName(_replay_moving(rows.join(renamed, "resource", "left_semi")))
 
 
 def delta(log: DataFrame, cursor: int, barrier: int | None = None) -> DataFrame:

@@ -519,12 +519,12 @@ gone AS (SELECT u, max(event_id) AS d FROM e WHERE event_type = 'error' GROUP BY
 f AS (SELECT u, r, event_type, max(event_id) AS s, arg_max(props, event_id) AS p FROM e WHERE event_type <> 'error' GROUP BY u, r, event_type),
 tail AS (SELECT DISTINCT user_id AS u, user_id % 10 AS r FROM events WHERE user_id % 10 <> 8 AND user_id % 3 <> 2),
 files AS (SELECT f.u, r, event_type AS name, 420 AS mode, p AS content_hash, s AS size FROM f LEFT JOIN gone ON f.u = gone.u WHERE d IS NULL OR s > d
-  UNION ALL SELECT u, r, 'last', CASE WHEN u % 3 = 1 THEN 384 ELSE 420 END, 'tail', 1 FROM tail),
+  UNION ALL SELECT u, r, 'last', CASE WHEN u % 6 = 1 THEN 384 ELSE 420 END, 'tail', 1 FROM tail),
 n AS (SELECT r, sum(n) AS n FROM (SELECT r, count(*) AS n FROM e GROUP BY r UNION ALL SELECT r, 2 * count(*) FROM tail GROUP BY r) GROUP BY r)
 SELECT CAST(files.r AS VARCHAR) AS resource, (CASE WHEN u % 3 = 0 AND files.r <> 8 THEN 'e' ELSE 'd' END) || u || '/' || name AS path, CAST(mode AS INTEGER) AS mode, content_hash, size, CAST(n AS BIGINT) AS applied,
 CASE files.r WHEN 7 THEN 'unknown kind frobnicate' WHEN 8 THEN 'no such path none' WHEN 9 THEN 'range writes are not supported' END AS error FROM files JOIN n ON files.r = n.r""")
 def log_replay(spark, sf_dir):
-    """A folder a user: an error deletes it, every third user's is renamed in the end, and every third has a file whose mode changes; three resources end in an error, one of them early."""
+    """A folder a user: an error deletes it, every third user's is renamed in the end, and every third has a file whose mode changes (0: to the default); three resources end in an error, one of them early."""
     e = tables.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
     u, gone = F.col("user_id"), F.col("event_type") == "error"
     folder = F.concat(F.lit("d"), u.cast("string"))
@@ -542,7 +542,7 @@ def log_replay(spark, sf_dir):
         records(e, 2 * F.col("event_id"), r, F.when(gone, "delete").otherwise("write"), F.when(gone, folder).otherwise(F.concat(folder, F.lit("/"), "event_type")), "", 0, 0, F.col("event_id"), F.col("props"))
         .unionByName(records(third, 10**9 + 2 * u, r, "write", last, "", 0, 0, 1, "tail"))
         .unionByName(records(third.where("user_id % 3 = 0"), 10**9 + 2 * u + 1, r, "rename", folder, F.concat(F.lit("e"), u.cast("string")), 0, 0, 0, ""))
-        .unionByName(records(third.where("user_id % 3 = 1"), 10**9 + 2 * u + 1, r, "chmod", last, "", 384, 0, 0, ""))
+        .unionByName(records(third.where("user_id % 3 = 1"), 10**9 + 2 * u + 1, r, "chmod", last, "", F.when(u % 2 == 1, 384).otherwise(0), 0, 0, ""))
         .unionByName(records(one, 2 * 10**9, "7", "frobnicate", "x", "", 0, 0, 0, ""))
         .unionByName(records(one, 9999, "8", "chmod", "none", "", 384, 0, 0, ""))
         .unionByName(records(one, 2 * 10**9, "9", "write", "x", "", 0, 7, 0, ""))

@@ -14,6 +14,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+import replay_fold
 from tallyforge import schema
 from tallyforge.functions import digests, rules, text
 from tallyforge.operators import catalog, dedup, log_ops, series
@@ -187,6 +188,49 @@ def test_replay_of_random_logs_equals_a_flat_map(spark, renames):
     assert 5 < sum(stopped for _, _, stopped in want.values()) < 40
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_replay_of_nested_renames_equals_a_fold(spark, seed):
+    """Folders renamed into, over and out of each other, objects that follow many renames, modes (also 0), and errors."""
+    rng = random.Random(seed)
+    parts = ["a", "b", "c"]
+    rows = []
+    for run in range(30):
+        for seq in range(rng.choice([6, 14, 30])):
+            kind = rng.choice(["write"] * 5 + ["rename"] * 4 + ["delete", "chmod", *["frobnicate"] * (rng.random() < 0.02)])
+            path, dest = ("/".join(rng.choices(parts, k=rng.choice([1, 2, 2, 3]))) for _ in range(2))
+            rows.append((seq, f"r{run}", kind, path, dest if kind == "rename" else "", rng.choice([0, 0, 0o600, 0o755]), f"h{seq}"))
+    # Logs that no error cuts short, as most random renames have no source.
+    for run in range(12):
+        tree, at = replay_fold.Tree(), 0
+        for seq in range(40):
+            paths = [p for p, _ in tree.objects()]
+            kind = rng.choice(["write", "write", "rename", "rename", "chmod", "delete"]) if paths else "write"
+            path = "/".join(rng.choices(parts, k=rng.choice([1, 2, 3]))) if kind == "write" else rng.choice(paths)
+            if kind in ("rename", "delete") and rng.random() < 0.5:
+                path = path.rsplit("/", rng.choice([0, 1]))[0]
+            record = (at, f"good{run}", kind, path, "/".join(rng.choices(parts, k=rng.choice([1, 2]))) if kind == "rename" else "", rng.choice([0, 0o640]), f"g{at}")
+            rows.append(record)
+            at += 1
+            if kind == "write":
+                tree.put(path, (0, "", 0))
+            elif kind == "delete":
+                tree.take(path)
+            elif kind == "rename" and path != record[4]:
+                tree.add(record[4], tree.take(path))
+    df = mutations(spark, rows)
+    got = {}
+    for r in log_ops.replay(df).collect():
+        got.setdefault(r.resource, []).append((r.path, r.mode, r.content_hash, r.size, r.applied, r.error))
+    want = {k: list(replay_fold.apply(g)) for k, g in df.toPandas().groupby("resource")}
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
+    assert all(v[0][5] is None and v[0][4] == 40 for k, v in want.items() if k.startswith("good"))
+
+
+def test_replay_of_one_object_that_moves_often(spark):
+    rows = [(0, "r", "write", "a", "", 0, "h")] + [(k, "r", "rename", "ab"[(k - 1) % 2], "ab"[k % 2], 0, "") for k in range(1, 8)] + [(9, "r", "chmod", "b", "", 0, ""), (9, "r", "write", "b", "", 0o600, "n")]
+    assert [tuple(r) for r in log_ops.replay(mutations(spark, rows)).collect()] == [("r", "b", 0o600, "n", 1, 10, None)]
+
+
 def test_log_sink_appends_once(spark, tmp_path):
     schema_ = "seq long, epoch long, fence_token long, client_op_id string"
     sink = log_ops.LogSink(spark, str(tmp_path / "log"), schema_)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import digests, rules, text
 from ..operators import catalog, dedup, log_ops, series
 from ..operators import manifest as mf
-from ..sources import log, objects, tables
+from ..sources import log, objects, segments, tables
 from ..streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -514,6 +514,17 @@ def log_range_scan(spark, sf_dir):
     return log.scan(spark, path, 100, 400).select("seq", "kind", "path", "payload")
 
 
+@query("SELECT event_id AS seq, event_type AS kind, CAST(user_id AS VARCHAR) AS path, props AS payload FROM events WHERE event_id BETWEEN 700 AND 900")
+def log_segment_scan(spark, sf_dir):
+    """A range that lies in the segments of two appends; the second append comes twice, as after a failure."""
+    e = tables.table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("epoch"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("path"), F.col("props").alias("payload"))
+    held = segments.SegmentedLog(spark, tables.shared_dir(spark, "segments"), 5000)
+    for batch in (0, 1, 1):
+        held.append(rows.where((F.col("seq") >= 800) == bool(batch)), batch)
+    return held.scan(700, 900).select("seq", "kind", "path", "payload")
+
+
 @query("""WITH e AS (SELECT event_id, user_id AS u, user_id % 10 AS r, event_type, props FROM events WHERE user_id % 10 <> 8 OR event_id < 5000),
 gone AS (SELECT u, max(event_id) AS d FROM e WHERE event_type = 'error' GROUP BY u),
 f AS (SELECT u, r, event_type, max(event_id) AS s, arg_max(props, event_id) AS p FROM e WHERE event_type <> 'error' GROUP BY u, r, event_type),
@@ -824,7 +835,11 @@ def app_records(spark, sf_dir):
     return log_ops.with_op_ids(e.select(F.col("event_id").alias("arrival"), own.alias("client_op_id")), "d7").withColumnRenamed("arrival", "event_id")
 
 
-@query("""SELECT 'kv/key-' || lpad(i::VARCHAR, 2, '0') || '.json' AS path, CAST(octet_length(encode(t)) AS BIGINT) AS size, sha256(t) AS hash FROM (SELECT i, '{"id":' || i || ',"value":"v' || i || '"}' AS t FROM range(40) r(i))
-UNION ALL SELECT 'note-00.txt', 512, sha256(repeat(chr(0), 512)) UNION ALL SELECT 'data/blob-00.bin', 16384, sha256(repeat(chr(0), 16384))""")
+@query("""WITH t AS (SELECT 'kv/key-' || lpad(i::VARCHAR, 2, '0') || '.json' AS path, CAST(octet_length(encode(t)) AS BIGINT) AS size, sha256(t) AS hash FROM (SELECT i, '{"id":' || i || ',"value":"v' || i || '"}' AS t FROM range(40) r(i))
+UNION ALL SELECT 'note-00.txt', 512, sha256(repeat(chr(0), 512)) UNION ALL SELECT 'data/blob-00.bin', 16384, sha256(repeat(chr(0), 16384)))
+SELECT s_suppkey || '/' || path AS path, size, hash FROM t, supplier""")
 def fixture_trees(spark, sf_dir):
-    return mf.manifest(tables.fixture(spark, "key-value").unionByName(tables.fixture(spark, "generic"))).select("path", "size", "hash")
+    """A fixture tree for each supplier."""
+    tree = mf.manifest(tables.fixture(spark, "key-value").unionByName(tables.fixture(spark, "generic"))).select("path", "size", "hash")
+    owners = tables.table(spark, sf_dir, "supplier").select("s_suppkey")
+    return owners.crossJoin(F.broadcast(tree)).select(F.concat_ws("/", "s_suppkey", "path").alias("path"), "size", "hash")  # tree: 42 rows

@@ -53,7 +53,11 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def scan(spark: SparkSession, path: str, from_seq: int = 0, to_seq: int | None = None, strict: bool = True) -> DataFrame:
     """Records with from_seq <= seq (<= to_seq).  Strict: any damaged line, in range or not, fails the scan; else flags tell."""
-    rows = parse(spark.read.text(path))
+    return in_range(parse(spark.read.text(path)), from_seq, to_seq, strict)
+
+
+def in_range(rows: DataFrame, from_seq: int, to_seq: int | None, strict: bool) -> DataFrame:
+    """Parsed lines cut to a range of seq, as ``scan`` does."""
     good = F.col("crc_ok") & F.col("parse_ok") & F.col("checksum_ok")
     if strict:
         rows = rows.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("damaged log line: "), "raw")).cast("boolean")))
@@ -77,8 +81,8 @@ def whole_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.drop("_size").join(torn, ["file", "block", "line_no"], "left_anti")
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Appends records (MUTATION columns that ``df`` has) as lines with trailers."""
+def write(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Writes records (MUTATION columns that ``df`` has) as lines with trailers."""
     names = [f.strip().split(" ")[0] for f in MUTATION.split(",")]
     body = F.to_json(F.struct(*[n for n in names if n in df.columns and n != "entry_checksum"]))
-    df.select(to_line(with_checksum(body)).alias("value")).write.mode("append").text(path)
+    df.select(to_line(with_checksum(body)).alias("value")).write.mode(mode).text(path)

@@ -19,7 +19,7 @@ from tallyforge import schema
 from tallyforge.functions import digests, rules, text
 from tallyforge.operators import catalog, dedup, log_ops, series
 from tallyforge.operators import manifest as mf
-from tallyforge.sources import log, objects, tables
+from tallyforge.sources import log, objects, segments, tables
 from tallyforge.streaming import stream
 
 
@@ -500,7 +500,7 @@ def test_entry_works_without_the_training_data_operators(tmp_path):
 def test_entry_works_without_what_those_operators_need(tmp_path):
     for name in ("zstandard", "tokenizers", "public_tokenizers"):
         (tmp_path / name).mkdir()
-        (tmp_path / name / f"{name}.py").write_text("raise ImportError('hidden')")
+        (tmp_path / name / f"{name}.py").write_text("raise ModuleNotFoundError('hidden')")
         code = "import __spark_entry__ as e; q = e.queries(); assert 'lww_state' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
         root = Path(__file__).resolve().parent.parent
         subprocess.run([sys.executable, "-c", code], cwd=root, check=True, env=os.environ | {"PYTHONPATH": f"{tmp_path / name}:{root}"})
@@ -520,3 +520,30 @@ def test_engine(spark, tmp_path):
     e.export(str(tmp_path / "a"), str(tmp_path / "archive"), "id", 1)
     assert {r.path: bytes(r.content) for r in e.restore(str(tmp_path / "archive")).collect()} == {"d/x": b"1" * 70_000, "y": b"a"}
     assert e.drill(str(tmp_path / "archive")).first().digest_ok
+
+
+def test_segmented_log(spark, tmp_path):
+    made = tables.generate_log(spark, 4000, 12)
+    held = segments.SegmentedLog(spark, str(tmp_path / "s"), 250)
+    assert held.scan().count() == 0 and held.check().count() == 0
+    held.append(made.where("seq <= 3000"), 0)
+    held.append(made.where("seq > 3000"), 1)
+    held.append(made.where("seq > 3000"), 1)
+    assert held.index().count() >= 12 and held.scan().count() == 4000
+    for low, high in ((1, 4000), (990, 1010), (2999, 3002), (4000, None), (5000, 6000)):
+        got = [r.seq for r in held.scan(low, high).select("seq").collect()]
+        assert sorted(got) == list(range(low, min(4000, high or 4000) + 1))
+    assert len(held.files(990, 1010)) <= 2 and len(held.files(2999, 3002)) <= 3 and len(held.files(5000, 6000)) == 0
+    assert held.scan(990, 1010).inputFiles() == [] or len(held.scan(990, 1010).inputFiles()) <= 2
+    assert held.check().where("not ok").count() == 0
+
+    victim, other = held.files(1500, 1500)[0], held.files(3900, 3900)[0]
+    path = Path(victim.removeprefix("file://").removeprefix("file:"))
+    path.write_text(path.read_text().replace('"kind":"', '"kind":"x', 1))
+    (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    Path(other.removeprefix("file://").removeprefix("file:")).unlink()
+    assert held.scan(1, 100).count() == 100  # damage elsewhere is not met
+    bad = {r.file: (r.missing, r.damaged) for r in held.check().where("not ok").collect()}
+    assert bad == {victim: (False, 1), other: (True, 0)}
+    with pytest.raises(Exception, match="damaged log line"):
+        held.scan(1500, 1500).collect()

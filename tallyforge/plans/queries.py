@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import digests, rules, text
 from ..operators import catalog, dedup, log_ops, series
 from ..operators import manifest as mf
@@ -731,6 +732,39 @@ def stream_tuning(spark, sf_dir):
     return held.select("user_id", "samples", rules.tuned(F.col("b"), "batch").alias("batch"), rules.tuned(F.col("n"), "concurrency").alias("concurrency"))
 
 
+@query("""SELECT 'p' || o_orderkey AS id, o_orderkey % 97 AS epoch, CASE WHEN o_orderkey % 4 = 0 THEN 'JOURNAL_CHAIN' ELSE 'SNAPSHOT' END AS kind, CASE WHEN o_orderkey % 6 = 0 THEN 'again' ELSE '' END AS note
+FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+def recovery_point_store(spark, sf_dir):
+    """Recovery points that two writers put from the same version; where they meet in keys the later one reads again and retries."""
+    o = tables.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("p"), "o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), (F.col("o_orderkey") % 97).cast("long").alias("epoch"), F.col("o_orderkey").cast("long").alias("journal_position"),
+        F.lit("a").alias("archive_path"), F.lit("r").alias("root_digest"), F.when(F.col("o_orderkey") % 4 == 0, "JOURNAL_CHAIN").otherwise("SNAPSHOT").alias("kind"), F.lit("").alias("note"),
+    )
+    uri, k = tables.shared_dir(spark, "points"), F.col("journal_position")
+    one, two = (tables.Store(spark, uri, schema.RECOVERY_POINT, "id") for _ in range(2))
+    base = one.head()
+    one.put(o.where(k % 6 == 2), base)
+    two.put(o.where(k % 6 == 3), base)  # other keys: both stand
+    one.put(o.where((k % 6 == 4) | (k % 6 == 0)), base)
+    again = o.where(k % 6 == 0).withColumn("note", F.lit("again"))
+    try:
+        two.put(again, base)
+    except tables.Conflict:
+        two.put(again, two.head())
+    return two.load().select("id", "epoch", "kind", "note")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS resource, CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS epoch, CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1 ELSE c_custkey END AS token FROM customer WHERE c_custkey <> 3""")
+def fence_store(spark, sf_dir):
+    """A fence for each customer; some are raised, one is given up."""
+    c = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("resource"), F.lit(1).cast("long").alias("epoch"), F.col("c_custkey").cast("long").alias("token"), F.lit("h").alias("holder"))
+    store = tables.Store(spark, tables.shared_dir(spark, "fences"), schema.FENCE, "resource")
+    store.put(c)
+    raised = store.load().where("token % 5 = 0").select("resource", (F.col("epoch") + 1).alias("epoch"), (F.col("token") + 1).alias("token"), "holder")
+    store.put(raised)
+    return store.delete("3").select("resource", "epoch", "token")
+
+
 @query("""WITH b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)
 SELECT * FROM b WHERE o_orderkey <> 6""")
 def catalog_store(spark, sf_dir):

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,50 +84,160 @@ def numbered(df: DataFrame, order: list[str], out: str, name: str = "numbered")
     return spread.join(F.broadcast(offsets), part).withColumn(out, F.col(off) + F.col(at) - F.col(first)).drop(part, at, first, off)
 
 
-class Store:
-    """A small table of records by key (catalog entries, recovery points, deployments, fences, epochs).
+class Conflict(RuntimeError):
+    """Another writer changed the same keys first."""
+
+
+def publish(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+    """Writes a small file whole, and only if it is absent; False if it is there.
 
-    Each write is a version of its own: readers take the newest complete one, so a
-    failed write leaves the last good version in place.
+    The file is written aside and then takes its name in one step that fails where the
+    name is taken: a hard link on a local disk, a rename elsewhere (HDFS refuses one
+    onto an existing file; a store whose renames replace files is no place for this).
     """
+    fs, target = hadoop(spark, f"{folder}/{name}")
+    aside = hadoop(spark, f"{folder}/.aside-{uuid.uuid4().hex}")[1]
+    fs.mkdirs(target.getParent())
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() != "file":
+            return not fs.exists(target) and fs.rename(aside, target)
+        nio, none = spark._jvm.java.nio.file, spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 0)
+        at = lambda p: nio.Paths.get(p.toUri().getPath(), none)
+        try:
+            nio.Files.createLink(at(target), at(aside))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        return True
+    finally:
+        fs.delete(aside, False)
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    fs, at = hadoop(spark, path)
+    opened = fs.open(at)
+    try:
+        return bytes(opened.readAllBytes()).decode()
+    finally:
+        opened.close()
+
+
+class Store:
+    """Records by key (catalog entries, recovery points, deployments, fences, epochs) that several writers change.
+
+    A version is a numbered commit file, which only one writer can create, and the
+    Parquet table it names: the records it put, and the keys it removed.  Readers take
+    the newest record of each key up to a version, so an unfinished write is never
+    seen and a reader keeps its version.  A writer whose number is taken looks at what
+    came in between: other keys, and it takes the next number; the same, and it gets
+    ``Conflict``.  After ``SNAPSHOT`` commits one with all records
+    shortens the way.
+    """
+
+    SNAPSHOT = 16
 
     def __init__(self, spark: SparkSession, uri: str, schema: str, key: str):
         self.spark, self.uri, self.schema, self.key = spark, uri.rstrip("/"), schema, key
 
     def versions(self) -> list[int]:
-        names = [n for n in children(self.spark, self.uri) if n.startswith("version=")]
-        return [int(n.split("=")[1]) for n in names if exists(self.spark, f"{self.uri}/{n}/_SUCCESS")]
-
-    def load(self) -> DataFrame:
-        """All records; none if nothing was written yet."""
-        found = self.versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.uri}/version={found[-1]:09d}") if found else self.spark.createDataFrame([], self.schema)
+        return [int(n) for n in children(self.spark, f"{self.uri}/commits") if n.isdigit()]
+
+    def head(self) -> int:
+        """The newest version (0: nothing was written yet)."""
+        return max(self.versions(), default=0)
+
+    def _commit(self, version: int) -> dict:
+        return json.loads(read_small(self.spark, f"{self.uri}/commits/{version:09d}"))
+
+    def _changes(self, version: int) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, _gone boolean").parquet(self._commit(version)["data"]).withColumn("_version", F.lit(version))
+
+    def load(self, version: int | None = None) -> DataFrame:
+        """All records as of a version (the newest): none if nothing was written yet.  KeyError for a version that has expired."""
+        at, parts = self.head() if version is None else version, []
+        while at > 0:
+            if not exists(self.spark, f"{self.uri}/commits/{at:09d}"):
+                raise KeyError(f"version {version} of {self.uri} is not there")
+            parts.append(self._changes(at))
+            if self._commit(at)["snapshot"]:
+                break
+            at -= 1
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        every = reduce(DataFrame.unionByName, parts)
+        newest = every.groupBy(self.key).agg(F.max("_version").alias("_version"))
+        return every.join(newest, [self.key, "_version"]).where("not _gone").select(*self.spark.createDataFrame([], self.schema).columns)
 
     def get(self, *keys) -> DataFrame:
         """The records with these keys."""
         return self.load().where(F.col(self.key).isin(*keys))
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        found = self.versions()
-        rows.write.mode("overwrite").parquet(f"{self.uri}/version={(found[-1] if found else 0) + 1:09d}")
-        return self.load()
-
-    def put(self, rows: DataFrame) -> DataFrame:
-        """Inserts or replaces records and reads them back; ValueError if what is stored differs or a key repeats in ``rows``."""
-        rows = materialise(rows.select(*self.load().columns), "store-put")
+    def _write(self, changes: DataFrame, base: int, snapshot: bool = False) -> int:
+        """Commits changes that were made on version ``base``; the version they got."""
+        folder = f"{self.uri}/data/{uuid.uuid4().hex}"
+        changes.write.parquet(folder)
+        own = self.spark.read.parquet(folder).select(self.key)
+        while True:
+            if publish(self.spark, f"{self.uri}/commits", f"{base + 1:09d}", json.dumps({"data": folder, "snapshot": snapshot})):
+                return base + 1
+            if snapshot:
+                fs, at = hadoop(self.spark, folder)
+                fs.delete(at, True)
+                return base  # somebody wrote meanwhile; the next commit tries again
+            base += 1
+            if not self._commit(base)["snapshot"] and not self._changes(base).join(own, self.key, "left_semi").isEmpty():
+                fs, at = hadoop(self.spark, folder)
+                fs.delete(at, True)
+                raise Conflict(f"version {base} of {self.uri} changed the same keys")
+
+    def _settle(self, version: int) -> None:
+        last = next((v for v in range(version, 0, -1) if self._commit(v)["snapshot"]), 0)
+        if version - last >= self.SNAPSHOT:
+            self._write(self.load(version).withColumn("_gone", F.lit(False)), version, snapshot=True)
+
+    def put(self, rows: DataFrame, base: int | None = None) -> DataFrame:
+        """Inserts or replaces records and reads them back.
+
+        ``base`` is the version that the caller has read (the newest): ``Conflict`` if
+        another writer has changed one of these keys since.  ValueError if what is
+        stored differs or a key repeats in ``rows``.
+        """
+        base = self.head() if base is None else base
+        rows = materialise(rows.select(*self.spark.createDataFrame([], self.schema).columns), "store-put")
         if not rows.groupBy(self.key).count().where("count > 1").isEmpty():
             raise ValueError(f"a {self.key} is put twice")
-        stored = self._write(self.load().join(rows.select(self.key), self.key, "left_anti").select(*rows.columns).unionByName(rows))
+        version = self._write(rows.withColumn("_gone", F.lit(False)), base)
+        stored = self.load(version)
         if not rows.exceptAll(stored.join(rows.select(self.key), self.key, "left_semi").select(*rows.columns)).isEmpty():
             raise ValueError("the store does not hold what was put")
         discard(rows)
+        self._settle(version)
         return stored
 
-    def delete(self, key) -> DataFrame:
+    def delete(self, key, base: int | None = None) -> DataFrame:
         """Without this record; KeyError if it is absent."""
-        if self.get(key).isEmpty():
+        base = self.head() if base is None else base
+        held = self.load(base).where(F.col(self.key) == key)
+        if held.isEmpty():
             raise KeyError(f"{self.key} {key} is not in the store")
-        return self._write(self.load().where(F.col(self.key) != key))
+        version = self._write(held.withColumn("_gone", F.lit(True)), base)
+        self._settle(version)
+        return self.load(version)
+
+    def expire(self, keep: int = 1) -> list[int]:
+        """Removes versions that no reader of the newest ``keep`` needs; those removed."""
+        oldest = self.head() - keep + 1
+        needed = max((v for v in self.versions() if v <= oldest and self._commit(v)["snapshot"]), default=0)
+        gone = [v for v in self.versions() if v < needed]
+        for v in gone:
+            for path in (self._commit(v)["data"], f"{self.uri}/commits/{v:09d}"):
+                fs, at = hadoop(self.spark, path)
+                fs.delete(at, True)
+        return gone
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Logs, folds, objects, archives and rules on small inputs with answers worked out by hand or by hashlib."""
 
+import concurrent.futures
 import hashlib
 import json
 import os
@@ -252,7 +253,7 @@ def test_store(spark, tmp_path):
     assert {tuple(r) for r in store.load().collect()} == {("a", 1, 1, "x"), ("b", 2, 1, "z")} and store.get("b").first().holder == "z"
     with pytest.raises(ValueError, match="twice"):
         store.put(spark.createDataFrame([("c", 1, 1, "x"), ("c", 1, 2, "y")], schema.FENCE))
-    (tmp_path / "s" / "version=000000009").mkdir()  # a write that did not finish
+    (tmp_path / "s" / "data" / "unfinished").mkdir()  # a write that did not finish
     assert store.load().count() == 2 and store.delete("a").count() == 1
     with pytest.raises(KeyError):
         store.delete("zz")
@@ -547,3 +548,35 @@ def test_segmented_log(spark, tmp_path):
     assert bad == {victim: (False, 1), other: (True, 0)}
     with pytest.raises(Exception, match="damaged log line"):
         held.scan(1500, 1500).collect()
+
+
+def test_writers_at_once(spark, tmp_path):
+    row = lambda *keys, holder="x": spark.createDataFrame([(k, 1, 1, holder) for k in keys], schema.FENCE)
+    held = lambda s: {r.resource: r.holder for r in s.load().collect()}
+    one, two = (tables.Store(spark, str(tmp_path / "s"), schema.FENCE, "resource") for _ in range(2))
+    one.put(row("a", "b"))
+    base = two.head()
+    one.put(row("c"))
+    two.put(row("d"), base)  # other keys: takes the next number
+    assert held(one) == {k: "x" for k in "abcd"} and two.head() == 3
+    with pytest.raises(tables.Conflict):
+        two.put(row("c", holder="late"), base)
+    two.put(row("c", holder="late"))
+    assert held(one)["c"] == "late" and {r.resource for r in one.load(1).collect()} == {"a", "b"}
+    with pytest.raises(tables.Conflict):
+        one.delete("c", 3)
+    with concurrent.futures.ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda k: tables.Store(spark, str(tmp_path / "s"), schema.FENCE, "resource").put(row(f"t{k}")), range(16)))
+    assert {f"t{k}" for k in range(16)} <= set(held(one)) and len(held(one)) == 20
+    assert one.versions() == list(range(1, one.head() + 1))  # no number twice, none left out
+    one.put(row("a", holder="last"))
+    gone = one.expire()
+    assert len(gone) >= 16 and len(held(two)) == 20 and held(two)["a"] == "last"
+    with pytest.raises(KeyError):
+        one.load(1)
+
+
+def test_publish_names_a_file_once(spark, tmp_path):
+    with concurrent.futures.ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda k: tables.publish(spark, str(tmp_path), "1", str(k)), range(24)))
+    assert sum(got) == 1 and tables.read_small(spark, str(tmp_path / "1")) == str(got.index(True)) and [n for n in tables.children(spark, str(tmp_path)) if "aside" in n] == []

@@ -52,18 +52,23 @@ def convergence(samples: DataFrame, by: list[str], at: str, backlog: str, write_
     )
 
 
+def tuning_conditions(lag: str, write_rate: str, throughput: str, cpu: str, mem: str, storage_lag: str) -> dict[str, Column]:
+    """When a sample turns each knob."""
+    return {
+        "batch": (F.col(lag) > 100) & (F.col(cpu) < 0.85),
+        "compression": (F.col(write_rate) > 100) & (F.col(throughput) > 0),
+        "concurrency": (F.col(lag) > 500) & (F.col(mem) < 0.8),
+        "verify_every": F.col(storage_lag) > 0.5,
+    }
+
+
 def tuning(samples: DataFrame, by: list[str], at: str, lag: str, write_rate: str, throughput: str, cpu: str, mem: str, storage_lag: str) -> DataFrame:
     """The four bounded knobs after each sample, and which of them this sample changed.
 
     Each knob depends on how often its condition held so far, so running counts
     replace a fold from sample to sample.
     """
-    held = {
-        "batch": (F.col(lag) > 100) & (F.col(cpu) < 0.85),
-        "compression": (F.col(write_rate) > 100) & (F.col(throughput) > 0),
-        "concurrency": (F.col(lag) > 500) & (F.col(mem) < 0.8),
-        "verify_every": F.col(storage_lag) > 0.5,
-    }
+    held = tuning_conditions(lag, write_rate, throughput, cpu, mem, storage_lag)
     out = scans.scan(samples, by, [at], {f"_{knob}": scans.running_count(condition) for knob, condition in held.items()}, "tuning")
     for knob, condition in held.items():
         now = rules.tuned(F.col(f"_{knob}"), knob)

@@ -17,7 +17,7 @@ from ..functions import digests, rules, text
 from ..operators import catalog, dedup, log_ops, series
 from ..operators import manifest as mf
 from ..sources import log, objects, segments, tables
-from ..streaming import stream
+from ..streaming import state, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -312,11 +312,15 @@ k AS (SELECT *, count(*) FILTER (b) OVER w AS kb, count(*) FILTER (z) OVER w AS
 SELECT event_type, hour, CAST(least(512, 64 * pow(2, least(kb, 3))) AS INTEGER) AS batch, b AND kb <= 3 AS batch_changed, kz > 0 AS compression, z AND kz = 1 AS compression_changed,
 CAST(least(8, 2 + kn) AS INTEGER) AS concurrency, n AND kn <= 6 AS concurrency_changed, [1000, 500, 250, 125, 62][CAST(least(kv, 4) + 1 AS INTEGER)] AS verify_every, v AND kv <= 4 AS verify_every_changed FROM k""")
 def tuning_decisions(spark, sf_dir):
-    s = _samples(spark, sf_dir).select(
+    s = _tuning_samples(spark, sf_dir)
+    return series.tuning(s, ["event_type"], "hour", "lag", "rate", "throughput", "cpu", "mem", "storage").drop("lag", "rate", "throughput", "cpu", "mem", "storage")
+
+
+def _tuning_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _samples(spark, sf_dir).select(
         "event_type", "hour", F.when(F.col("backlog") > 5, 501).when(F.col("backlog") > 3, 101).otherwise(0).alias("lag"), F.when(F.col("write_rate") > 1, 101.0).otherwise(0.0).alias("rate"),
         F.col("replication_rate").alias("throughput"), F.when(F.col("write_rate") < 2, 0.1).otherwise(0.9).alias("cpu"), F.when(F.col("replication_rate") < 4, 0.1).otherwise(0.9).alias("mem"), F.when(F.col("write_rate") > 2, 1.0).otherwise(0.0).alias("storage"),
     )
-    return series.tuning(s, ["event_type"], "hour", "lag", "rate", "throughput", "cpu", "mem", "storage").drop("lag", "rate", "throughput", "cpu", "mem", "storage")
 
 
 @query("""SELECT user_id, count(*) AS polls, count(*) FILTER (event_type <> 'error') AS healthy_polls, count(*) FILTER (event_type = 'error') AS errors,
@@ -732,6 +736,22 @@ def stream_tuning(spark, sf_dir):
     return held.select("user_id", "samples", rules.tuned(F.col("b"), "batch").alias("batch"), rules.tuned(F.col("n"), "concurrency").alias("concurrency"))
 
 
+@query(ORACLE_SQL["tuning_decisions"])
+def stream_tuning_decisions(spark, sf_dir):
+    """All four knobs after each sample from state that outlives a stop: the earlier hours first, the later ones after a restart."""
+    base, cut = tables.shared_dir(spark, "samples"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    samples = _tuning_samples(spark, sf_dir)
+    for earlier in (True, False):
+        samples.where((F.col("hour") < cut) == F.lit(earlier)).repartition(3).write.mode("append").parquet(f"{base}/in")
+        found = state.running(stream.read(spark, f"{base}/in", 64), ["event_type"], "hour", series.tuning_conditions("lag", "rate", "throughput", "cpu", "mem", "storage"))
+        out = stream.run_to_table(found, "append", folder=f"{base}/run", rocksdb=True)
+    for knob in ("batch", "compression", "concurrency", "verify_every"):
+        now = F.col(f"{knob}_so_far")
+        was = now - F.when(F.col(f"{knob}_held"), 1).otherwise(0)
+        out = out.withColumn(knob, rules.tuned(now, knob)).withColumn(f"{knob}_changed", rules.tuned(now, knob) != rules.tuned(was, knob))
+    return out.select("event_type", "hour", *[c for k in ("batch", "compression", "concurrency", "verify_every") for c in (k, f"{k}_changed")])
+
+
 @query("""SELECT 'p' || o_orderkey AS id, o_orderkey % 97 AS epoch, CASE WHEN o_orderkey % 4 = 0 THEN 'JOURNAL_CHAIN' ELSE 'SNAPSHOT' END AS kind, CASE WHEN o_orderkey % 6 = 0 THEN 'again' ELSE '' END AS note
 FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
 def recovery_point_store(spark, sf_dir):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,19 @@ class Progress(StreamingQueryListener):
         pass
 
 
-def run_to_table(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None, folder: str | None = None, every: str | None = None) -> DataFrame:
+@contextmanager
+def _state_store(spark: SparkSession, rocksdb: bool) -> Iterator[None]:
+    """Queries that start inside use RocksDB; a query keeps the settings it started with."""
+    name, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    if rocksdb:
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def run_to_table(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None, folder: str | None = None, every: str | None = None, rocksdb: bool = False) -> DataFrame:
     """Runs over all that is there (``availableNow``) and returns the written result.
 
     ``folder`` holds the checkpoint and a subfolder a batch.  A later call with the
@@ -81,7 +94,8 @@ def run_to_table(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int],
     all calls together.  Without one the call has a folder of its own.  A repeated
     batch overwrites its own output.  Complete mode keeps the result of the last
     batch; append mode all of them.  ``every`` polls at that interval instead and
-    stops once a poll finds nothing new.
+    stops once a poll finds nothing new.  ``rocksdb`` chooses that state store for
+    this query, which operators with state of their own need.
     """
     spark = stream.sparkSession
     base = (folder or tables.shared_dir(spark, "stream")).rstrip("/")
@@ -92,7 +106,8 @@ def run_to_table(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int],
             sink(batch, number)
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep)
-    query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    with _state_store(spark, rocksdb):
+        query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
     if every:
         query.processAllAvailable()
         query.stop()

@@ -21,7 +21,7 @@ from tallyforge.functions import digests, rules, text
 from tallyforge.operators import catalog, dedup, log_ops, series
 from tallyforge.operators import manifest as mf
 from tallyforge.sources import log, objects, segments, tables
-from tallyforge.streaming import stream
+from tallyforge.streaming import state, stream
 
 
 def sha(data):
@@ -580,3 +580,27 @@ def test_publish_names_a_file_once(spark, tmp_path):
     with concurrent.futures.ThreadPoolExecutor(8) as pool:
         got = list(pool.map(lambda k: tables.publish(spark, str(tmp_path), "1", str(k)), range(24)))
     assert sum(got) == 1 and tables.read_small(spark, str(tmp_path / "1")) == str(got.index(True)) and [n for n in tables.children(spark, str(tmp_path)) if "aside" in n] == []
+
+
+def test_op_ids_are_forgotten(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    batches = [[("a", 1, 0), ("b", 2, 1), ("a", 3, 2)], [("a", 4, 5), ("c", 5, 120)], [("d", 6, 121)], [("a", 7, 180), ("c", 8, 181)]]  # (op, seq, minute)
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(op, seq, base + timedelta(minutes=m)) for op, seq, m in rows], "op string, seq long, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = state.first_of_op(stream.read(spark, str(tmp_path / "in"), 1), "op", "seq", "ts", 3600)
+        got = stream.run_to_table(found, "append", folder=str(tmp_path / "run"), rocksdb=True)  # stops after each batch
+    assert sorted((r.seq, r.effective_seq, r.is_first) for r in got.collect()) == [(1, 1, True), (2, 2, True), (3, 1, False), (4, 1, False), (5, 5, True), (6, 6, True), (7, 7, True), (8, 5, False)]
+
+
+def test_running_state_outlives_a_stop(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    halves = [[("x", 1, 5.0), ("x", 3, 9.0), ("y", 1, 1.0), ("x", 2, 7.0)], [("x", 3, 50.0), ("x", 4, 2.0), ("y", 9, 8.0), ("x", 5, 8.0)]]
+    for rows in halves:
+        spark.createDataFrame([(k, base + timedelta(hours=h), v) for k, h, v in rows], "k string, at timestamp, backlog double").repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        found = state.running(stream.read(spark, str(tmp_path / "in"), 64), ["k"], "at", {"big": F.col("backlog") > 6}, ("backlog",), history=2)
+        got = stream.run_to_table(found, "append", folder=str(tmp_path / "run"), rocksdb=True)
+    rows = sorted((r.k, r.at.hour, r.late, r.samples, r.big_so_far, r.previous_backlog) for r in got.collect() if not r.late)
+    assert rows == [("x", 1, False, 1, 0, None), ("x", 2, False, 2, 1, 5.0), ("x", 3, False, 3, 2, 7.0), ("x", 4, False, 4, 2, 9.0), ("x", 5, False, 5, 3, 2.0), ("y", 1, False, 1, 0, None), ("y", 9, False, 2, 1, 1.0)]
+    late = [r for r in got.collect() if r.late]
+    assert [(r.k, r.backlog, r.samples) for r in late] == [("x", 50.0, None)]
+    assert {(r.k, r.span_us) for r in got.where("not late").collect()} == {("x", 3_600_000_000), ("y", 0), ("y", 8 * 3_600_000_000)}

@@ -311,7 +311,7 @@ def test_pipeline_on_odd_rows(spark, odd_docs, no_docs):
 
 
 def test_every_operator_has_a_query():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert io and corpus_pipeline.ORACLE_SQL is None
 
 

@@ -259,4 +259,6 @@ def test_groups_across_batches(spark):
 
 
 def test_materialised_tables_lie_in_the_shared_folder(spark):
-    assert common.shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    made = common.shared_dir(spark, "x")
+    assert made.startswith(base if ":" in base else f"file:{base}")  # always with its scheme

@@ -65,6 +65,14 @@ def lww_state(spark, sf_dir):
     return log_ops.latest(tables.table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", "error", ["value"])
 
 
+@query("""WITH e AS (SELECT *, event_id // 500 AS seq FROM events), n AS (SELECT user_id, max(seq) AS seq FROM e GROUP BY user_id)
+SELECT user_id, seq, event_type, value FROM (SELECT user_id, seq, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM e JOIN n USING (user_id, seq) GROUP BY user_id, seq) WHERE event_type <> 'error'""")
+def lww_repeated_seq(spark, sf_dir):
+    """500 records share each seq, so a key's newest seq has several; the last in the log counts, be it a write or a delete."""
+    e = tables.table(spark, sf_dir, "events").withColumn("seq", F.expr("event_id div 500"))
+    return log_ops.latest(e, "user_id", "seq", "event_type", "error", ["value"], tie="event_id")
+
+
 @query(f"{_BOTH} SELECT path, status, active_hash, candidate_hash FROM d")
 def manifest_diff(spark, sf_dir):
     objs = _docs(spark, sf_dir)

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import digests, rules, text
-from ..operators import catalog, dedup, log_ops, series
+from ..operators import catalog, dedup, hash_tree, log_ops, series
 from ..operators import manifest as mf
-from ..sources import log, objects, segments, tables
+from ..sources import chunk_store, log, objects, ranges, segments, tables
 from ..streaming import state, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -905,3 +905,56 @@ def fixture_trees(spark, sf_dir):
     tree = mf.manifest(tables.fixture(spark, "key-value").unionByName(tables.fixture(spark, "generic"))).select("path", "size", "hash")
     owners = tables.table(spark, sf_dir, "supplier").select("s_suppkey")
     return owners.crossJoin(F.broadcast(tree)).select(F.concat_ws("/", "s_suppkey", "path").alias("path"), "size", "hash")  # tree: 42 rows
+
+
+def _trees(spark: SparkSession, sf_dir: str, depth: int | None = None) -> tuple[hash_tree.HashTree, hash_tree.HashTree]:
+    """The tree of the documents, and one that began as the same and took the edits as an update."""
+    objs = _docs(spark, sf_dir)
+    active, edited = mf.manifest(objs), mf.manifest(_edited(objs))
+    a, c = (hash_tree.HashTree(spark, tables.shared_dir(spark, "hash-tree")).build(active, depth) for _ in range(2))
+    changes = mf.diff(active, edited).where("status <> 'same'").select("path", F.col("candidate_hash").alias("hash"))
+    return a, c.update(changes)
+
+
+@query(f"{_BOTH} SELECT path, status, active_hash, candidate_hash FROM d WHERE status <> 'same'")
+def hash_tree_diff(spark, sf_dir):
+    return hash_tree.diff(*_trees(spark, sf_dir)).rows
+
+
+@query(f"""{_BOTH}, l AS (SELECT substr(sha256(path), 1, 2) AS leaf, sha256(string_agg(path || ':' || hash || chr(10), '' ORDER BY path)) AS h, count(*) AS n FROM c GROUP BY 1),
+p AS (SELECT substr(leaf, 1, 1) AS node, sha256(string_agg(leaf || ':' || h || chr(10), '' ORDER BY leaf)) AS h, sum(n) AS n FROM l GROUP BY 1)
+SELECT sha256(string_agg(node || ':' || h || chr(10), '' ORDER BY node)) AS root, CAST(sum(n) AS BIGINT) AS entries FROM p""")
+def hash_tree_root(spark, sf_dir):
+    """The updated tree has the root of one built from nothing."""
+    return _trees(spark, sf_dir, depth=2)[1].root()
+
+
+@query(f"""WITH {_OBJECTS}, {_BLOCKS},
+a AS (SELECT DISTINCT sha256(data) AS hash, octet_length(data) AS n, path FROM blocks),
+old AS (SELECT DISTINCT hash, n FROM a WHERE path < '000000000200' OR path LIKE '%3'), new AS (SELECT DISTINCT hash, n FROM a WHERE path LIKE '%3' OR path LIKE '%4')
+SELECT (SELECT count(*) FROM old) AS first_chunks, (SELECT count(*) FROM new WHERE hash NOT IN (SELECT hash FROM old)) AS second_new_chunks,
+(SELECT count(*) FROM old WHERE hash NOT IN (SELECT hash FROM new)) AS removed, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM old WHERE hash NOT IN (SELECT hash FROM new)) AS removed_bytes,
+(SELECT count(*) FROM new) AS left_chunks, 0::BIGINT AS faults""")
+def chunk_store_sweep(spark, sf_dir):
+    """Two archives that share objects; the first goes, a sweep frees what only it held, and the second restores whole."""
+    objs, path = _docs(spark, sf_dir), F.col("path")
+    store = chunk_store.ChunkStore(spark, tables.shared_dir(spark, "chunk-store"), SMALL_BLOCK)
+    first = store.export(objs.where((path < "000000000200") | path.endswith("3")), "a-1").select(F.col("new_chunks").alias("first_chunks"))
+    second = store.export(objs.where(path.endswith("3") | path.endswith("4")), "a-2").select(F.col("new_chunks").alias("second_new_chunks"))
+    store.remove("a-1")
+    swept = store.sweep().drop("segments")
+    left = store.references().agg(F.count("*").alias("left_chunks"))
+    faults = objects.restore(store.archive("a-2")).agg(F.count_if(F.col("error").isNotNull()).alias("faults"))
+    return first.crossJoin(second).crossJoin(swept).crossJoin(left).crossJoin(faults)  # one row each
+
+
+@query("SELECT count(*) > 0 AS any_blocks, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes, 0::BIGINT AS differing FROM documents")
+def ranged_blocks(spark, sf_dir):
+    """The documents as text files, read block by block, against the blocks of the files read whole."""
+    folder = tables.shared_dir(spark, "ranged")
+    tables.table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(folder)
+    found = ranges.blocks(spark, folder, SMALL_BLOCK, span=1 << 20)
+    whole = objects.blocks(objects.tree(spark, folder).select("path", "content"), SMALL_BLOCK).select("path", "offset", F.col("hash").alias("_whole"), F.col("length").alias("_length"))
+    both = found.join(whole, ["path", "offset"], "full_outer")
+    differs = ~(F.col("hash").eqNullSafe(F.col("_whole")) & F.col("length").eqNullSafe(F.col("_length")))
+    return both.agg((F.count("*") > 0).alias("any_blocks"), F.sum("length").alias("bytes"), F.count_if(differs).alias("differing"))

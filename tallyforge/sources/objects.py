@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tables
+from . import listing, tables
 
 BLOCK = 64 * 1024
 FORMAT_VERSION = 1
 
 
-def tree(spark: SparkSession, root: str, skip_prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """path (relative), length, modificationTime, content of all files below a folder, without reserved prefixes."""
+def tree(spark: SparkSession, root: str, skip_prefixes: tuple[str, ...] = (), hidden: bool = False) -> DataFrame:
+    """path (relative), length, modificationTime, content of all files below a folder, empty ones too, without reserved prefixes.
+
+    Spark's scan leaves out empty files and hidden ones (a part of the path begins with "." or "_"); those are
+    listed apart, hidden ones only with ``hidden``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
     path = F.regexp_replace("path", F.lit(f"^.*?{_quoted(base)}/"), F.lit(""))
-    rows = files.withColumn("path", path)
+    others = listing.walk(spark, root, hidden)
+    others = listing.with_content(spark, root, others.where((F.col("length") == 0) | F.col("path").rlike("(^|/)[._]")))
+    rows = files.withColumn("path", path).unionByName(others.select(*files.columns))
     for p in skip_prefixes:
         rows = rows.where(~F.col("path").startswith(p))
     return rows

@@ -29,8 +29,6 @@ BUNDLES = 1 << 14
 HEAVY = 64
 #: Bytes count most, as the law of the result is that bytes come out nearly equal.
 WEIGHTS = (4.0, 1.0, 1.0)
-#: Finishing moves from the fullest to the emptiest shard by bytes.
-MOVES = 4096
 #: Shards further apart than this share of the mean cut groups that are whole so far.
 TOLERANCE = 0.01
 
@@ -61,24 +59,26 @@ def place(loads: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS)
 
 
 def level(sizes: np.ndarray, placed: np.ndarray, shards: int) -> np.ndarray:
-    """Evens out the first dimension: moves the item nearest to half the gap from the fullest shard to the emptiest while that narrows the gap."""
+    """Evens out the first dimension: moves the item nearest to half the gap from the fullest shard to the emptiest until none narrows the gap.
+
+    Sizes are whole numbers and each move lowers the sum of their squares, so it ends.
+    """
     out = placed.copy()
     filled = np.bincount(out, weights=sizes, minlength=shards)
-    for _ in range(MOVES):
+    while True:
         high, low = int(filled.argmax()), int(filled.argmin())
         gap = filled[high] - filled[low]
         mine = np.flatnonzero((out == high) & (sizes > 0) & (sizes < gap))
         if not len(mine):
-            break
+            return out
         i = mine[np.abs(sizes[mine] - gap / 2).argmin()]
         out[i] = low
         filled[high] -= sizes[i]
         filled[low] += sizes[i]
-    return out
 
 
 def deal(quotas: np.ndarray, row_bytes: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Evens out bytes by moving rows of heavy groups from the fullest shard to emptier ones while that narrows the gap.
+    """Evens out bytes by moving rows of heavy groups from the fullest shard to emptier ones until none narrows a gap (it ends for the same reason).
 
     ``quotas``: rows of each group (of ``row_bytes`` each) in each shard; ``rest``:
     the other bytes of each shard.  Groups that lie in several shards move first;
@@ -87,7 +87,7 @@ def deal(quotas: np.ndarray, row_bytes: np.ndarray, rest: np.ndarray) -> np.ndar
     out = quotas.copy()
     filled = rest + row_bytes @ out if len(out) else rest.astype(np.float64).copy()
     whole_before = (out > 0).sum(1) == 1
-    for _ in range(MOVES if len(out) else 0):
+    while len(out):
         high = int(filled.argmax())
         moved = False
         for low in np.argsort(filled, kind="stable").tolist():

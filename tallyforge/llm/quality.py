@@ -245,18 +245,30 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     distinct = docs.agg(F.approx_count_distinct(hashed_row)).first()[0]
     chance = min(1.0, sample / max(1, distinct))
     chosen = docs.select(hashed_row.alias("h"), F.col(text_col).cast("string").alias("t")).where(F.pmod("h", F.lit(1 << 30)) <= int(chance * (1 << 30)))
-    chosen = chosen.groupBy("h").agg(F.min("t").alias("t"), F.count("*").alias("n")).orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(2 * sample)
+    chosen = common.materialise(chosen.groupBy("h").agg(F.min("t").alias("t"), F.count("*").alias("n")), "quality-sample")
+    first = chosen.select("h").orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(2 * sample)  # hashes only, so that no task gets all the texts
+    taken = chosen.join(F.broadcast(first), "h", "left_semi")
 
     def describe(batches):
         for b in common.rows_of(batches):
             texts = common.texts_as_bytes(b.column(0))
-            grams = [np.unique(trigrams(x)).tobytes() for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([pattern(x) for x in texts], pa.int64()), pa.array([hashed(x).tobytes() for x in texts], pa.binary()), pa.array(grams, pa.binary()), b.column(1), b.column(2)], names=["code", "x", "grams", "n", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array([pattern(x) for x in texts], pa.int64()), pa.array([hashed(x).tobytes() for x in texts], pa.binary()), b.column(1), b.column(2)], names=["code", "x", "n", "h"])
 
-    rows = sorted(chosen.select("t", "n", "h").mapInArrow(describe, "code long, x binary, grams binary, n long, h long").collect(), key=lambda r: r["h"])  # at most 2 * sample rows
-    known = np.zeros(1 << KNOWN, bool)
-    for r in rows:
-        known[mixed(np.frombuffer(r["grams"], np.uint32), KNOWN)] = True
+    def seen(batches):
+        held = np.zeros(1 << KNOWN, bool)
+        for b in common.rows_of(batches):
+            for x in common.texts_as_bytes(b.column(0)):
+                held[mixed(trigrams(x), KNOWN)] = True
+        words = np.packbits(held, bitorder="little").view("<i8")
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
+
+    rows = sorted(taken.select("t", "n", "h").mapInArrow(describe, "code long, x binary, n long, h long").collect(), key=lambda r: r["h"])  # at most 2 * sample rows of 4 * BINS bytes
+    words = np.zeros(1 << (KNOWN - 6), "<i8")
+    for r in taken.select("t").mapInArrow(seen, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect():  # at most 2 ** (KNOWN - 6) rows
+        words[r["at"]] = r["word"]
+    known = np.unpackbits(words.view(np.uint8), bitorder="little")
+    common.discard(chosen)
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.empty((0, BINS), np.float32)
     return QualityModel(labels, fit_scorer(x, labels.posterior([r["code"] for r in rows]) if rows else np.empty(0), np.array([r["n"] for r in rows], dtype=np.float64)), np.packbits(known).tobytes())
 

@@ -269,6 +269,22 @@ def test_bytes_come_out_nearly_equal(spark, rows, apart):
     assert all(len(h) == 1 for t, h in homes.items() if sizes[t] == 1)
 
 
+def test_evening_ends_only_when_no_move_helps():
+    """Six thousand moves and more, from one full shard."""
+    out = sharding.level(np.ones(8000), np.zeros(8000, np.int64), 16)
+    assert set(np.bincount(out, minlength=16)) == {500}
+
+
+def test_known_grams_of_the_sample(spark):
+    """The bits that tasks give are those of all texts of the sample, long ones too."""
+    texts = ["", "short", "Ünïcode text 東京", "word " * 20_000, *[f"text number {k}" for k in range(50)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = np.zeros(1 << quality.KNOWN, bool)
+    for t in texts:
+        want[quality.mixed(quality.trigrams(t.encode()), quality.KNOWN)] = True
+    assert quality.fit(docs).known == np.packbits(want).tobytes() and want.any()
+
+
 def test_tokens_of_groups(spark):
     texts = ["", None, " ", " lead", "tail ", "a  b\tc\n", "\u00a0x", "one"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")

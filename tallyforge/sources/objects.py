@@ -9,6 +9,8 @@ from . import listing, tables
 
 BLOCK = 64 * 1024
 FORMAT_VERSION = 1
+#: Parquet codec of archives and of restored content: bytes and hex digests take a third less than with Spark's default.
+CODEC = "zstd"
 
 
 def tree(spark: SparkSession, root: str, skip_prefixes: tuple[str, ...] = (), hidden: bool = False) -> DataFrame:
@@ -66,9 +68,9 @@ def export(objects: DataFrame, uri: str, archive_id: str, epoch: int, size: int
 
     spark = objects.sparkSession
     cut = blocks(objects, size, keep_data=True)
-    dedup.first_chunks(cut).write.parquet(f"{uri}/chunks")
+    dedup.first_chunks(cut).write.parquet(f"{uri}/chunks", compression=CODEC)
     cut = cut.drop("data")
-    object_index(objects, cut).write.parquet(f"{uri}/objects")
+    object_index(objects, cut).write.parquet(f"{uri}/objects", compression=CODEC)
     log_bytes = 0
     if log_lines is not None:
         log_lines.select("value").write.text(f"{uri}/log")
@@ -108,8 +110,7 @@ def restore(archive: dict[str, DataFrame]) -> DataFrame:
     damaged, or whose chunk ids do not give its content hash or size, has no content
     and an ``error``; it is never shortened.
     """
-    parts = F.array_sort(F.collect_list(F.struct("k", F.hex("data").alias("d"))))
-    content = F.unhex(F.array_join(F.transform(parts, lambda x: x["d"]), ""))
+    content = F.expr("listagg(data) WITHIN GROUP (ORDER BY k)")
     made = _wanted(archive).groupBy("path").agg(F.max("fault").alias("_fault"), content.alias("_content"))
     listed = F.sha2(F.encode(F.array_join("chunk_ids", ""), "utf-8"), 256) == F.col("content_hash")
     out = archive["objects"].join(made, "path", "left").withColumn("_content", F.coalesce("_content", F.lit(b"")))
@@ -125,8 +126,8 @@ def is_archive(path: Column, prefix: str) -> Column:
 def clone(archive: dict[str, DataFrame], uri: str, archive_id: str) -> dict[str, DataFrame]:
     """A copy with an identity of its own."""
     spark = archive["objects"].sparkSession
-    archive["chunks"].write.parquet(f"{uri}/chunks")
-    archive["objects"].write.parquet(f"{uri}/objects")
+    archive["chunks"].write.parquet(f"{uri}/chunks", compression=CODEC)
+    archive["objects"].write.parquet(f"{uri}/objects", compression=CODEC)
     archive["summary"].withColumn("archive_id", F.lit(archive_id)).write.parquet(f"{uri}/summary")
     return inspect(spark, uri)
 
@@ -165,7 +166,7 @@ def drill(archive: dict[str, DataFrame], size: int = BLOCK) -> DataFrame:
     from ..functions import digests
 
     spark = archive["objects"].sparkSession
-    back = tables.materialise(restore(archive), "drill-restored")
+    back = tables.materialise(restore(archive), "drill-restored", CODEC)
     counts = back.agg(F.count("*").alias("objects"), F.count_if(F.col("error").isNull()).alias("restored"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes"))
     again = export(back.where("error is null").drop("error"), tables.shared_dir(spark, "drill"), "drill", 0, size)["summary"].select(F.col("root").alias("again"))
     out = archive["summary"].select("archive_id", "root").crossJoin(again).crossJoin(counts)  # one row each

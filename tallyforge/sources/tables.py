@@ -52,10 +52,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return fs.makeQualified(at).toString()  # with its scheme, so that all readers mean the same file system
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet (``codec``: of the session if none is given) into the shared folder and read it back."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out

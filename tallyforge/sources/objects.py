@@ -141,9 +141,11 @@ def sanitised_clone(archive: dict[str, DataFrame], uri: str, archive_id: str, ho
     for hook in hooks:
         text = hook(text)
     is_text = rules.looks_like_text(F.col("path"), F.col("content"))
-    done = tables.materialise(plain.withColumn("clean", F.when(is_text, F.encode(text, "utf-8")).otherwise(F.col("content"))), "sanitised")
-    changed = done.agg(F.count_if(F.col("clean") != F.col("content")).alias("changed_objects"))
-    made = export(done.select("path", "mode", F.col("clean").alias("content")), uri, archive_id, 0, size)
+    clean = plain.withColumn("clean", F.when(is_text, F.encode(text, "utf-8")).otherwise(F.col("content")))
+    done = clean.select("path", "mode", F.col("clean").alias("content"), (F.col("clean") != F.col("content")).alias("changed"))
+    done = tables.materialise(done, "sanitised", CODEC)
+    changed = done.agg(F.count_if("changed").alias("changed_objects"))
+    made = export(done.drop("changed"), uri, archive_id, 0, size)
     return made | {"summary": made["summary"].crossJoin(changed)}  # one row each
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text
 from tallyforge.sources import objects, tables
 
 
@@ -16,6 +17,22 @@ def _written(spark, path):
     return fs.getContentSummary(at).getLength()
 
 
+def test_sanitised_clone_writes_each_content_once(spark, tmp_path, monkeypatch):
+    seen, plain = {}, tables.materialise
+
+    def sized(df, name, *rest):
+        out = plain(df, name, *rest)
+        seen[name] = _written(spark, out._written)
+        return out
+
+    objs = _noise(spark)
+    archive = objects.export(objs, f"{tmp_path}/a", "a", 1, 512)
+    monkeypatch.setattr(tables, "materialise", sized)
+    made = objects.sanitised_clone(archive, f"{tmp_path}/b", "b", [text.redact_emails], 512)
+    assert made["summary"].first()["changed_objects"] == 0
+    assert seen["sanitised"] < 1.5 * 40 * 2048
+
+
 def test_restore_joins_chunks_as_bytes(spark, tmp_path):
     objs = _noise(spark)
     archive = objects.export(objs, f"{tmp_path}/a", "a", 1, 100)

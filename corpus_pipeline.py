@@ -32,7 +32,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near copies (SimHash candidates verified by five-word Jaccard similarity of 0.8), the document with the smallest id (one row if that id repeats)."""
+    """Keeps, of each group of near copies (five-word Jaccard similarity of 0.8: op10's SimHash pairs, verified, and by an exact join those further apart), the document with the smallest id (one row if that id repeats)."""
     return near_copies.keep_one(docs)
 
 

@@ -12,10 +12,12 @@ The order comes from a bitmap of two bits a cell, of bounded size: whether a cel
 shingles occur in one text, up to 8, up to 64, or more.  Every pair that may be similar
 is verified by whole sets, so nothing is lost or linked by chance.
 
-Equal sets are one class.  Buckets of up to ``LONG`` texts first pair along a forest,
-longer ones (large groups of near copies) with the text whose SimHash fingerprint is
-in their middle; a second round compares what is still in different components, in
-long buckets by whole sets on the spot.  So no large group gives all pairs.
+Equal sets are one class.  The first pairs are op10's: classes whose SimHash fingerprints
+differ in at most 3 bits, found by pigeonring chains and then verified by whole sets.
+Pairs at 0.8 that lie further apart come by the prefixes: buckets of up to ``LONG`` texts
+first pair along a forest, longer ones (large groups of near copies) with the text whose
+fingerprint is in their middle; a second round compares what is still in different
+components, in long buckets by whole sets on the spot.  So no large group gives all pairs.
 """
 
 from __future__ import annotations
@@ -344,6 +346,15 @@ def feasible(long: DataFrame) -> DataFrame:
     return long.join(sizes, "key").where(small | large).drop("least", "most", "smalls")
 
 
+def simhash_pairs(chosen: DataFrame) -> DataFrame:
+    """Candidates (a, b) by SimHash: a forest over the pigeonring chains of the distinct fingerprints, and classes of one fingerprint paired with its first."""
+    first = F.min(F.struct("row", "size")).alias("low")
+    first = common.materialise(chosen.groupBy("fp").agg(first).select("fp", F.col("low.row").alias("low"), F.col("low.size").alias("low_size")), "near-fingerprints")
+    alike = chosen.join(first, "fp").where("row != low").select("low", "low_size", "row", "size")
+    apart = simhash.links(first.select("fp")).join(first.toDF("a", "low", "low_size"), "a").join(first.toDF("b", "row", "size"), "b").select(*alike.columns)
+    return alike.unionByName(apart).where(may_link_sql("size", "size", "low_size", "low_size")).select(F.least("low", "row").alias("a"), F.greatest("low", "row").alias("b"))
+
+
 def links(chosen: DataFrame, rows: DataFrame, row_col: str, text_col: str, order: Rarity) -> DataFrame:
     """Links (a, b) that keep all components of similar sets; ``chosen`` has row, size and fp of one text a class."""
     keyed = prefixes(rows, row_col, text_col, order).join(chosen, "row").select("row", "size", "fp", F.explode(F.arrays_zip("keys", "rests")).alias("k"))
@@ -360,7 +371,8 @@ def links(chosen: DataFrame, rows: DataFrame, row_col: str, text_col: str, order
     one = long.groupBy("row").agg(F.min("key").alias("key"))
     stars = long.join(one, ["row", "key"]).join(hubs(long), "key").where((F.col("row") != F.col("hub")) & may_link_sql("size", "size", "hub_size", "hub_size")).select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
 
-    first = common.materialise(in_buckets(short.select(*bucket), partitions).unionByName(stars).distinct(), "near-pairs-first")
+    first = simhash_pairs(chosen).unionByName(in_buckets(short.select(*bucket), partitions)).unionByName(stars).distinct()
+    first = common.materialise(first, "near-pairs-first")
     found = verified(first, rows, row_col, text_col, "first")
     roots = components.components(found, "a", "b")
 

@@ -203,8 +203,10 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, steps:
     weight = n * (y * mass.sum() / (2 * max(mass[1], 1e-9)) + (1 - y) * mass.sum() / (2 * max(mass[0], 1e-9)) if mass.min() > 1e-3 else np.ones(len(y)))
     mean = x.mean(0)
     centred = np.ascontiguousarray(x - mean, dtype=np.float32)
+    features = x.shape[1]
+    del x  # where the caller holds no other name of it, two copies live at once and not three
     across = np.ascontiguousarray(centred.T)
-    w, dw, bias, db = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0.0, 0.0
+    w, dw, bias, db = np.zeros(features, np.float32), np.zeros(features, np.float32), 0.0, 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(centred @ w + bias, -50, 50)))
         g = ((p - y) * weight / len(y)).astype(np.float32)
@@ -252,7 +254,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     def describe(batches):
         for b in common.rows_of(batches):
             texts = common.texts_as_bytes(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([pattern(x) for x in texts], pa.int64()), pa.array([hashed(x).tobytes() for x in texts], pa.binary()), b.column(1), b.column(2)], names=["code", "x", "n", "h"])
+            features = [hashed(x) for x in texts]
+            held = [np.flatnonzero(x) for x in features]
+            at, x = (pa.array([v.tobytes() for v in some], pa.binary()) for some in ([k.astype("<u2") for k in held], [v[k] for v, k in zip(features, held, strict=True)]))
+            yield pa.RecordBatch.from_arrays([pa.array([pattern(t) for t in texts], pa.int64()), at, x, b.column(1), b.column(2)], names=["code", "at", "x", "n", "h"])
 
     def seen(batches):
         held = np.zeros(1 << KNOWN, bool)
@@ -263,14 +268,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
 
-    rows = sorted(taken.select("t", "n", "h").mapInArrow(describe, "code long, x binary, n long, h long").collect(), key=lambda r: r["h"])  # at most 2 * sample rows of 4 * BINS bytes
+    rows = sorted(taken.select("t", "n", "h").mapInArrow(describe, "code long, at binary, x binary, n long, h long").collect(), key=lambda r: r["h"])  # at most 2 * sample rows, 6 bytes a feature that a text has
     words = np.zeros(1 << (KNOWN - 6), "<i8")
     for r in taken.select("t").mapInArrow(seen, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect():  # at most 2 ** (KNOWN - 6) rows
         words[r["at"]] = r["word"]
     known = np.unpackbits(words.view(np.uint8), bitorder="little")
     common.discard(chosen)
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.empty((0, BINS), np.float32)
-    return QualityModel(labels, fit_scorer(x, labels.posterior([r["code"] for r in rows]) if rows else np.empty(0), np.array([r["n"] for r in rows], dtype=np.float64)), np.packbits(known).tobytes())
+
+    def dense() -> np.ndarray:
+        x = np.zeros((len(rows), BINS), np.float32)
+        for k, r in enumerate(rows):
+            x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], np.float32)
+        return x
+
+    return QualityModel(labels, fit_scorer(dense(), labels.posterior([r["code"] for r in rows]) if rows else np.empty(0), np.array([r["n"] for r in rows], dtype=np.float64)), np.packbits(known).tobytes())
 
 
 def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = KEEP_FROM, names: tuple[str, str, str] = ("posterior", "score", "keep")) -> DataFrame:

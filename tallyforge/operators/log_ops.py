@@ -117,8 +117,8 @@ _WRITES = ("create", "write", "truncate")
 
 def _ancestors(path: str):
     """The path and all folders above it."""
-    parts = F.split(F.col(path), "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    whole = F.col(path)
+    return F.transform(F.sequence(F.lit(1), F.size(F.split(whole, "/"))), lambda n: F.call_function("substring_index", whole, F.lit("/"), n))
 
 
 def _last_before(rows: DataFrame, marks: DataFrame, by: list[str], out: str) -> DataFrame:
@@ -263,6 +263,10 @@ def replay(log: DataFrame) -> DataFrame:
     names = ["resource", "seq", "kind", "path", "dest_path", "offset", "mode", "size", "content_hash"]
     rows = tables.numbered(log.select(*names), ["resource", "seq", "kind", "path", "dest_path", "content_hash"], "_order", "replay-log")
     rows = rows.drop("seq").withColumnRenamed("_order", "seq")
+    moves = F.coalesce(F.max(F.col("kind") == "rename"), F.lit(False)).alias("moves")
+    every, some = rows.groupBy("resource").agg(moves).agg(F.min("moves"), F.max("moves")).first()
+    if not some or every:  # one kind of resources only
+        return _replay_moving(rows) if some else _replay_in_place(rows)
     renamed = rows.where("kind = 'rename'").select("resource").distinct()
     return _replay_in_place(rows.join(renamed, "resource", "left_anti")).unionByName(_replay_moving(rows.join(renamed, "resource", "left_semi")))
 

@@ -6,6 +6,9 @@ Each piece gives its own running values and one summary a key (a sum, a maximum
 last value); summaries are scanned in the order of the pieces, and every row combines
 its piece's value with what the pieces before carry over.  A task sorts a piece, and a
 scan of summaries has a row for each piece that a key lies in.
+
+That takes two shuffles and a join of all rows.  ``scan`` spends them on long histories
+only: those of up to ``WHOLE`` rows are a plain window each, by one shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +22,10 @@ from pyspark.sql.window import Window
 from ..sources import tables
 
 KEY, PIECE, TIE = "_key", "_piece", "_tie"
+#: A history of up to so many rows may be sorted in one task.
+WHOLE = 1 << 17
+#: The running aggregate of each kind.
+OVER = {"sum": F.sum, "max": F.max, "last": lambda v: F.last(v, ignorenulls=True)}
 
 
 class Run(NamedTuple):
@@ -75,13 +82,12 @@ def run(pieces: DataFrame, by: list[str], order: list[str], columns: dict[str, R
         "max": lambda v: F.max(v),
         "last": lambda v: F.max_by(v, F.when(v.isNotNull(), at)),
     }
-    over = {"sum": F.sum, "max": F.max, "last": lambda v: F.last(v, ignorenulls=True)}
 
     totals = rows.groupBy(KEY, PIECE).agg(*[whole[r.kind](r.value).alias(f"_all_{c}") for c, r in columns.items()])
-    carries = totals.select(KEY, PIECE, *[over[r.kind](F.col(f"_all_{c}")).over(earlier).alias(f"_carry_{c}") for c, r in columns.items()])
+    carries = totals.select(KEY, PIECE, *[OVER[r.kind](F.col(f"_all_{c}")).over(earlier).alias(f"_carry_{c}") for c, r in columns.items()])
     out = rows
     for c, r in columns.items():
-        out = out.withColumn(f"_own_{c}", over[r.kind](r.value).over(inside.rowsBetween(Window.unboundedPreceding, -1 if r.before else 0)))
+        out = out.withColumn(f"_own_{c}", OVER[r.kind](r.value).over(inside.rowsBetween(Window.unboundedPreceding, -1 if r.before else 0)))
     out = out.join(carries, [KEY, PIECE])
     for c, r in columns.items():
         own, carry = F.col(f"_own_{c}"), F.col(f"_carry_{c}")
@@ -95,6 +101,23 @@ def plain(rows: DataFrame) -> DataFrame:
     return rows.drop(KEY, PIECE, TIE)
 
 
+def whole(rows: DataFrame, order: list[str], columns: dict[str, Run]) -> DataFrame:
+    """``run`` by a plain window over ``KEY``: for histories that may be sorted in one task each."""
+    inside = Window.partitionBy(KEY).orderBy(*order, TIE)
+    for c, r in columns.items():
+        value = OVER[r.kind](r.value).over(inside.rowsBetween(Window.unboundedPreceding, -1 if r.before else 0))
+        rows = rows.withColumn(c, F.coalesce(value, F.lit(0)) if r.kind == "sum" else value)
+    return rows
+
+
 def scan(df: DataFrame, by: list[str], order: list[str], columns: dict[str, Run], name: str = "pieces") -> DataFrame:
-    """``df`` with running ``columns`` per key of ``by`` in ``order``; no task sorts a whole key."""
-    return plain(run(cut(df, by, order, name), by, order, columns))
+    """``df`` with running ``columns`` per key of ``by`` in ``order``; no task sorts a key of more than ``WHOLE`` rows."""
+    rows = tables.materialise(df.withColumn(KEY, F.struct(*by)).withColumn(TIE, F.monotonically_increasing_id()), name)
+    sizes = rows.groupBy(KEY).agg(F.count("*").alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= WHOLE:
+        return whole(rows, order, columns).drop(KEY, TIE)
+    long = tables.materialise(sizes.where(F.col("_n") > WHOLE).select(F.col(KEY).alias("_long")), f"{name}-long")
+    is_long = F.col(KEY).eqNullSafe(F.col("_long"))  # one key in WHOLE rows at most, so it may be broadcast
+    short = whole(rows.join(F.broadcast(long), is_long, "left_anti"), order, columns).drop(KEY, TIE)
+    cut_up = cut(rows.join(F.broadcast(long), is_long, "left_semi").drop(KEY, TIE), by, order, f"{name}-cut")
+    return short.unionByName(plain(run(cut_up, by, order, columns)))

@@ -90,3 +90,29 @@ def test_histories_in_pieces(spark, many_pieces):
     for r in catalog.as_of(points, ["k"], asked, "epoch", "made", "wanted").collect():
         best = max((p for p in rows if p.epoch <= r.wanted), key=lambda p: (p.made, p.epoch), default=None)
         assert r.id == (best.id if best else None)
+
+
+@pytest.mark.parametrize("bound", [0, 50, 10**6])
+def test_only_long_histories_are_cut(spark, many_pieces, monkeypatch, bound):
+    """Short, long and null keys give a fold's values, and histories within the bound take no pieces."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "a", "a", "b", "c"]), t, rng.choice([None, *range(9)])) for t in range(300)]
+    cuts, plain = [], scans.cut
+
+    def counted(df, *rest):
+        out = plain(df, *rest)
+        cuts.append(out.count())
+        return out
+
+    monkeypatch.setattr(scans, "cut", counted)
+    monkeypatch.setattr(scans, "WHOLE", bound)
+    columns = {"total": scans.running_sum(F.col("v"), before=True), "top": scans.running_max(F.col("v")), "newest": scans.last_value(F.col("v"), before=True)}
+    got = {(r.k, r.t): r for r in scans.scan(spark.createDataFrame(rows, "k string, t long, v int").repartition(5), ["k"], ["t"], columns).collect()}
+    sizes = {k: sum(x[0] == k for x in rows) for k, _, _ in rows}
+    assert sum(cuts) == sum(n for n in sizes.values() if n > bound) and len(got) == len(rows)
+    seen = {}
+    for k, t, v in rows:
+        old = seen.setdefault(k, [])
+        assert (got[k, t].total, got[k, t].newest) == (sum(old), old[-1] if old else None)
+        old += [] if v is None else [v]
+        assert got[k, t].top == max(old, default=None)

@@ -81,13 +81,18 @@ def marks(rows: DataFrame, row_col: str, id_col: str, text_col: str, part_bits:
     """
 
     def cut(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        every = np.sort(np.concatenate(sets))
-        part = (every >> np.uint64(64 - part_bits)).astype(np.int64)
-        cells = ((every << np.uint64(part_bits)) >> np.uint64(32)).astype("<u4")
+        every = np.concatenate(sets)
+        sets.clear()  # one copy of the hashes at a time
+        every.sort()
+        part = (every >> np.uint64(64 - part_bits)).astype(np.int32)
         begins = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        part = part[begins]
+        every <<= np.uint64(part_bits)
+        every >>= np.uint64(32)
+        cells = every.astype("<u4")
         blobs = [x.tobytes() for x in np.split(cells, begins[1:])]
         none = [pa.nulls(len(begins), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(part[begins].astype(np.int32)), pa.array(blobs, pa.binary())], names=["row", "id", "class", "size", "fp", "part", "cells"])
+        yield pa.RecordBatch.from_arrays([*none, pa.array(part), pa.array(blobs, pa.binary())], names=["row", "id", "class", "size", "fp", "part", "cells"])
 
     def mark(batches):
         held, n, known = [], 0, set()

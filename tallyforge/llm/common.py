@@ -6,6 +6,7 @@ Storage rules: whatever must outlive a stage is written below the folder that
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import os
 import re
@@ -66,11 +67,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of a batch under ``small_batches``.
+BATCH = 1024
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables written meanwhile reach Python in batches of at most ``BATCH`` rows: a batch of whole texts lives in the executor and, often twice, in its worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(was, BATCH) if was > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(was))
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``size`` rows, so that Python objects of few texts live at once."""
+    """Slices of at most ``size`` rows, so that Python objects of few texts live at once; after each batch Arrow gives back what it keeps of freed memory."""
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
@@ -168,25 +187,31 @@ class WordIds:
 
     Plain words are encoded many at a time as one text and cut after each id whose
     token ends a word; all other runs are encoded singly.  At most ``limit`` runs
-    and those of one call are remembered.
+    and those of one call are remembered, until ``forget``: when half of them are new,
+    the older ones go that have not come again.
     """
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 1 << 17):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)  # the same model in memory
         for x in (self.tokenizer, self.plain):
             x.no_truncation()
             x.no_padding()
         # Lower-case Latin words are what the normaliser and the split would leave as they are.
-        self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.suffix_ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.suffix_ends[i] = token.endswith("</w>")
         self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        """Frees the runs: a worker outlives its tasks, and the stages after this one need the room."""
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
     def _single(self, runs: list[bytes]) -> None:
         for at in range(0, len(runs), 1024):
@@ -208,11 +233,14 @@ class WordIds:
                 begin = end
 
     def of_runs(self, runs: list[bytes]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known = {b"": b""}
+        if 2 * len(self.known) > self.limit:
+            self.known, self.older = {b"": b""}, self.known
         cut = [base_and_tail(x) for x in runs]
         words, others = [], []
         for x in {x for pair in cut for x in pair}.difference(self.known):
+            if (ids := self.older.get(x)) is not None:
+                self.known[x] = ids
+                continue
             plain = x.islower() if x.isalpha() else x[0] >= 97 and _WORDS_ONLY(x.decode("utf-8", "replace"))
             (words if plain else others).append(x)
         self._joined(words)

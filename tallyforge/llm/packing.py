@@ -96,6 +96,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
                     cut = data[at : at + step]
                     out.append((key, i, at // 4, len(cut) // 4, zlib.crc32(cut)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _PIECES, strict=True)], schema=_PIECES)
+        ids_of.forget()
 
     return rows.mapInArrow(encode, PIECES)
 
@@ -123,4 +124,6 @@ def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("doc_id", "
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Whole path: null text is empty (its only token is the end id), long documents are cut, equal rows are packed each, extra columns are not read."""
     pieces = encode_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    return pack(common.materialise(pieces, "pieces"), capacity, ("doc_id", "piece", "row")).drop("row")
+    with common.small_batches(docs.sparkSession):
+        pieces = common.materialise(pieces, "pieces")
+    return pack(pieces, capacity, ("doc_id", "piece", "row")).drop("row")

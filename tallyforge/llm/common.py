@@ -69,18 +69,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Rows of a batch under ``small_batches``.
 BATCH = 1024
+_ROWS_OF_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def keep_batches_small(spark: SparkSession) -> int:
+    """Sets batches of at most ``BATCH`` rows for what the session runs from now on, for tables that the caller writes later; gives what was set."""
+    was = int(spark.conf.get(_ROWS_OF_A_BATCH))
+    spark.conf.set(_ROWS_OF_A_BATCH, str(min(was, BATCH) if was > 0 else BATCH))
+    return was
 
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Tables written meanwhile reach Python in batches of at most ``BATCH`` rows: a batch of whole texts lives in the executor and, often twice, in its worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = int(spark.conf.get(key))
-    spark.conf.set(key, str(min(was, BATCH) if was > 0 else BATCH))
+    was = keep_batches_small(spark)
     try:
         yield
     finally:
-        spark.conf.set(key, str(was))
+        spark.conf.set(_ROWS_OF_A_BATCH, str(was))
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A table of the driver's rows, handed over as Arrow: pickled rows pass through Python workers of a second pool, whose daemon then stays in an executor."""
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema))
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
@@ -191,7 +203,7 @@ class WordIds:
     the older ones go that have not come again.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 17):
+    def __init__(self, path: str, limit: int = 1 << 16):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)

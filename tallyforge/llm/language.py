@@ -28,8 +28,8 @@ BLANK, BITS = 1, 21  # three code points of 21 bits fill 63; no letter has code
 @functools.cache
 def _letters() -> np.ndarray:
     """By code point: 1 letter, 2 combining mark (it goes on with a word, but begins none and is no letter of its own), 0 other."""
-    mark = [unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)]
-    return np.array([1 if chr(c).isalpha() else 2 * m for c, m in enumerate(mark)], np.uint8)
+    kinds = (1 if c.isalpha() else 2 * (unicodedata.category(c)[0] == "M") for c in map(chr, range(0x110000)))
+    return np.fromiter(kinds, np.uint8, 0x110000)
 
 
 def ngrams(text: str) -> np.ndarray:

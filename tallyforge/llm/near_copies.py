@@ -41,7 +41,7 @@ CELL_BITS, PART_BYTES = 26, 1 << 22
 #: Up to so many texts a shingle is of the first levels; shingles of one text are of level 0.
 LEVELS = (8, 64)
 #: Shingles that a task counts at once, and sets that it remembers so as to count equal ones once.
-COUNTED, REMEMBERED = 1 << 21, 1 << 16
+COUNTED, REMEMBERED = 1 << 20, 1 << 16
 
 
 def shingle_set(text: bytes) -> np.ndarray:

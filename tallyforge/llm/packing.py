@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from . import common
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_SEGMENTS = pa.schema([(c, pa.int64()) for c in ("_length", "_rank", "_n", "_each", "_sequence", "_at")])
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -88,7 +89,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
     def encode(batches):
         ids_of = common.word_ids(tokenizer_path)
         end, step = struct.pack("<I", end_id), 4 * capacity
-        for b in common.rows_of(batches, 1024):
+        for b in common.rows_of(batches, 512):
             out = []
             for key, ids in zip(b.column(0).to_pylist(), ids_of(b.column(1)), strict=True):
                 data = ids.tobytes() + end
@@ -110,7 +111,7 @@ def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("doc_id", "
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     segments, _ = plan(histogram, capacity)
-    table = pieces.sparkSession.createDataFrame(segments, "_length long, _rank long, _n long, _each long, _sequence long, _at long")
+    table = common.small_table(pieces.sparkSession, segments, _SEGMENTS)
     ranked = common.rank_within(pieces, "length", list(order), "_slot")
     index = F.col("_slot") - F.col("_rank")
     fits = (F.col("length") == F.col("_length")) & (F.col("_slot") >= F.col("_rank")) & (F.col("_slot") < F.col("_rank") + F.col("_n"))

@@ -29,6 +29,7 @@ DISTANCE = 3
 SEGMENTS = 8
 BUDGETS = tuple(n * DISTANCE // SEGMENTS for n in range(1, SEGMENTS + 1))
 BUCKET = 1024
+_CUTS = pa.schema([("chain", pa.int32()), ("next", pa.int32()), ("mask", pa.int64())])
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -149,7 +150,7 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
             break
         held = sorted(r["chain"] for r in large.select("chain").distinct().collect())  # at most 24 * 4 ** level
         chain, level = cut_further([chain[c] for c in held]), level + 1
-        cuts = spark.createDataFrame([(held[c // 4], c, _signed(mask)) for c, (_, mask) in enumerate(chain)], "chain int, next int, mask long")
+        cuts = common.small_table(spark, [(held[c // 4], c, _signed(mask)) for c, (_, mask) in enumerate(chain)], _CUTS)
         keyed = large.select("fp", "chain").join(F.broadcast(cuts), "chain").select("fp", F.col("next").alias("chain"), F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
     out = found[0]
     for x in found[1:]:
